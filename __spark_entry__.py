@@ -123,9 +123,9 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "q24_grain_check_items": lambda t: quality.grain_check(t.items, ["order_id", "menu_item_id"]),
     "q26_monthly_master_summary": lambda t: rounded(t.master(), 10, "avg_sentiment").orderBy(*monthly.KEYS),
     "q27_mart_row_count": lambda t: quality.row_count(t.master(), "rows_in_master"),
-    "q28a_daily_orders": lambda t: daily.daily_orders(t.orders),
-    "q28b_daily_ratings": lambda t: daily.daily_ratings(t.orders, t.ratings),
-    "q28c_daily_delivery": lambda t: daily.daily_delivery(t.orders, t.deliveries),
+    "q28a_daily_orders": lambda t: daily.daily_orders(t.star.fact_orders),
+    "q28b_daily_ratings": lambda t: daily.daily_ratings(t.star.fact_orders, t.ratings),
+    "q28c_daily_delivery": lambda t: daily.daily_delivery(t.star.fact_orders, t.deliveries),
     "q28_daily_summary": lambda t: t.daily(),
     "q29_orders_per_active_customer_day": lambda t: daily.orders_per_active_customer_day(t.daily()),
     "q30_phase_revenue_decomposition": lambda t: phases.phase_revenue_decomposition(t.orders),

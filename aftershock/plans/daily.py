@@ -12,8 +12,13 @@ from aftershock.operators.orders import average_order_value, by_customer, roll_u
 from aftershock.specs import PhaseSpec
 
 
+def by_day(orders: DataFrame) -> DataFrame:
+    """Orders with their day; the sub-marts below keep undated orders as a group of their own."""
+    return orders.withColumn("date", F.to_date("order_timestamp"))
+
+
 def daily_orders(orders: DataFrame) -> DataFrame:
-    return roll_up_customers(by_customer(orders, ["date"]), ["date"]).select(
+    return roll_up_customers(by_customer(by_day(orders), ["date"]), ["date"]).select(
         "date",
         F.col("orders").alias("total_orders"),
         F.col("kept").alias("non_cancel_orders"),
@@ -27,12 +32,12 @@ def daily_orders(orders: DataFrame) -> DataFrame:
 
 def daily_ratings(orders: DataFrame, ratings: DataFrame) -> DataFrame:
     """Ratings by the day of the rated order."""
-    measures = rating_measures(orders, ratings, ["date"])
+    measures = rating_measures(by_day(orders), ratings, ["date"])
     return measures.select("date", "avg_rating", "rating_count", "low_rating_rate")
 
 
 def daily_delivery(orders: DataFrame, deliveries: DataFrame) -> DataFrame:
-    measures = delivery_measures(orders.filter(is_kept()), deliveries, ["date"])
+    measures = delivery_measures(by_day(orders).filter(is_kept()), deliveries, ["date"])
     return measures.select("date", "avg_expected_time_min", "avg_actual_time_min", "late_rate")
 
 
@@ -41,7 +46,7 @@ def daily_summary(
 ) -> DataFrame:
     """One row per day with orders; the three branches are partitioned alike by the day.
 
-    The calendar holds exactly the days with orders, so the order branch is the spine.
+    Takes dated orders. The calendar holds exactly the days with orders, so the order branch is the spine.
     Revenue is zero where no amount is known; ratings and deliveries stay NULL.
     """
     days = daily_orders(orders).withColumn("phase", assign_phase(F.col("date"), phases))

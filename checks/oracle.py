@@ -258,15 +258,16 @@ daily_orders AS (
   FROM fact_orders GROUP BY 1
 ),
 daily_ratings AS (
-  SELECT date, {ratio("SUM(rating)", "COUNT(rating)")} AS avg_rating, COUNT(*) AS rating_count,
-         {ratio("COUNT(*) FILTER (WHERE rating <= 2)", "COUNT(*)")} AS low_rating_rate
-  FROM rated GROUP BY date
+  SELECT CAST(order_timestamp AS DATE) AS date, {ratio("SUM(rating)", "COUNT(rating)")} AS avg_rating,
+         COUNT(*) AS rating_count, {ratio("COUNT(*) FILTER (WHERE rating <= 2)", "COUNT(*)")} AS low_rating_rate
+  FROM fact_orders JOIN fact_ratings USING (order_id) GROUP BY 1
 ),
 daily_delivery AS (
-  SELECT date, {ratio("SUM(expected_delivery_time_mins)", "COUNT(expected_delivery_time_mins)")} AS avg_expected_time_min,
+  SELECT CAST(order_timestamp AS DATE) AS date,
+         {ratio("SUM(expected_delivery_time_mins)", "COUNT(expected_delivery_time_mins)")} AS avg_expected_time_min,
          {ratio("SUM(actual_delivery_time_mins)", "COUNT(actual_delivery_time_mins)")} AS avg_actual_time_min,
          {ratio("COUNT(*) FILTER (WHERE actual_delivery_time_mins > expected_delivery_time_mins)", "COUNT(*)")} AS late_rate
-  FROM dated JOIN fact_delivery_performance USING (order_id) WHERE {KEPT} GROUP BY date
+  FROM fact_orders JOIN fact_delivery_performance USING (order_id) WHERE {KEPT} GROUP BY 1
 ),
 daily_summary AS (
   SELECT d.date, d.phase, COALESCE(total_orders, 0) AS total_orders, COALESCE(non_cancel_orders, 0) AS non_cancel_orders,
@@ -554,7 +555,7 @@ REPORTS: dict[str, str] = {
     "q14_monthly_ordered_active_customer": "SELECT * FROM monthly_ordered_active_customer",
     "q15_revenue_per_active_customer": "SELECT * FROM revenue_per_active_customer",
     "q16_monthly_customer_activity": "SELECT * FROM monthly_customer_activity",
-    "q17_preview": f"SELECT * FROM monthly_customer_activity ORDER BY {MONTHS}, customer_id LIMIT 10",
+    "q17_preview": f"SELECT * FROM monthly_customer_activity ORDER BY {MONTHS}, customer_id NULLS FIRST LIMIT 10",
     "q18_returning_customer": "SELECT * FROM returning_customer",
     "q19_returning_customer_rate": "SELECT * FROM returning_customer_rate",
     "q20_monthly_rest_activity": "SELECT * FROM monthly_rest_activity",
