@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,11 +28,26 @@ class Tables:
         self.star = star
         self.phases = phase_spec
         self.cohort = cohort_spec
-        self.orders = dated(star.fact_orders, phase_spec)
-        self.deliveries = star.fact_delivery_performance
-        self.ratings = star.fact_ratings
-        self.restaurants = star.dim_restaurant
-        self.items = star.fact_order_items
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        return dated(self.star.fact_orders, self.phases)
+
+    @property
+    def deliveries(self) -> DataFrame:
+        return self.star.fact_delivery_performance
+
+    @property
+    def ratings(self) -> DataFrame:
+        return self.star.fact_ratings
+
+    @property
+    def restaurants(self) -> DataFrame:
+        return self.star.dim_restaurant
+
+    @property
+    def items(self) -> DataFrame:
+        return self.star.fact_order_items
 
     def master(self) -> DataFrame:
         return monthly.monthly_master_summary(self.orders, self.deliveries, self.ratings, self.phases)

@@ -35,7 +35,7 @@ def phase_revenue_decomposition(orders: DataFrame) -> DataFrame:
     )
     ids = kept.select("phase", "order_id").distinct()
     counted = ids.groupBy("phase").agg(F.count("order_id").alias("non_cancel_orders"))
-    return customers.join(counted, "phase").select(
+    return customers.join(counted, "phase", "left").select(
         "phase",
         "active_customers",
         "non_cancel_orders",

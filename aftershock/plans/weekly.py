@@ -18,7 +18,8 @@ def weekly_kpis(orders: DataFrame, deliveries: DataFrame, ratings: DataFrame) ->
     A week with a phase cut yields a row per phase, with the same rating and delivery
     values. Orders, customers and restaurants are counted in a pass each: every pass reads
     its own id column only, and customers and restaurants combine well on the map side,
-    which they would not in one hash table together with the order ids.
+    which they would not in one hash table together with the order ids. All passes see the
+    same weeks; left joins let Catalyst drop a pass whose column is not asked for.
     """
     weekly = orders.withColumn("week_start_date", week_start(F.col("date")))
     ids = (
@@ -33,8 +34,8 @@ def weekly_kpis(orders: DataFrame, deliveries: DataFrame, ratings: DataFrame) ->
     rating = rating_measures(weekly, ratings, ["week_start_date"])
     delivery = delivery_measures(weekly, deliveries, ["week_start_date"])
     joined = (
-        ids.join(_distinct(weekly, "customer_id", "weekly_active_customer"), WEEK)
-        .join(_distinct(weekly, "restaurant_id", "weekly_active_restaurant"), WEEK)
+        ids.join(_distinct(weekly, "customer_id", "weekly_active_customer"), WEEK, "left")
+        .join(_distinct(weekly, "restaurant_id", "weekly_active_restaurant"), WEEK, "left")
         .join(rating, "week_start_date", "left")
         .join(delivery, "week_start_date", "left")
     )

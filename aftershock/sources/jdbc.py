@@ -47,9 +47,10 @@ def read_star(
 ) -> Star:
     """All tables. Give every fact table a :class:`KeyRange`, or one task reads it whole."""
     splits = splits or {}
-    frames = {
-        name: read_table(spark, url, name, splits.get(name), **options).select(*schema.fieldNames())
-        for name, schema in SCHEMAS.items()
-    }
-    frames["fact_orders"] = normalize_orders(frames["fact_orders"])
-    return Star(**frames)
+
+    def open_table(name: str) -> DataFrame:
+        frame = read_table(spark, url, name, splits.get(name), **options)
+        frame = frame.select(*SCHEMAS[name].fieldNames())
+        return normalize_orders(frame) if name == "fact_orders" else frame
+
+    return Star(open_table)

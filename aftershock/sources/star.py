@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,24 +68,31 @@ SCHEMAS: dict[str, T.StructType] = {
 AMOUNTS = ("subtotal_amount", "discount_amount", "delivery_fee", "total_amount")
 
 
-@dataclass(frozen=True)
 class Star:
-    """The base tables, one field per table, as lazy DataFrames."""
+    """The base tables as lazy DataFrames: ``star.fact_orders`` and so on.
 
-    fact_orders: DataFrame
-    fact_order_items: DataFrame
-    fact_delivery_performance: DataFrame
-    fact_ratings: DataFrame
-    dim_restaurant: DataFrame
-    dim_customer: DataFrame | None = None
-    dim_menu_item: DataFrame | None = None
+    ``open_table`` gives the frame of a table name. It is asked on first use, so a query
+    opens the tables it reads and no others.
+    """
 
-    def register(self, spark: SparkSession) -> None:
+    def __init__(self, open_table: Callable[[str], DataFrame]):
+        self._open_table = open_table
+
+    @classmethod
+    def of(cls, **frames: DataFrame) -> Star:
+        return cls(frames.__getitem__)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in SCHEMAS:
+            raise AttributeError(name)
+        frame = self._open_table(name)
+        setattr(self, name, frame)
+        return frame
+
+    def register(self) -> None:
         """Expose the tables to ``spark.sql`` under their own names."""
         for name in SCHEMAS:
-            frame = getattr(self, name)
-            if frame is not None:
-                frame.createOrReplaceTempView(name)
+            getattr(self, name).createOrReplaceTempView(name)
 
 
 def normalize_amounts(orders: DataFrame) -> DataFrame:
@@ -104,7 +111,9 @@ def normalize_orders(orders: DataFrame) -> DataFrame:
 
 def read_star(spark: SparkSession, root: str, fmt: str = "parquet") -> Star:
     """Read ``<root>/<table>`` for every table, with declared schemas (no inference pass)."""
-    reader = lambda name: spark.read.format(fmt).schema(SCHEMAS[name]).load(f"{root}/{name}")
-    frames = {name: reader(name) for name in SCHEMAS}
-    frames["fact_orders"] = normalize_orders(frames["fact_orders"])
-    return Star(**frames)
+
+    def open_table(name: str) -> DataFrame:
+        frame = spark.read.format(fmt).schema(SCHEMAS[name]).load(f"{root}/{name}")
+        return normalize_orders(frame) if name == "fact_orders" else frame
+
+    return Star(open_table)

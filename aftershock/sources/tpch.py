@@ -37,11 +37,8 @@ SCHEMAS = {
 }
 
 
-def read_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    return {
-        name: spark.read.schema(schema).parquet(f"{root}/{name}.parquet")
-        for name, schema in SCHEMAS.items()
-    }
+def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}.parquet")
 
 
 def order_lines(lineitem: DataFrame) -> DataFrame:
@@ -125,23 +122,25 @@ def dim_restaurant(supplier: DataFrame, nation: DataFrame, region: DataFrame) ->
 
 
 def read_star(spark: SparkSession, root: str) -> Star:
-    t = read_tables(spark, root)
-    lines = order_lines(t["lineitem"])
-    return Star(
-        fact_orders=fact_orders(t["orders"], lines),
-        fact_order_items=t["lineitem"].select(
+    def table(name: str) -> DataFrame:
+        return read_table(spark, root, name)
+
+    builders = {
+        "fact_orders": lambda: fact_orders(table("orders"), order_lines(table("lineitem"))),
+        "fact_order_items": lambda: table("lineitem").select(
             F.col("l_orderkey").alias("order_id"),
             F.col("l_partkey").alias("menu_item_id"),
             F.col("l_quantity").alias("quantity"),
             F.col("l_extendedprice").alias("line_amount"),
         ),
-        fact_delivery_performance=fact_delivery_performance(lines),
-        fact_ratings=fact_ratings(t["events"]),
-        dim_restaurant=dim_restaurant(t["supplier"], t["nation"], t["region"]),
-        dim_customer=t["customer"].select(
+        "fact_delivery_performance": lambda: fact_delivery_performance(order_lines(table("lineitem"))),
+        "fact_ratings": lambda: fact_ratings(table("events")),
+        "dim_restaurant": lambda: dim_restaurant(table("supplier"), table("nation"), table("region")),
+        "dim_customer": lambda: table("customer").select(
             F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("customer_name")
         ),
-        dim_menu_item=t["part"].select(
+        "dim_menu_item": lambda: table("part").select(
             F.col("p_partkey").alias("menu_item_id"), F.col("p_name").alias("item_name")
         ),
-    )
+    }
+    return Star(lambda name: builders[name]())

@@ -112,7 +112,7 @@ def arrow(**rows) -> dict[str, pa.Table]:
 def star_of(spark, tables: dict[str, pa.Table]) -> Star:
     frames = {name: spark.createDataFrame(table) for name, table in tables.items()}
     frames["fact_orders"] = normalize_orders(frames["fact_orders"])
-    return Star(**frames)
+    return Star.of(**frames)
 
 
 @pytest.fixture(scope="session")
