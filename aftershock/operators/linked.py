@@ -12,6 +12,27 @@ from pyspark.sql import functions as F
 
 from aftershock.functions.measures import count_when, safe_ratio
 
+DELIVERY_SUMS = [
+    "deliveries",
+    "expected_sum",
+    "expected_n",
+    "actual_sum",
+    "actual_n",
+    "delay_sum",
+    "delay_n",
+    "late_n",
+]
+RATING_SUMS = [
+    "rating_count",
+    "rating_sum",
+    "rating_n",
+    "low_n",
+    "five_n",
+    "one_n",
+    "sentiment_sum",
+    "sentiment_n",
+]
+
 
 def expected_minutes() -> Column:
     return F.col("expected_delivery_time_mins").cast("double")
@@ -21,17 +42,12 @@ def actual_minutes() -> Column:
     return F.col("actual_delivery_time_mins").cast("double")
 
 
-def _by_period(orders: DataFrame, per_order: DataFrame, keys: list[str]) -> DataFrame:
-    sums = [F.sum(c).alias(c) for c in per_order.columns if c != "order_id"]
-    return orders.select("order_id", *keys).join(per_order, "order_id").groupBy(*keys).agg(*sums)
-
-
-def delivery_measures(orders: DataFrame, deliveries: DataFrame, keys: list[str]) -> DataFrame:
-    """Delivery counts, times and lateness of the given orders by ``keys``."""
+def delivery_sums(deliveries: DataFrame) -> DataFrame:
+    """One row per order."""
     expected, actual = expected_minutes(), actual_minutes()
     delay = actual - expected
-    per_order = deliveries.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("n"),
+    return deliveries.groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("deliveries"),
         F.sum(expected).alias("expected_sum"),
         F.count(expected).alias("expected_n"),
         F.sum(actual).alias("actual_sum"),
@@ -40,25 +56,14 @@ def delivery_measures(orders: DataFrame, deliveries: DataFrame, keys: list[str])
         F.count(delay).alias("delay_n"),
         count_when(actual > expected).alias("late_n"),
     )
-    return _by_period(orders, per_order, keys).select(
-        *keys,
-        F.col("n").alias("deliveries"),
-        _mean("expected").alias("avg_expected_time_min"),
-        _mean("actual").alias("avg_actual_time_min"),
-        F.round(_mean("delay"), 5).alias("diff_minutes_decimal"),
-        safe_ratio(F.col("late_n"), F.col("n")).alias("late_rate"),
-    )
 
 
-def rating_measures(orders: DataFrame, ratings: DataFrame, keys: list[str]) -> DataFrame:
-    """Rating counts, means and shares of the given orders by ``keys``.
-
-    Shares are over all rating rows: a row without a value is neither low nor top.
-    """
+def rating_sums(ratings: DataFrame) -> DataFrame:
+    """One row per order. A row without a value is neither low nor top."""
     rating = F.col("rating")
     sentiment = F.col("sentiment_score").cast("double")
-    per_order = ratings.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("n"),
+    return ratings.groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("rating_count"),
         F.sum(rating.cast("double")).alias("rating_sum"),
         F.count(rating).alias("rating_n"),
         count_when(rating <= 2).alias("low_n"),
@@ -67,20 +72,79 @@ def rating_measures(orders: DataFrame, ratings: DataFrame, keys: list[str]) -> D
         F.sum(sentiment).alias("sentiment_sum"),
         F.count(sentiment).alias("sentiment_n"),
     )
-    five = safe_ratio(F.col("five_n"), F.col("n"))
-    one = safe_ratio(F.col("one_n"), F.col("n"))
-    return _by_period(orders, per_order, keys).select(
-        *keys,
-        F.col("n").alias("rating_count"),
+
+
+def delivery_columns() -> list[Column]:
+    """Delivery KPIs from ``DELIVERY_SUMS``."""
+    return [
+        F.col("deliveries"),
+        _mean("expected").alias("avg_expected_time_min"),
+        _mean("actual").alias("avg_actual_time_min"),
+        F.round(_mean("delay"), 5).alias("diff_minutes_decimal"),
+        safe_ratio(F.col("late_n"), F.col("deliveries")).alias("late_rate"),
+    ]
+
+
+def rating_columns() -> list[Column]:
+    """Rating KPIs from ``RATING_SUMS``; shares are over all rating rows."""
+    five = safe_ratio(F.col("five_n"), F.col("rating_count"))
+    one = safe_ratio(F.col("one_n"), F.col("rating_count"))
+    return [
+        F.col("rating_count"),
         _mean("rating").alias("avg_rating"),
         F.col("rating_n").alias("total_rating"),
-        safe_ratio(F.col("low_n"), F.col("n")).alias("low_rating_rate"),
+        safe_ratio(F.col("low_n"), F.col("rating_count")).alias("low_rating_rate"),
         five.alias("five_start_rating"),
         one.alias("one_start_rating"),
         (five - one).alias("net_rating"),
         _mean("sentiment").alias("avg_sentiment"),
-    )
+    ]
 
 
 def _mean(measure: str) -> Column:
     return safe_ratio(F.col(f"{measure}_sum"), F.col(f"{measure}_n"))
+
+
+def delivery_measures(orders: DataFrame, deliveries: DataFrame, keys: list[str]) -> DataFrame:
+    """Delivery KPIs of the given orders by ``keys``; only periods with deliveries."""
+    joined = orders.select("order_id", *keys).join(delivery_sums(deliveries), "order_id")
+    return sum_up(joined, keys, DELIVERY_SUMS).select(*keys, *delivery_columns())
+
+
+def rating_measures(orders: DataFrame, ratings: DataFrame, keys: list[str]) -> DataFrame:
+    """Rating KPIs of the given orders by ``keys``; only periods with ratings."""
+    joined = orders.select("order_id", *keys).join(rating_sums(ratings), "order_id")
+    return sum_up(joined, keys, RATING_SUMS).select(*keys, *rating_columns())
+
+
+def sum_up(frame: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
+    return frame.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in measures])
+
+
+def linked_orders(
+    orders: DataFrame, columns: list[str], deliveries: DataFrame, ratings: DataFrame
+) -> DataFrame:
+    """Orders that have an id, with both kinds of sums; NULL sums where an order has none.
+
+    Marts that need deliveries and ratings take both from here, so the orders move to their
+    id once. Orders without an id match nothing and would all meet in one task.
+    """
+    known = orders.filter(F.col("order_id").isNotNull()).select("order_id", *columns)
+    return known.join(delivery_sums(deliveries), "order_id", "left").join(
+        rating_sums(ratings), "order_id", "left"
+    )
+
+
+def linked_measures(
+    orders: DataFrame,
+    deliveries: DataFrame,
+    ratings: DataFrame,
+    keys: list[str],
+    delivered: Column,
+) -> DataFrame:
+    """Delivery KPIs of the orders meeting ``delivered``, and rating KPIs of all, by ``keys``."""
+    marked = orders.withColumn("delivered", delivered)
+    linked = linked_orders(marked, [*keys, "delivered"], deliveries, ratings)
+    counted = linked.withColumns({c: F.when(F.col("delivered"), F.col(c)) for c in DELIVERY_SUMS})
+    sums = sum_up(counted, keys, DELIVERY_SUMS + RATING_SUMS)
+    return sums.select(*keys, *delivery_columns(), *rating_columns())

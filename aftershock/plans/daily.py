@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from aftershock.functions.calendar import assign_phase
 from aftershock.functions.measures import MONEY, is_kept, safe_ratio
-from aftershock.operators.linked import delivery_measures, rating_measures
+from aftershock.operators.linked import delivery_measures, linked_measures, rating_measures
 from aftershock.operators.orders import average_order_value, by_customer, roll_up_customers
 from aftershock.specs import PhaseSpec
 
@@ -44,16 +44,14 @@ def daily_delivery(orders: DataFrame, deliveries: DataFrame) -> DataFrame:
 def daily_summary(
     orders: DataFrame, deliveries: DataFrame, ratings: DataFrame, phases: PhaseSpec
 ) -> DataFrame:
-    """One row per day with orders; the three branches are partitioned alike by the day.
+    """One row per day with orders; both branches are partitioned alike by the day.
 
     Takes dated orders. The calendar holds exactly the days with orders, so the order branch is the spine.
     Revenue is zero where no amount is known; ratings and deliveries stay NULL.
     """
     days = daily_orders(orders).withColumn("phase", assign_phase(F.col("date"), phases))
-    joined = days.join(daily_ratings(orders, ratings), "date", "left").join(
-        daily_delivery(orders, deliveries), "date", "left"
-    )
-    return joined.select(
+    linked = linked_measures(orders, deliveries, ratings, ["date"], delivered=is_kept())
+    return days.join(linked, "date", "left").select(
         "date",
         "phase",
         "total_orders",

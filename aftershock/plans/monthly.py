@@ -12,7 +12,7 @@ from aftershock.functions.calendar import MONTH
 from aftershock.functions.measures import count_when, decimal_ratio, is_kept, safe_ratio
 from aftershock.operators.activity import active_set, flag_churned, in_adjacent_month, returning
 from aftershock.operators.dimension import join_dimension
-from aftershock.operators.linked import delivery_measures, rating_measures
+from aftershock.operators.linked import delivery_measures, linked_measures, rating_measures
 from aftershock.operators.orders import (
     average_order_value,
     by_customer,
@@ -217,19 +217,16 @@ def monthly_master_summary(
 ) -> DataFrame:
     """All monthly marts in one row per month, 33 columns.
 
-    Four branches: orders and customers, deliveries, ratings, restaurants. Each is one pass
-    over the orders and ends in an aggregate on the month and phase, so the joins find
-    their sides partitioned alike; only the restaurant branch, which is keyed by month
-    alone, moves again, with one row per month.
+    Three branches: orders with customers, orders linked to deliveries and ratings, and
+    restaurants. Each is one pass over the orders and ends in an aggregate on the month and
+    phase, so the joins find their sides partitioned alike; only the restaurant branch,
+    which is keyed by month alone, moves again, with one row per month.
     """
     phases.require_month_starts()
     base = monthly_base(orders)
-    delivery = delivery_performance_summary(orders, deliveries)
-    rating = rating_summary(orders, ratings)
-    joined = (
-        base.join(delivery, KEYS, "left")
-        .join(rating, KEYS, "left")
-        .join(restaurants_by_month(orders), "month_start_date", "left")
+    linked = linked_measures(orders, deliveries, ratings, KEYS, delivered=is_kept())
+    joined = base.join(linked, KEYS, "left").join(
+        restaurants_by_month(orders), "month_start_date", "left"
     )
     cancelled, all_orders = F.col("cancelled"), F.col("orders")
     percent = safe_ratio(F.lit(100.0) * cancelled.cast("double"), all_orders)

@@ -6,53 +6,72 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aftershock.functions.calendar import week_start
-from aftershock.functions.measures import is_cancelled, safe_ratio
-from aftershock.operators.linked import delivery_measures, rating_measures
+from aftershock.functions.measures import count_when, is_cancelled, safe_ratio
+from aftershock.operators.linked import (
+    DELIVERY_SUMS,
+    RATING_SUMS,
+    delivery_columns,
+    linked_orders,
+    rating_columns,
+)
 
 WEEK = ["week_start_date", "phase"]
+LINKED = DELIVERY_SUMS + RATING_SUMS
 
 
 def weekly_kpis(orders: DataFrame, deliveries: DataFrame, ratings: DataFrame) -> DataFrame:
     """Order KPIs by week and phase, rating and delivery means by week.
 
     A week with a phase cut yields a row per phase, with the same rating and delivery
-    values. Orders, customers and restaurants are counted in a pass each: every pass reads
-    its own id column only, and customers and restaurants combine well on the map side,
-    which they would not in one hash table together with the order ids. All passes see the
-    same weeks; left joins let Catalyst drop a pass whose column is not asked for.
+    values. Customers and restaurants are counted in a pass each: every pass reads its own
+    id column only, and both combine well on the map side, which they would not in one
+    hash table together with the order ids. The left joins let Catalyst drop a pass whose
+    columns are not asked for.
     """
     weekly = orders.withColumn("week_start_date", week_start(F.col("date")))
-    ids = (
-        weekly.groupBy(*WEEK, "order_id")
-        .agg(F.max(F.coalesce(is_cancelled(), F.lit(False))).alias("cancelled"))
-        .groupBy(*WEEK)
-        .agg(
-            F.count("order_id").alias("weekly_order"),
-            F.count(F.when(F.col("cancelled"), F.col("order_id"))).alias("weekly_cancel_order"),
-        )
-    )
-    rating = rating_measures(weekly, ratings, ["week_start_date"])
-    delivery = delivery_measures(weekly, deliveries, ["week_start_date"])
     joined = (
-        ids.join(_distinct(weekly, "customer_id", "weekly_active_customer"), WEEK, "left")
+        _distinct(weekly, "customer_id", "weekly_active_customer")
         .join(_distinct(weekly, "restaurant_id", "weekly_active_restaurant"), WEEK, "left")
-        .join(rating, "week_start_date", "left")
-        .join(delivery, "week_start_date", "left")
+        .join(_weekly_links(weekly, deliveries, ratings), WEEK, "left")
+    )
+    # One row per phase of a week; measures of the other phases count for the whole week.
+    week = Window.partitionBy("week_start_date")
+    whole_week = joined.withColumns({c: F.sum(c).over(week) for c in LINKED})
+    return (
+        whole_week.select("*", *delivery_columns(), *rating_columns())
+        .withColumns({c: F.coalesce(c, F.lit(0)) for c in ("weekly_order", "weekly_cancel_order")})
+        .select(
+            "phase",
+            "week_start_date",
+            "weekly_order",
+            "weekly_active_customer",
+            "weekly_cancel_order",
+            "weekly_active_restaurant",
+            safe_ratio(F.col("weekly_order"), F.col("weekly_active_customer")).alias("weekly_frequency"),
+            safe_ratio(F.col("weekly_cancel_order"), F.col("weekly_order")).alias("cancellation_rate"),
+            F.col("avg_rating").alias("avg_weekly_rating"),
+            F.col("avg_actual_time_min").alias("avg_weekly_actual_time"),
+            F.col("avg_expected_time_min").alias("avg_weekly_expected_time"),
+            (F.col("avg_actual_time_min") - F.col("avg_expected_time_min")).alias("avg_weekly_delay_min"),
+        )
+    )
+
+
+def _weekly_links(weekly: DataFrame, deliveries: DataFrame, ratings: DataFrame) -> DataFrame:
+    """Distinct orders and the sums of their deliveries and ratings, by week and phase.
+
+    The linked orders are already partitioned by id, so counting distinct ids shuffles
+    nothing more than one row per week and phase.
+    """
+    marked = weekly.withColumn("lost", is_cancelled())
+    linked = linked_orders(marked, [*WEEK, "lost"], deliveries, ratings)
+    per_order = linked.groupBy(*WEEK, "order_id").agg(
+        F.max("lost").alias("lost"), *[F.sum(c).alias(c) for c in LINKED]
     )
-    delay = F.col("avg_actual_time_min") - F.col("avg_expected_time_min")
-    return joined.select(
-        "phase",
-        "week_start_date",
-        "weekly_order",
-        "weekly_active_customer",
-        "weekly_cancel_order",
-        "weekly_active_restaurant",
-        safe_ratio(F.col("weekly_order"), F.col("weekly_active_customer")).alias("weekly_frequency"),
-        safe_ratio(F.col("weekly_cancel_order"), F.col("weekly_order")).alias("cancellation_rate"),
-        F.col("avg_rating").alias("avg_weekly_rating"),
-        F.col("avg_actual_time_min").alias("avg_weekly_actual_time"),
-        F.col("avg_expected_time_min").alias("avg_weekly_expected_time"),
-        delay.alias("avg_weekly_delay_min"),
+    return per_order.groupBy(*WEEK).agg(
+        F.count("order_id").alias("weekly_order"),
+        count_when(F.col("lost")).alias("weekly_cancel_order"),
+        *[F.sum(c).alias(c) for c in LINKED],
     )
 
 

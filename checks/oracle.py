@@ -66,7 +66,7 @@ def half_up(numerator: str, denominator: str, digits: int, result: str, unit_dig
 
 def units(money: str, digits: int) -> str:
     """Money as a whole number of its smallest unit."""
-    return f"CAST(CAST({money} AS DECIMAL(18,{digits})) * {10 ** digits} AS HUGEINT)"
+    return f"CAST(CAST({money} AS DECIMAL(30,{digits})) * CAST({10 ** digits} AS DECIMAL(5,0)) AS HUGEINT)"
 
 
 def ratio(numerator: str, denominator: str) -> str:
