@@ -77,7 +77,7 @@ def rounded(frame: DataFrame, digits: int, *columns: str) -> DataFrame:
 
 def grain_of_marts(t: Tables) -> DataFrame:
     keys = list(monthly.KEYS)
-    churn = monthly.restaurant_churn_rate(t.orders)
+    churn = monthly.restaurant_churn_rate(monthly.monthly_rest_activity(t.orders))
     return quality.grain_check(churn, keys).unionByName(quality.grain_check(t.master(), keys))
 
 
@@ -129,12 +129,16 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "q17_preview": lambda t: quality.preview(
         monthly.monthly_customer_activity(t.orders), 10, *monthly.KEYS, "customer_id"
     ),
-    "q18_returning_customer": lambda t: monthly.returning_customer(t.orders),
+    "q18_returning_customer": lambda t: monthly.returning_customer(
+        monthly.monthly_customer_activity(t.orders)
+    ),
     "q19_returning_customer_rate": lambda t: monthly.returning_customer_rate(t.orders),
     "q20_monthly_rest_activity": lambda t: monthly.monthly_rest_activity(t.orders),
-    "q21_monthly_active_res": lambda t: monthly.monthly_active_res(t.orders),
-    "q22_churn_restaurants": lambda t: monthly.churn_restaurants(t.orders),
-    "q23_restaurant_churn_rate": lambda t: monthly.restaurant_churn_rate(t.orders),
+    "q21_monthly_active_res": lambda t: monthly.monthly_active_res(monthly.monthly_rest_activity(t.orders)),
+    "q22_churn_restaurants": lambda t: monthly.churn_restaurants(monthly.monthly_rest_activity(t.orders)),
+    "q23_restaurant_churn_rate": lambda t: monthly.restaurant_churn_rate(
+        monthly.monthly_rest_activity(t.orders)
+    ),
     "q24_grain_check": grain_of_marts,
     "q24_grain_check_items": lambda t: quality.grain_check(t.items, ["order_id", "menu_item_id"]),
     "q26_monthly_master_summary": lambda t: rounded(t.master(), 10, "avg_sentiment").orderBy(*monthly.KEYS),

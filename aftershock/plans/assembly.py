@@ -1,0 +1,55 @@
+"""Marts built from stored marts.
+
+When the monthly marts are kept as tables, the next ones come from them instead of the
+facts. All inputs have a row per month and phase at any data volume.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Mapping
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from aftershock.functions.calendar import MONTH
+from aftershock.functions.measures import safe_ratio
+from aftershock.specs import PhaseSpec
+
+KEYS = list(MONTH)
+
+
+def returning_rate_from(active: DataFrame, returning: DataFrame) -> DataFrame:
+    """Returning-customer rate from the active and the returning customers by month."""
+    came_back = F.coalesce("returning_customers", F.lit(0))
+    buyers = F.col("active_customer_non_cancel")
+    return active.join(returning, KEYS, "left").select(
+        *KEYS,
+        buyers.alias("active_customers"),
+        came_back.alias("returning_customers"),
+        safe_ratio(came_back, buyers).alias("retention_rate"),
+    )
+
+
+def master_from(marts: Mapping[str, DataFrame], phases: PhaseSpec) -> DataFrame:
+    """The monthly master from the stored marts, by their table names.
+
+    Restaurants join on the month alone: churn carries the phase of the month before.
+    """
+    phases.require_month_starts()
+    churn = marts["restaurant_churn_rate"].withColumnRenamed("churn_rate", "restaurant_churn_rate")
+    cancelled = marts["cancellation_rate"].drop("total_orders")
+    joined = marts["monthly_order"]
+    for mart in (
+        marts["monthly_active_customer"],
+        marts["returning_customer_rate"],
+        marts["delivery_performance_summary"],
+        marts["rating_summary"],
+        cancelled,
+        marts["monthly_ordered_active_customer"].select(*KEYS, "order_per_active_customer"),
+        marts["revenue_per_active_customer"].select(*KEYS, "revenue_per_active_customer"),
+    ):
+        joined = joined.join(mart, KEYS, "left")
+    restaurants = marts["monthly_active_res"].drop("phase")
+    return joined.join(restaurants, "month_start_date", "left").join(
+        churn.drop("phase"), "month_start_date", "left"
+    )

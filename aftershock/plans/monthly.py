@@ -118,13 +118,13 @@ def monthly_customer_activity(orders: DataFrame) -> DataFrame:
     return active_set(orders, "customer_id")
 
 
-def returning_customer(orders: DataFrame) -> DataFrame:
-    """Customers of a month who also ordered in the month before, whatever its phase."""
-    return (
-        returning(monthly_customer_activity(orders), "customer_id")
-        .groupBy(*KEYS)
-        .agg(F.count(F.lit(1)).alias("returning_customers"))
-    )
+def returning_customer(activity: DataFrame) -> DataFrame:
+    """Customers of a month who also ordered in the month before, whatever its phase.
+
+    Takes the customer activity, freshly derived or read back from its table.
+    """
+    back = returning(activity, "customer_id")
+    return back.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("returning_customers"))
 
 
 def returning_customer_rate(orders: DataFrame) -> DataFrame:
@@ -142,34 +142,32 @@ def monthly_rest_activity(orders: DataFrame) -> DataFrame:
     )
 
 
-def monthly_active_res(orders: DataFrame) -> DataFrame:
-    return (
-        active_set(orders, "restaurant_id")
-        .groupBy(*KEYS)
-        .agg(F.count("restaurant_id").alias("active_restaurants"))
-    )
+def monthly_active_res(activity: DataFrame) -> DataFrame:
+    active = F.count("non_cancel_rest_id").alias("active_restaurants")
+    return activity.groupBy(*KEYS).agg(active)
 
 
-def restaurant_base(orders: DataFrame, same_phase: bool = True) -> DataFrame:
-    """Active restaurants of a month and those gone in the next, from one scan.
+def restaurant_base(activity: DataFrame, same_phase: bool = True) -> DataFrame:
+    """Active restaurants of a month and those gone in the next, in one pass over the activity.
 
     ``gone`` also counts the unknown restaurant, which churns but has no id to count.
     """
-    activity = flag_churned(active_set(orders, "restaurant_id"), "restaurant_id", same_phase)
-    return activity.groupBy(*KEYS).agg(
-        F.count("restaurant_id").alias("active_restaurants"),
-        F.count(F.when(F.col("churned"), F.col("restaurant_id"))).alias("churned_restaurants"),
+    restaurant = F.col("non_cancel_rest_id")
+    flagged = flag_churned(activity, "non_cancel_rest_id", same_phase)
+    return flagged.groupBy(*KEYS).agg(
+        F.count(restaurant).alias("active_restaurants"),
+        F.count(F.when(F.col("churned"), restaurant)).alias("churned_restaurants"),
         count_when(F.col("churned")).alias("gone"),
     )
 
 
-def restaurant_churn_rate(orders: DataFrame, same_phase: bool = True) -> DataFrame:
+def restaurant_churn_rate(activity: DataFrame, same_phase: bool = True) -> DataFrame:
     """Churn reported in the month after the last activity, under that activity's phase.
 
-    Its previous-month base is the activity group the churned restaurants come from, so
-    both sides of the rate are columns of one row.
+    Takes the restaurant activity. The previous-month base is the activity group the
+    churned restaurants come from, so both sides of the rate are columns of one row.
     """
-    base = restaurant_base(orders, same_phase).filter(F.col("gone") > 0)
+    base = restaurant_base(activity, same_phase).filter(F.col("gone") > 0)
     return base.select(
         F.add_months("month_start_date", 1).alias("month_start_date"),
         "phase",
@@ -179,11 +177,11 @@ def restaurant_churn_rate(orders: DataFrame, same_phase: bool = True) -> DataFra
     )
 
 
-def churn_restaurants(orders: DataFrame, same_phase: bool = True) -> DataFrame:
-    return restaurant_churn_rate(orders, same_phase).select(*KEYS, "churned_restaurants")
+def churn_restaurants(activity: DataFrame, same_phase: bool = True) -> DataFrame:
+    return restaurant_churn_rate(activity, same_phase).select(*KEYS, "churned_restaurants")
 
 
-def restaurants_by_month(orders: DataFrame) -> DataFrame:
+def restaurants_by_month(activity: DataFrame) -> DataFrame:
     """Active restaurants and incoming churn side by side, one row per month.
 
     Each activity group yields a row for its own month and one for the next, where its
@@ -202,7 +200,7 @@ def restaurants_by_month(orders: DataFrame) -> DataFrame:
         F.when(F.col("gone") > 0, F.col("churned_restaurants")).alias("churned_restaurants"),
         F.when(F.col("gone") > 0, F.col("active_restaurants")).alias("active_restaurants_prev_month"),
     )
-    rows = restaurant_base(orders).select(F.inline(F.array(own, following)))
+    rows = restaurant_base(activity).select(F.inline(F.array(own, following)))
     churned, before = F.sum("churned_restaurants"), F.sum("active_restaurants_prev_month")
     return rows.groupBy("month_start_date").agg(
         F.sum("active_restaurants").alias("active_restaurants"),
@@ -226,7 +224,7 @@ def monthly_master_summary(
     base = monthly_base(orders)
     linked = linked_measures(orders, deliveries, ratings, KEYS, delivered=is_kept())
     joined = base.join(linked, KEYS, "left").join(
-        restaurants_by_month(orders), "month_start_date", "left"
+        restaurants_by_month(monthly_rest_activity(orders)), "month_start_date", "left"
     )
     cancelled, all_orders = F.col("cancelled"), F.col("orders")
     percent = safe_ratio(F.lit(100.0) * cancelled.cast("double"), all_orders)

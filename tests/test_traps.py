@@ -80,13 +80,13 @@ def test_unrated_row_counts_in_rates_only(make_star):
 
 def test_every_restaurant_churns_at_a_phase_cut(make_star):
     star = make_star(fact_orders=[order(i, at=f"2025-0{i}-10") for i in (5, 6, 7)])
-    got = rows_of(monthly.restaurant_churn_rate(orders_of(star)))
+    got = rows_of(monthly.restaurant_churn_rate(monthly.monthly_rest_activity(orders_of(star))))
     assert got == [
         (day("2025-06-01"), "pre", 1, 1, 1.0),
         (day("2025-07-01"), "crisis", 1, 1, 1.0),
         (day("2025-08-01"), "post", 1, 1, 1.0),
     ]
-    across = monthly.churn_restaurants(orders_of(star), same_phase=False)
+    across = monthly.churn_restaurants(monthly.monthly_rest_activity(orders_of(star)), same_phase=False)
     assert rows_of(across) == [(day("2025-08-01"), "post", 1)]
 
 
@@ -152,7 +152,7 @@ def test_returning_customers(make_star):
         fact_orders=[order(1, 1, at="2025-05-05"), order(2, 1, at="2025-06-05"), order(3, 2, at="2025-05-06"), order(4, 3, at="2025-06-06")]
     )
     orders = orders_of(star)
-    assert rows_of(monthly.returning_customer(orders)) == [(day("2025-06-01"), "crisis", 1)]
+    assert rows_of(monthly.returning_customer(monthly.monthly_customer_activity(orders))) == [(day("2025-06-01"), "crisis", 1)]
     assert rows_of(monthly.returning_customer_rate(orders)) == [
         (day("2025-05-01"), "pre", 2, 0, 0.0),
         (day("2025-06-01"), "crisis", 2, 1, 0.5),
