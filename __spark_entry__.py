@@ -9,7 +9,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aftershock.functions.calendar import dated
+from aftershock.functions.calendar import dated, phase_rank
 from aftershock.operators import calendar, quality
 from aftershock.plans import cities, cohorts, daily, monthly, phases, restaurants, weekly
 from aftershock.session import shared_dir
@@ -84,10 +84,10 @@ def grain_of_marts(t: Tables) -> DataFrame:
 def export_and_count(t: Tables) -> DataFrame:
     """Export the four report frames as CSV to the shared folder and count what arrived."""
     frames = {
-        "weekly": t.weekly().orderBy("week_start_date", "phase"),
+        "weekly": PLANS["q32_weekly_kpis"](t),
         "retention": t.ops_retention(),
         "retention_rating": t.rating_retention(),
-        "city_revenue": t.city().orderBy("city", "phase"),
+        "city_revenue": PLANS["q41_city_revenue"](t),
     }
     spark = t.star.fact_orders.sparkSession
     paths = export_csv(frames, f"{shared_dir(spark)}/export-{uuid.uuid4().hex}")
@@ -147,14 +147,14 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "q28b_daily_ratings": lambda t: daily.daily_ratings(t.star.fact_orders, t.ratings),
     "q28c_daily_delivery": lambda t: daily.daily_delivery(t.star.fact_orders, t.deliveries),
     "q28_daily_summary": lambda t: t.daily(),
-    "q29_orders_per_active_customer_day": lambda t: daily.orders_per_active_customer_day(t.daily()),
-    "q30_phase_revenue_decomposition": lambda t: phases.phase_revenue_decomposition(t.orders),
+    "q29_orders_per_active_customer_day": lambda t: daily.orders_per_active_customer_day(t.daily()).orderBy("phase"),
+    "q30_phase_revenue_decomposition": lambda t: phases.phase_revenue_decomposition(t.orders).orderBy("phase"),
     "q31_phase_customer_overlap": lambda t: phases.phase_customer_overlap(t.orders, t.phases),
-    "q32_weekly_kpis": lambda t: t.weekly(),
+    "q32_weekly_kpis": lambda t: t.weekly().orderBy("week_start_date", "phase"),
     "q33_cohort_ops_retention": lambda t: t.ops_retention(),
     "q34_cohort_rating_retention": lambda t: t.rating_retention(),
     "q34_cohort_flag_retention": lambda t: t.rating_retention(group_by=cohorts.RATING_FLAGS),
-    "q35_new_vs_returning": lambda t: phases.new_vs_returning(t.star.fact_orders, t.phases),
+    "q35_new_vs_returning": lambda t: phases.new_vs_returning(t.star.fact_orders, t.phases).orderBy("phase"),
     "q36_frequency_bucket_retention": lambda t: cohorts.frequency_bucket_retention(t.orders, t.cohort),
     "q37_restaurant_tier_by_phase": lambda t: restaurants.restaurant_tier_by_phase(t.orders),
     "q38_top_restaurants_pre": lambda t: restaurants.top_restaurants_pre(t.orders, t.restaurants, t.phases),
@@ -162,7 +162,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
         t.orders, t.restaurants
     ),
     "q40_city_phase": lambda t: cities.city_phase(t.orders, t.restaurants),
-    "q41_city_revenue": lambda t: t.city(),
+    "q41_city_revenue": lambda t: t.city().orderBy("city", phase_rank(F.col("phase"))),
     "q42_city_revenue_wide": lambda t: cities.city_revenue_wide(t.orders, t.restaurants),
     "q43_phase_comparison": lambda t: rounded(phases.phase_comparison(t.master()), 9, *PHASE_DOUBLES),
     "q44_baseline_index": lambda t: rounded(weekly.baseline_index(t.weekly()), 6, *weekly.INDEXES),

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from aftershock.session import shared_dir
 
+# Last decile of each tier, and its label.
+TIERS = ((1, "Top_10%"), (3, "Next_20%"), (10, "Bottom_70%"))
+
 # monotonically_increasing_id: partition number above this bit, row number below it.
 ROW_BITS = 33
 
@@ -56,3 +59,20 @@ def tile_of(rank: Column, total: Column, tiles: int) -> Column:
         .otherwise(larger_tiles + F.ceil((rank - in_larger) / F.nullif(small, F.lit(0))))
         .cast("int")
     )
+
+
+def tier_by_ntile(
+    frame: DataFrame,
+    order: list[Column],
+    tiers: tuple[tuple[int, str], ...] = TIERS,
+    name: str = "restaurant_tier",
+) -> DataFrame:
+    """Label rows by tile: ``tiers`` lists each label with its last tile, in ascending order."""
+    ranked = global_ntile(frame, order, tiers[-1][0])
+    label = F.coalesce(*[F.when(F.col("tile") <= last, text) for last, text in tiers])
+    return ranked.withColumn(name, label).drop("tile")
+
+
+def tier_rank(tier: Column, tiers: tuple[tuple[int, str], ...] = TIERS) -> Column:
+    """Sort key of a label: the order of the tiers."""
+    return F.coalesce(*[F.when(tier == text, place) for place, (_, text) in enumerate(tiers, start=1)])

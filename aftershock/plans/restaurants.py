@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from aftershock.functions.calendar import before, phase_rank
 from aftershock.functions.measures import MONEY, count_when, is_kept
-from aftershock.operators.ntile import global_ntile
+from aftershock.operators.ntile import tier_by_ntile, tier_rank
 from aftershock.specs import PHASES, PhaseSpec
 
 
@@ -49,17 +49,10 @@ def restaurant_tier_by_phase(orders: DataFrame) -> DataFrame:
     The unknown restaurant is ranked with the others, but its orders cannot be looked up
     by id: its tier gets a row without phase, orders and revenue.
     """
-    ranked = global_ntile(
-        restaurant_phases(orders).filter(F.col("pre_orders") > 0), best_first(), 10, "decile"
-    )
-    tier = (
-        F.when(F.col("decile") == 1, "Top_10%")
-        .when(F.col("decile").isin(2, 3), "Next_20%")
-        .otherwise("Bottom_70%")
-    )
+    ranked = tier_by_ntile(restaurant_phases(orders).filter(F.col("pre_orders") > 0), best_first())
     totals = [c for c in ranked.columns if c.endswith(("_orders", "_revenue"))]
     tiers = ranked.groupBy(
-        tier.alias("restaurant_tier"), F.col("restaurant_id").isNull().alias("unknown")
+        "restaurant_tier", F.col("restaurant_id").isNull().alias("unknown")
     ).agg(*[F.sum(c).alias(c) for c in totals])
     rows = _phase_rows(tiers.filter(~F.col("unknown")), "restaurant_tier")
     unmatched = tiers.filter("unknown").select(
@@ -68,12 +61,9 @@ def restaurant_tier_by_phase(orders: DataFrame) -> DataFrame:
         F.lit(None).cast("bigint").alias("orders"),
         F.lit(None).cast(MONEY).alias("revenue"),
     )
-    tier_rank = (
-        F.when(F.col("restaurant_tier") == "Top_10%", 1)
-        .when(F.col("restaurant_tier") == "Next_20%", 2)
-        .otherwise(3)
+    return rows.unionByName(unmatched).orderBy(
+        tier_rank(F.col("restaurant_tier")), phase_rank(F.col("phase"))
     )
-    return rows.unionByName(unmatched).orderBy(tier_rank, phase_rank(F.col("phase")))
 
 
 def top_restaurants_pre(

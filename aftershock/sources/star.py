@@ -109,11 +109,11 @@ def normalize_orders(orders: DataFrame) -> DataFrame:
     return normalize_flags(normalize_amounts(orders))
 
 
-def read_star(spark: SparkSession, root: str, fmt: str = "parquet") -> Star:
+def read_star(spark: SparkSession, root: str, fmt: str = "parquet", **options: str) -> Star:
     """Read ``<root>/<table>`` for every table, with declared schemas (no inference pass)."""
 
     def open_table(name: str) -> DataFrame:
-        frame = spark.read.format(fmt).schema(SCHEMAS[name]).load(f"{root}/{name}")
+        frame = spark.read.format(fmt).options(**options).schema(SCHEMAS[name]).load(f"{root}/{name}")
         return normalize_orders(frame) if name == "fact_orders" else frame
 
     return Star(open_table)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from aftershock.functions.calendar import dated
 from aftershock.operators import dimension, quality
-from aftershock.operators.ntile import global_ntile
+from aftershock.operators.ntile import global_ntile, tier_by_ntile
 from aftershock.pipeline import build_marts, save_tables
 from aftershock.plans import cities, monthly
 from aftershock.session import shared_dir
@@ -40,6 +40,12 @@ def test_ntile_where_one_value_owns_most_rows(spark):
     assert spark_rows(tiled) == spark_rows(expected)
 
 
+def test_tiers(spark):
+    frame = spark.range(20).toDF("id")
+    tiers = tier_by_ntile(frame, [F.asc("id")], ((1, "head"), (4, "tail")), "part_of")
+    assert [r["count"] for r in tiers.groupBy("part_of").count().orderBy("part_of").collect()] == [5, 15]
+
+
 def test_ntile_puts_no_rows_into_a_single_task(spark):
     plan = global_ntile(spark.range(100).toDF("id"), [F.asc("id")], 10)
     text = plan._jdf.queryExecution().executedPlan().toString()

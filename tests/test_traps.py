@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aftershock.functions.calendar import dated, week_start
+from aftershock.functions.measures import rate, safe_ratio, weighted_mean
 from aftershock.operators import calendar, quality
 from aftershock.operators.ntile import global_ntile
 from aftershock.plans import cities, cohorts, daily, monthly, phases, weekly
@@ -198,6 +199,12 @@ def test_retention_curve(make_star):
     ]
 
 
+def test_measure_expressions(spark):
+    frame = spark.createDataFrame([(1.0, 1), (4.0, 3), (None, 5)], "x double, w int")
+    row = frame.agg(rate(F.col("x") > 2), weighted_mean(F.col("x"), F.col("w")), safe_ratio(F.sum("w"), F.lit(0))).collect()[0]
+    assert tuple(row) == (pytest.approx(1 / 3), pytest.approx(13 / 9), None)
+
+
 def test_specs_reject_bad_ranges():
     with pytest.raises(ValueError):
         PhaseSpec(day("2025-07-01"), day("2025-06-01"))
