@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Callable
 from functools import cached_property
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The packages next to this file, whatever directory it is loaded from.
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
 from aftershock.functions.calendar import dated, phase_rank
 from aftershock.operators import calendar, quality
 from aftershock.plans import cities, cohorts, daily, monthly, phases, restaurants, weekly

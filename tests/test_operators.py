@@ -12,9 +12,9 @@ from aftershock.functions.calendar import dated
 from aftershock.operators import dimension, quality
 from aftershock.operators.ntile import global_ntile, tier_by_ntile
 from aftershock.pipeline import build_marts, save_tables
-from aftershock.plans import cities, monthly
+from aftershock.plans import cities, cohorts, monthly
 from aftershock.session import shared_dir
-from aftershock.sinks.write import drop_mart, export_csv, save_bucketed
+from aftershock.sinks.write import drop_mart, export_csv, save_bucketed, save_star
 from aftershock.sources import jdbc, star as star_source, tpch
 from aftershock.specs import INCIDENT_PHASES
 from checks.compare import spark_rows
@@ -123,6 +123,23 @@ def test_star_round_trip_through_files(spark, tmp_path):
         star.no_such_table
 
 
+def test_stored_orders_are_skipped_by_time(spark, tmp_path):
+    source = tpch.read_star(spark, SMALL)
+    save_star(source, str(tmp_path), files=12)
+    star = star_source.read_star(spark, str(tmp_path))
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        mart = cohorts.frequency_bucket_retention(dated(star.fact_orders, tpch.PHASES), tpch.COHORT)
+        frame = mart.orderBy("frequency_bucket")
+        got = spark_rows(frame)
+        scan = frame._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+        assert scan.metrics().apply("numOutputRows").value() < 1500 * 0.5
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    plain = cohorts.frequency_bucket_retention(dated(source.fact_orders, tpch.PHASES), tpch.COHORT)
+    assert got == spark_rows(plain)
+
+
 def test_star_registers_for_sql(spark):
     tpch.read_star(spark, SMALL).register()
     assert spark.sql("SELECT COUNT(*) AS n FROM fact_orders WHERE restaurant_id IS NULL").collect()[0].n == 27
