@@ -146,8 +146,9 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     ),
     "q24_grain_check": grain_of_marts,
     "q24_grain_check_items": lambda t: quality.grain_check(t.items, ["order_id", "menu_item_id"]),
-    "q26_monthly_master_summary": lambda t: rounded(t.master(), 10, "avg_sentiment").orderBy(*monthly.KEYS),
+    "q26_monthly_master_summary": lambda t: rounded(t.master(), 10, "avg_sentiment"),
     "q27_mart_row_count": lambda t: quality.row_count(t.master(), "rows_in_master"),
+    "q27_mart_dump": lambda t: PLANS["q26_monthly_master_summary"](t).orderBy(*monthly.KEYS),
     "q28a_daily_orders": lambda t: daily.daily_orders(t.star.fact_orders),
     "q28b_daily_ratings": lambda t: daily.daily_ratings(t.star.fact_orders, t.ratings),
     "q28c_daily_delivery": lambda t: daily.daily_delivery(t.star.fact_orders, t.deliveries),

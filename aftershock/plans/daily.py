@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from aftershock.functions.calendar import assign_phase
 from aftershock.functions.measures import MONEY, is_kept, safe_ratio
 from aftershock.operators.linked import delivery_measures, linked_measures, rating_measures
-from aftershock.operators.orders import average_order_value, by_customer, roll_up_customers
+from aftershock.operators.orders import average_order_value, with_customers
 from aftershock.specs import PhaseSpec
 
 
@@ -18,7 +18,7 @@ def by_day(orders: DataFrame) -> DataFrame:
 
 
 def daily_orders(orders: DataFrame) -> DataFrame:
-    return roll_up_customers(by_customer(by_day(orders), ["date"]), ["date"]).select(
+    return with_customers(by_day(orders), ["date"]).select(
         "date",
         F.col("orders").alias("total_orders"),
         F.col("kept").alias("non_cancel_orders"),
@@ -44,7 +44,7 @@ def daily_delivery(orders: DataFrame, deliveries: DataFrame) -> DataFrame:
 def daily_summary(
     orders: DataFrame, deliveries: DataFrame, ratings: DataFrame, phases: PhaseSpec
 ) -> DataFrame:
-    """One row per day with orders; both branches are partitioned alike by the day.
+    """One row per day with orders; all branches are partitioned alike by the day.
 
     Takes dated orders. The calendar holds exactly the days with orders, so the order branch is the spine.
     Revenue is zero where no amount is known; ratings and deliveries stay NULL.

@@ -15,25 +15,23 @@ from aftershock.operators.dimension import join_dimension
 from aftershock.operators.linked import delivery_measures, linked_measures, rating_measures
 from aftershock.operators.orders import (
     average_order_value,
-    by_customer,
     by_period,
-    roll_up_customers,
+    count_customers,
+    customers_by_period,
+    period_customers,
+    with_customers,
 )
 from aftershock.specs import PhaseSpec
 
 KEYS = list(MONTH)
 
 
-def monthly_base(orders: DataFrame) -> DataFrame:
-    """Every order and customer measure of the monthly marts from one scan of the orders.
-
-    Marts select their columns from it; what they leave out, Catalyst prunes, down to the
-    window that finds the returning customers.
-    """
-    back = in_adjacent_month(F.col("kept") > 0, ["customer_id"], -1)
-    per_customer = by_customer(orders, KEYS).withColumn("back", back)
-    came_back = F.when((F.col("kept") > 0) & F.col("back"), F.col("customer_id"))
-    return roll_up_customers(per_customer, KEYS, F.count(came_back).alias("returning_customers"))
+def monthly_customers(orders: DataFrame) -> DataFrame:
+    """Active customers, buyers, and buyers who also bought in the month before."""
+    back = in_adjacent_month(F.col("bought"), ["customer_id"], -1)
+    per_customer = period_customers(orders, KEYS).withColumn("back", back)
+    came_back = F.when(F.col("bought") & F.col("back"), F.col("customer_id"))
+    return count_customers(per_customer, KEYS, F.count(came_back).alias("returning_customers"))
 
 
 def monthly_order(orders: DataFrame) -> DataFrame:
@@ -48,7 +46,7 @@ def monthly_order(orders: DataFrame) -> DataFrame:
 
 
 def monthly_active_customer(orders: DataFrame) -> DataFrame:
-    return monthly_base(orders).select(
+    return customers_by_period(orders, KEYS).select(
         *KEYS,
         F.col("customers").alias("active_customer"),
         F.col("kept_customers").alias("active_customer_non_cancel"),
@@ -96,7 +94,7 @@ def cancellation_rate(orders: DataFrame) -> DataFrame:
 
 
 def monthly_ordered_active_customer(orders: DataFrame) -> DataFrame:
-    return monthly_base(orders).select(
+    return with_customers(orders, KEYS).select(
         *KEYS,
         F.col("kept").alias("total_noncancel_order"),
         F.col("kept_customers").alias("active_customer"),
@@ -106,7 +104,7 @@ def monthly_ordered_active_customer(orders: DataFrame) -> DataFrame:
 
 def revenue_per_active_customer(orders: DataFrame) -> DataFrame:
     per_customer = decimal_ratio(F.col("revenue"), F.col("kept_customers"), "decimal(18,4)")
-    return monthly_base(orders).select(
+    return with_customers(orders, KEYS).select(
         *KEYS,
         F.col("kept_customers").alias("active_customer_non_cancel"),
         F.col("revenue").alias("total_revenue_non_cancel"),
@@ -128,7 +126,7 @@ def returning_customer(activity: DataFrame) -> DataFrame:
 
 
 def returning_customer_rate(orders: DataFrame) -> DataFrame:
-    return monthly_base(orders).select(
+    return monthly_customers(orders).select(
         *KEYS,
         F.col("kept_customers").alias("active_customers"),
         "returning_customers",
@@ -215,16 +213,19 @@ def monthly_master_summary(
 ) -> DataFrame:
     """All monthly marts in one row per month, 33 columns.
 
-    Three branches: orders with customers, orders linked to deliveries and ratings, and
-    restaurants. Each is one pass over the orders and ends in an aggregate on the month and
-    phase, so the joins find their sides partitioned alike; only the restaurant branch,
-    which is keyed by month alone, moves again, with one row per month.
+    Four branches: additive measures, customers, orders linked to deliveries and ratings,
+    and restaurants. Each is one pass over the orders, reads its own columns and ends in an
+    aggregate on the month and phase, so the joins find their sides partitioned alike; only
+    the restaurant branch, which is keyed by month alone, moves again, with a row per month.
     """
     phases.require_month_starts()
-    base = monthly_base(orders)
     linked = linked_measures(orders, deliveries, ratings, KEYS, delivered=is_kept())
-    joined = base.join(linked, KEYS, "left").join(
-        restaurants_by_month(monthly_rest_activity(orders)), "month_start_date", "left"
+    restaurants = restaurants_by_month(monthly_rest_activity(orders))
+    joined = (
+        by_period(orders, KEYS)
+        .join(monthly_customers(orders), KEYS, "left")
+        .join(linked, KEYS, "left")
+        .join(restaurants, "month_start_date", "left")
     )
     cancelled, all_orders = F.col("cancelled"), F.col("orders")
     percent = safe_ratio(F.lit(100.0) * cancelled.cast("double"), all_orders)

@@ -14,32 +14,26 @@ from aftershock.functions.measures import (
     safe_ratio,
     weighted_mean,
 )
+from aftershock.operators.orders import by_period, customers_by_period
 from aftershock.specs import PhaseSpec
 
 
 def phase_revenue_decomposition(orders: DataFrame) -> DataFrame:
     """Revenue = active customers x frequency x order value, by phase.
 
-    Customers and order ids are counted in separate passes, as one aggregate with two
-    distinct counts would carry every order twice through its hash tables.
+    Revenue, customers and order ids are taken in a pass each: one aggregate with two
+    distinct counts would carry every order several times through its hash tables.
     """
     kept = orders.filter(is_kept())
-    customers = (
-        kept.groupBy("phase", "customer_id")
-        .agg(F.sum("total_amount").alias("revenue"))
-        .groupBy("phase")
-        .agg(
-            F.count("customer_id").alias("active_customers"),
-            F.sum("revenue").cast(MONEY).alias("revenue"),
-        )
-    )
+    revenue = by_period(kept, ["phase"]).select("phase", "revenue")
+    customers = customers_by_period(kept, ["phase"])
     ids = kept.select("phase", "order_id").distinct()
     counted = ids.groupBy("phase").agg(F.count("order_id").alias("non_cancel_orders"))
-    return customers.join(counted, "phase", "left").select(
+    return revenue.join(customers, "phase", "left").join(counted, "phase", "left").select(
         "phase",
-        "active_customers",
+        F.col("customers").alias("active_customers"),
         "non_cancel_orders",
-        safe_ratio(F.col("non_cancel_orders"), F.col("active_customers")).alias("frequency"),
+        safe_ratio(F.col("non_cancel_orders"), F.col("customers")).alias("frequency"),
         "revenue",
         safe_ratio(F.col("revenue"), F.col("non_cancel_orders")).alias("aov"),
     )

@@ -568,6 +568,7 @@ REPORTS: dict[str, str] = {
       GROUP BY ALL HAVING COUNT(*) > 1""",
     "q26_monthly_master_summary": f"{SENTIMENT} monthly_master_summary",
     "q27_mart_row_count": "SELECT COUNT(*) AS rows_in_master FROM monthly_master_summary",
+    "q27_mart_dump": f"{SENTIMENT} monthly_master_summary ORDER BY {MONTHS}",
     "q28a_daily_orders": "SELECT * FROM daily_orders",
     "q28b_daily_ratings": "SELECT * FROM daily_ratings",
     "q28c_daily_delivery": "SELECT * FROM daily_delivery",

@@ -16,7 +16,7 @@ from checks.oracle import statements
 from tests.conftest import arrow, delivery, order, rating, restaurant, star_of
 
 SMALL = "/root/testdata/sf0.001"
-MONTH_MARTS = {"q24_grain_check", "q26_monthly_master_summary", "q27_mart_row_count", "q43_phase_comparison"}
+MONTH_MARTS = {"q24_grain_check", "q26_monthly_master_summary", "q27_mart_row_count", "q27_mart_dump", "q43_phase_comparison"}
 
 
 @pytest.fixture(scope="module")

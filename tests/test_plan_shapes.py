@@ -41,8 +41,8 @@ def test_no_cross_joins_and_no_python(plan, name):
     [
         ("q08_monthly_order", "o_orderkey,o_orderstatus,o_totalprice,o_orderdate"),
         ("q09_monthly_active_customer", "o_custkey,o_orderstatus,o_orderdate"),
-        ("q28a_daily_orders", "o_custkey,o_orderstatus,o_totalprice,o_orderdate"),
-        ("q29_orders_per_active_customer_day", "o_custkey,o_orderstatus,o_orderdate"),
+        ("q13_cancellation_rate", "o_orderstatus,o_orderdate"),
+        ("q19_returning_customer_rate", "o_custkey,o_orderstatus,o_orderdate"),
         ("q45_phase_spans", "o_custkey,o_orderdate"),
     ],
 )
@@ -54,8 +54,8 @@ def test_scans_read_the_needed_columns_of_the_orders_only(plan, name, columns):
     assert set(got.split(",")) <= set(columns.split(","))
 
 
-def test_master_reads_the_orders_three_times(plan):
-    assert plan("q26_monthly_master_summary").count("FileScan parquet [o_") == 3
+def test_master_reads_the_orders_once_per_branch(plan):
+    assert plan("q26_monthly_master_summary").count("FileScan parquet [o_") == 4
 
 
 def test_distinct_customers_take_two_shuffles(plan):
@@ -71,7 +71,7 @@ def test_joined_branches_are_partitioned_alike(plan):
     """No exchange directly below the joins on month and phase."""
     text = plan("q28_daily_summary")
     assert text.count("SortMergeJoin [date") == 1
-    assert text.count("Exchange hashpartitioning(date#") == 3
+    assert "Sort [date#" in text and not re.search(r"Sort \[date#[^\n]*\n[^\n]*Exchange", text)
 
 
 def test_top_k_does_not_sort_everything(plan):
