@@ -6,13 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aftershock.functions.calendar import phase_rank
-from aftershock.functions.measures import (
-    MONEY,
-    count_when,
-    decimal_ratio,
-    is_kept,
-    safe_ratio,
-)
+from aftershock.functions.measures import MONEY, decimal_ratio, is_kept, safe_ratio
 from aftershock.operators.dimension import join_dimension
 from aftershock.specs import PHASES
 

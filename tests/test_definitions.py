@@ -38,9 +38,9 @@ def test_entry_is_the_master(spark):
 def hostile(seed: int) -> dict:
     """A small star with everything that goes wrong in real tables.
 
-    Unknown customers, restaurants, days, amounts and flags; ids without a dimension row;
-    several deliveries and ratings per order, some for no order; equal revenues; and one
-    customer, one restaurant and one order that own about a third of their rows.
+    Unknown customers, restaurants, days, amounts and flags; repeated order ids; ids without
+    a dimension row; several deliveries and ratings per order, some for no order; equal
+    revenues; and one customer, one restaurant and one order that own a third of their rows.
     """
     rnd = random.Random(seed)
     maybe = lambda value, p=0.06: None if rnd.random() < p else value
@@ -50,7 +50,7 @@ def hostile(seed: int) -> dict:
         at = first + timedelta(minutes=rnd.randrange(60 * 24 * 190))
         orders.append(
             order(
-                order_id=maybe(i, 0.03),
+                order_id=maybe(rnd.randrange(i) if i and rnd.random() < 0.05 else i, 0.03),
                 customer=maybe(7 if rnd.random() < 0.33 else rnd.randrange(40)),
                 restaurant=maybe(3 if rnd.random() < 0.33 else rnd.randrange(24)),
                 at=maybe(at.isoformat(sep=" "), 0.03),
