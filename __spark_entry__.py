@@ -122,14 +122,20 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "q05_scan_restaurants": lambda t: t.restaurants,
     "q06_ratings_by_sentiment": lambda t: quality.ratings_by_sentiment(t.ratings, 0.7),
     "q07_orders_with_date": lambda t: calendar.orders_with_date(t.star.fact_orders, t.phases),
-    "q08_monthly_order": lambda t: monthly.monthly_order(t.orders),
-    "q09_monthly_active_customer": lambda t: monthly.monthly_active_customer(t.orders),
+    "q08_monthly_order": lambda t: monthly.monthly_order(monthly.order_base(t.orders)),
+    "q09_monthly_active_customer": lambda t: monthly.monthly_active_customer(monthly.customer_base(t.orders)),
     "q10_delivery_performance_summary": lambda t: monthly.delivery_performance_summary(t.orders, t.deliveries),
     "q11_rating_summary": lambda t: rounded(monthly.rating_summary(t.orders, t.ratings), 10, "avg_sentiment"),
-    "q12_restaurant_activity_summary": lambda t: monthly.restaurant_activity_summary(t.orders, t.restaurants),
-    "q13_cancellation_rate": lambda t: monthly.cancellation_rate(t.orders),
-    "q14_monthly_ordered_active_customer": lambda t: monthly.monthly_ordered_active_customer(t.orders),
-    "q15_revenue_per_active_customer": lambda t: monthly.revenue_per_active_customer(t.orders),
+    "q12_restaurant_activity_summary": lambda t: monthly.restaurant_activity_summary(
+        monthly.monthly_rest_activity(t.orders), t.restaurants
+    ),
+    "q13_cancellation_rate": lambda t: monthly.cancellation_rate(monthly.order_base(t.orders)),
+    "q14_monthly_ordered_active_customer": lambda t: monthly.monthly_ordered_active_customer(
+        monthly.monthly_base(t.orders)
+    ),
+    "q15_revenue_per_active_customer": lambda t: monthly.revenue_per_active_customer(
+        monthly.monthly_base(t.orders)
+    ),
     "q16_monthly_customer_activity": lambda t: monthly.monthly_customer_activity(t.orders),
     "q17_preview": lambda t: quality.preview(
         monthly.monthly_customer_activity(t.orders), 10, *monthly.KEYS, "customer_id"
@@ -137,7 +143,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "q18_returning_customer": lambda t: monthly.returning_customer(
         monthly.monthly_customer_activity(t.orders)
     ),
-    "q19_returning_customer_rate": lambda t: monthly.returning_customer_rate(t.orders),
+    "q19_returning_customer_rate": lambda t: monthly.returning_customer_rate(monthly.customer_base(t.orders)),
     "q20_monthly_rest_activity": lambda t: monthly.monthly_rest_activity(t.orders),
     "q21_monthly_active_res": lambda t: monthly.monthly_active_res(monthly.monthly_rest_activity(t.orders)),
     "q22_churn_restaurants": lambda t: monthly.churn_restaurants(monthly.monthly_rest_activity(t.orders)),

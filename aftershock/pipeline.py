@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from aftershock.functions.calendar import dated
 from aftershock.operators.calendar import build_dim_date
 from aftershock.operators.quality import clean_ratings
-from aftershock.plans import assembly, daily, monthly, phases
+from aftershock.plans import daily, monthly, phases
 from aftershock.sinks.write import save_mart
 from aftershock.sources.star import Star
 from aftershock.specs import PhaseSpec
@@ -28,7 +28,11 @@ def save_tables(database: str | None = None) -> Callable[[str, DataFrame], DataF
 def build_marts(
     star: Star, spec: PhaseSpec, save: Callable[[str, DataFrame], DataFrame]
 ) -> dict[str, DataFrame]:
-    """Build and store every mart; returns the stored frames by name."""
+    """Build and store every mart; returns the stored frames by name.
+
+    Bases and activity sets are stored first. The other monthly marts come from those tables
+    and read no facts.
+    """
     marts: dict[str, DataFrame] = {}
 
     def keep(name: str, frame: DataFrame) -> DataFrame:
@@ -40,25 +44,29 @@ def build_marts(
     keep("clean_fact_ratings", clean_ratings(ratings))
     keep("dim_date", build_dim_date(star.fact_orders, spec))
 
-    keep("monthly_order", monthly.monthly_order(orders))
-    active = keep("monthly_active_customer", monthly.monthly_active_customer(orders))
-    keep("delivery_performance_summary", monthly.delivery_performance_summary(orders, deliveries))
-    keep("rating_summary", monthly.rating_summary(orders, ratings))
-    keep("restaurant_activity_summary", monthly.restaurant_activity_summary(orders, star.dim_restaurant))
-    keep("cancellation_rate", monthly.cancellation_rate(orders))
-    keep("monthly_ordered_active_customer", monthly.monthly_ordered_active_customer(orders))
-    keep("revenue_per_active_customer", monthly.revenue_per_active_customer(orders))
+    base = keep("monthly_base", monthly.monthly_base(orders))
+    keep("monthly_order", monthly.monthly_order(base))
+    keep("monthly_active_customer", monthly.monthly_active_customer(base))
+    keep("cancellation_rate", monthly.cancellation_rate(base))
+    keep("monthly_ordered_active_customer", monthly.monthly_ordered_active_customer(base))
+    keep("revenue_per_active_customer", monthly.revenue_per_active_customer(base))
+    keep("returning_customer_rate", monthly.returning_customer_rate(base))
+
+    links = keep("monthly_links", monthly.link_base(orders, deliveries, ratings))
+    keep("delivery_performance_summary", monthly.delivery_mart(links))
+    keep("rating_summary", monthly.rating_mart(links))
 
     customers = keep("monthly_customer_activity", monthly.monthly_customer_activity(orders))
-    returning = keep("returning_customer", monthly.returning_customer(customers))
-    keep("returning_customer_rate", assembly.returning_rate_from(active, returning))
+    keep("returning_customer", monthly.returning_customer(customers))
 
     restaurants = keep("monthly_rest_activity", monthly.monthly_rest_activity(orders))
     keep("monthly_active_res", monthly.monthly_active_res(restaurants))
+    keep("restaurant_activity_summary", monthly.restaurant_activity_summary(restaurants, star.dim_restaurant))
     keep("churn_restaurants", monthly.churn_restaurants(restaurants))
     keep("restaurant_churn_rate", monthly.restaurant_churn_rate(restaurants))
 
-    master = keep("monthly_master_summary", assembly.master_from(marts, spec))
+    by_month = monthly.restaurants_by_month(restaurants)
+    master = keep("monthly_master_summary", monthly.master_from(base, links, by_month, spec))
     days = keep("daily_summary", daily.daily_summary(orders, deliveries, ratings, spec))
     keep("phase_comparison", phases.phase_comparison(master))
     keep("orders_per_active_customer_day", daily.orders_per_active_customer_day(days))

@@ -1,6 +1,8 @@
 """Monthly marts, one row per month and phase unless said otherwise.
 
-All functions take orders from :func:`aftershock.functions.calendar.dated`.
+Bases turn the facts into a row per month and phase; marts are projections of a base, so a
+base that was stored once serves all its marts. What a mart leaves out of a lazy base,
+Catalyst prunes. Orders come from :func:`aftershock.functions.calendar.dated`.
 """
 
 from __future__ import annotations
@@ -17,16 +19,26 @@ from aftershock.operators.orders import (
     average_order_value,
     by_period,
     count_customers,
-    customers_by_period,
     period_customers,
-    with_customers,
 )
 from aftershock.specs import PhaseSpec
 
 KEYS = list(MONTH)
+DELIVERY_KPIS = [
+    "deliveries",
+    "avg_expected_time_min",
+    "avg_actual_time_min",
+    "diff_minutes_decimal",
+    "late_rate",
+]
 
 
-def monthly_customers(orders: DataFrame) -> DataFrame:
+def order_base(orders: DataFrame) -> DataFrame:
+    """Additive order measures."""
+    return by_period(orders, KEYS)
+
+
+def customer_base(orders: DataFrame) -> DataFrame:
     """Active customers, buyers, and buyers who also bought in the month before."""
     back = in_adjacent_month(F.col("bought"), ["customer_id"], -1)
     per_customer = period_customers(orders, KEYS).withColumn("back", back)
@@ -34,8 +46,18 @@ def monthly_customers(orders: DataFrame) -> DataFrame:
     return count_customers(per_customer, KEYS, F.count(came_back).alias("returning_customers"))
 
 
-def monthly_order(orders: DataFrame) -> DataFrame:
-    return by_period(orders, KEYS).select(
+def monthly_base(orders: DataFrame) -> DataFrame:
+    """Order and customer measures; both sides of the join are partitioned alike."""
+    return order_base(orders).join(customer_base(orders), KEYS, "left")
+
+
+def link_base(orders: DataFrame, deliveries: DataFrame, ratings: DataFrame) -> DataFrame:
+    """KPIs of the deliveries of kept orders, and of the ratings of all orders."""
+    return linked_measures(orders, deliveries, ratings, KEYS, delivered=is_kept())
+
+
+def monthly_order(base: DataFrame) -> DataFrame:
+    return base.select(
         *KEYS,
         F.col("order_ids").alias("total_orders"),
         F.col("revenue").alias("total_revenue"),
@@ -45,56 +67,28 @@ def monthly_order(orders: DataFrame) -> DataFrame:
     )
 
 
-def monthly_active_customer(orders: DataFrame) -> DataFrame:
-    return customers_by_period(orders, KEYS).select(
+def monthly_active_customer(base: DataFrame) -> DataFrame:
+    return base.select(
         *KEYS,
         F.col("customers").alias("active_customer"),
         F.col("kept_customers").alias("active_customer_non_cancel"),
     )
 
 
-def delivery_performance_summary(orders: DataFrame, deliveries: DataFrame) -> DataFrame:
-    return delivery_measures(orders.filter(is_kept()), deliveries, KEYS)
-
-
-def rating_summary(orders: DataFrame, ratings: DataFrame) -> DataFrame:
-    """Ratings by order month, those of cancelled orders included."""
-    return rating_measures(orders, ratings, KEYS).drop("rating_count")
-
-
-def restaurant_activity_summary(orders: DataFrame, restaurants: DataFrame) -> DataFrame:
-    """Active restaurants by month, phase and partner type.
-
-    The activity is reduced to one row per restaurant and month before it meets the
-    dimension, so a restaurant's order volume does not matter to the join.
-    """
-    attributes = restaurants.select("restaurant_id", "partner_type", "is_active")
-    active = active_set(orders, "restaurant_id")
-    return (
-        join_dimension(active, attributes, "restaurant_id")
-        .groupBy(*KEYS, "partner_type")
-        .agg(
-            F.count(F.lit(1)).alias("monthly_active_restaurant"),
-            count_when(F.col("is_active") == 1).alias("active_restaurant_with_orders"),
-            count_when(F.col("is_active") == 0).alias("inactive_restaurant_with_ordes"),
-        )
-    )
-
-
-def cancellation_rate(orders: DataFrame) -> DataFrame:
+def cancellation_rate(base: DataFrame) -> DataFrame:
     share = safe_ratio(F.col("cancelled"), F.col("orders"))
-    percent = F.lit(100.0) * F.col("cancelled").cast("double")
-    return by_period(orders, KEYS).select(
+    percent = safe_ratio(F.lit(100.0) * F.col("cancelled").cast("double"), F.col("orders"))
+    return base.select(
         *KEYS,
         F.col("orders").alias("total_orders"),
         F.col("cancelled").alias("cancelled_orders"),
         share.alias("cancellation_rate"),
-        F.round(safe_ratio(percent, F.col("orders")), 3).alias("cancellation_rate_pct"),
+        F.round(percent, 3).alias("cancellation_rate_pct"),
     )
 
 
-def monthly_ordered_active_customer(orders: DataFrame) -> DataFrame:
-    return with_customers(orders, KEYS).select(
+def monthly_ordered_active_customer(base: DataFrame) -> DataFrame:
+    return base.select(
         *KEYS,
         F.col("kept").alias("total_noncancel_order"),
         F.col("kept_customers").alias("active_customer"),
@@ -102,9 +96,9 @@ def monthly_ordered_active_customer(orders: DataFrame) -> DataFrame:
     )
 
 
-def revenue_per_active_customer(orders: DataFrame) -> DataFrame:
+def revenue_per_active_customer(base: DataFrame) -> DataFrame:
     per_customer = decimal_ratio(F.col("revenue"), F.col("kept_customers"), "decimal(18,4)")
-    return with_customers(orders, KEYS).select(
+    return base.select(
         *KEYS,
         F.col("kept_customers").alias("active_customer_non_cancel"),
         F.col("revenue").alias("total_revenue_non_cancel"),
@@ -112,6 +106,34 @@ def revenue_per_active_customer(orders: DataFrame) -> DataFrame:
     )
 
 
+def returning_customer_rate(base: DataFrame) -> DataFrame:
+    return base.select(
+        *KEYS,
+        F.col("kept_customers").alias("active_customers"),
+        "returning_customers",
+        safe_ratio(F.col("returning_customers"), F.col("kept_customers")).alias("retention_rate"),
+    )
+
+
+def delivery_performance_summary(orders: DataFrame, deliveries: DataFrame) -> DataFrame:
+    return delivery_measures(orders.filter(is_kept()), deliveries, KEYS)
+
+
+def rating_summary(orders: DataFrame, ratings: DataFrame) -> DataFrame:
+    """Ratings by order month, those of cancelled orders included."""
+    return rating_measures(orders, ratings, KEYS).drop("rating_count")
+
+
+def delivery_mart(links: DataFrame) -> DataFrame:
+    """The delivery mart from the stored links; only months with deliveries."""
+    return links.filter(F.col("deliveries").isNotNull()).select(*KEYS, *DELIVERY_KPIS)
+
+
+def rating_mart(links: DataFrame) -> DataFrame:
+    """The rating mart from the stored links; only months with ratings."""
+    return links.filter(F.col("rating_count").isNotNull()).drop("rating_count", *DELIVERY_KPIS)
+
+
 def monthly_customer_activity(orders: DataFrame) -> DataFrame:
     return active_set(orders, "customer_id")
 
@@ -125,15 +147,6 @@ def returning_customer(activity: DataFrame) -> DataFrame:
     return back.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("returning_customers"))
 
 
-def returning_customer_rate(orders: DataFrame) -> DataFrame:
-    return monthly_customers(orders).select(
-        *KEYS,
-        F.col("kept_customers").alias("active_customers"),
-        "returning_customers",
-        safe_ratio(F.col("returning_customers"), F.col("kept_customers")).alias("retention_rate"),
-    )
-
-
 def monthly_rest_activity(orders: DataFrame) -> DataFrame:
     return active_set(orders, "restaurant_id").withColumnRenamed(
         "restaurant_id", "non_cancel_rest_id"
@@ -145,6 +158,25 @@ def monthly_active_res(activity: DataFrame) -> DataFrame:
     return activity.groupBy(*KEYS).agg(active)
 
 
+def restaurant_activity_summary(activity: DataFrame, restaurants: DataFrame) -> DataFrame:
+    """Active restaurants by month, phase and partner type.
+
+    The activity has one row per restaurant and month when it meets the dimension, so a
+    restaurant's order volume does not matter to the join.
+    """
+    attributes = restaurants.select("restaurant_id", "partner_type", "is_active")
+    active = activity.withColumnRenamed("non_cancel_rest_id", "restaurant_id")
+    return (
+        join_dimension(active, attributes, "restaurant_id")
+        .groupBy(*KEYS, "partner_type")
+        .agg(
+            F.count(F.lit(1)).alias("monthly_active_restaurant"),
+            count_when(F.col("is_active") == 1).alias("active_restaurant_with_orders"),
+            count_when(F.col("is_active") == 0).alias("inactive_restaurant_with_ordes"),
+        )
+    )
+
+
 def restaurant_base(activity: DataFrame, same_phase: bool = True) -> DataFrame:
     """Active restaurants of a month and those gone in the next, in one pass over the activity.
 
@@ -213,20 +245,28 @@ def monthly_master_summary(
 ) -> DataFrame:
     """All monthly marts in one row per month, 33 columns.
 
-    Four branches: additive measures, customers, orders linked to deliveries and ratings,
-    and restaurants. Each is one pass over the orders, reads its own columns and ends in an
-    aggregate on the month and phase, so the joins find their sides partitioned alike; only
-    the restaurant branch, which is keyed by month alone, moves again, with a row per month.
+    Four branches: order measures, customers, orders linked to deliveries and ratings, and
+    restaurants. Each is one pass over the orders and reads its own columns.
     """
-    phases.require_month_starts()
-    linked = linked_measures(orders, deliveries, ratings, KEYS, delivered=is_kept())
-    restaurants = restaurants_by_month(monthly_rest_activity(orders))
-    joined = (
-        by_period(orders, KEYS)
-        .join(monthly_customers(orders), KEYS, "left")
-        .join(linked, KEYS, "left")
-        .join(restaurants, "month_start_date", "left")
+    return master_from(
+        monthly_base(orders),
+        link_base(orders, deliveries, ratings),
+        restaurants_by_month(monthly_rest_activity(orders)),
+        phases,
     )
+
+
+def master_from(
+    base: DataFrame, links: DataFrame, restaurants: DataFrame, phases: PhaseSpec
+) -> DataFrame:
+    """The master from its bases, lazy or stored.
+
+    The bases end in aggregates on the month and phase, so the joins find their sides
+    partitioned alike; only the restaurants, which are keyed by month alone, move again, with
+    a row per month.
+    """
+    phases.require_month_starts()
+    joined = base.join(links, KEYS, "left").join(restaurants, "month_start_date", "left")
     cancelled, all_orders = F.col("cancelled"), F.col("orders")
     percent = safe_ratio(F.lit(100.0) * cancelled.cast("double"), all_orders)
     return joined.select(

@@ -86,14 +86,19 @@ def hostile(seed: int) -> dict:
     }
 
 
-def check(spark, rows: dict, phases, names) -> None:
-    tables = arrow(**rows)
+def definitions(rows: dict) -> duckdb.DuckDBPyConnection:
+    """A DuckDB with the base tables; flags as a case-insensitive column compares them."""
     con = duckdb.connect()
-    for name, table in tables.items():
+    for name, table in arrow(**rows).items():
         con.register(f"raw_{name}", table)
         fields = "* REPLACE (UPPER(RTRIM(is_cancelled)) AS is_cancelled)" if name == "fact_orders" else "*"
         con.execute(f"CREATE TABLE {name} AS SELECT {fields} FROM raw_{name}")
-    context = entry.Tables(star_of(spark, tables), phases, INCIDENT_COHORT)
+    return con
+
+
+def check(spark, rows: dict, phases, names) -> None:
+    con = definitions(rows)
+    context = entry.Tables(star_of(spark, arrow(**rows)), phases, INCIDENT_COHORT)
     expected = statements(phases, INCIDENT_COHORT, base="")
     wrong = [n for n in names if spark_rows(entry.PLANS[n](context)) != duck_rows(con, expected[n])]
     assert wrong == []

@@ -25,7 +25,7 @@ def orders_of(star):
 def test_flags_compare_without_case_or_trailing_blanks(make_star):
     flags = ["N", "n", "Y", "y", "N "]
     star = make_star(fact_orders=[order(i, flag=f) for i, f in enumerate(flags)])
-    got = rows_of(monthly.monthly_order(orders_of(star)), "total_non_cancelled_order", "total_cancelled_order")
+    got = rows_of(monthly.monthly_order(monthly.order_base(orders_of(star))), "total_non_cancelled_order", "total_cancelled_order")
     assert got == [(3, 2)]
 
 
@@ -154,7 +154,7 @@ def test_returning_customers(make_star):
     )
     orders = orders_of(star)
     assert rows_of(monthly.returning_customer(monthly.monthly_customer_activity(orders))) == [(day("2025-06-01"), "crisis", 1)]
-    assert rows_of(monthly.returning_customer_rate(orders)) == [
+    assert rows_of(monthly.returning_customer_rate(monthly.customer_base(orders))) == [
         (day("2025-05-01"), "pre", 2, 0, 0.0),
         (day("2025-06-01"), "crisis", 2, 1, 0.5),
     ]
