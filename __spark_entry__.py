@@ -16,6 +16,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from aftershock.functions.calendar import dated, phase_rank
 from aftershock.operators import calendar, quality
+from aftershock.pipeline import report_frames
 from aftershock.plans import cities, cohorts, daily, monthly, phases, restaurants, weekly
 from aftershock.session import shared_dir
 from aftershock.sinks.write import export_csv
@@ -88,12 +89,7 @@ def grain_of_marts(t: Tables) -> DataFrame:
 
 def export_and_count(t: Tables) -> DataFrame:
     """Export the four report frames as CSV to the shared folder and count what arrived."""
-    frames = {
-        "weekly": PLANS["q32_weekly_kpis"](t),
-        "retention": t.ops_retention(),
-        "retention_rating": t.rating_retention(),
-        "city_revenue": PLANS["q41_city_revenue"](t),
-    }
+    frames = report_frames(t.star, t.phases, t.cohort)
     spark = t.star.fact_orders.sparkSession
     paths = export_csv(frames, f"{shared_dir(spark)}/export-{uuid.uuid4().hex}")
     counts = None

@@ -9,14 +9,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from aftershock.functions.calendar import dated
+from aftershock.functions.calendar import dated, phase_rank
 from aftershock.operators.calendar import build_dim_date
 from aftershock.operators.quality import clean_ratings
-from aftershock.plans import daily, monthly, phases
+from aftershock.plans import cities, cohorts, daily, monthly, phases, weekly
 from aftershock.sinks.write import save_mart
 from aftershock.sources.star import Star
-from aftershock.specs import PhaseSpec
+from aftershock.specs import CohortSpec, PhaseSpec
 
 
 def save_tables(database: str | None = None) -> Callable[[str, DataFrame], DataFrame]:
@@ -71,3 +72,17 @@ def build_marts(
     keep("phase_comparison", phases.phase_comparison(master))
     keep("orders_per_active_customer_day", daily.orders_per_active_customer_day(days))
     return marts
+
+
+def report_frames(star: Star, spec: PhaseSpec, cohort: CohortSpec) -> dict[str, DataFrame]:
+    """The four report frames, in report order, by the names of their exports."""
+    orders = dated(star.fact_orders, spec)
+    deliveries, ratings = star.fact_delivery_performance, star.fact_ratings
+    return {
+        "weekly_df": weekly.weekly_kpis(orders, deliveries, ratings).orderBy("week_start_date", "phase"),
+        "retention_df": cohorts.cohort_ops_retention(orders, deliveries, cohort),
+        "retention_rating_df": cohorts.cohort_rating_retention(orders, deliveries, ratings, cohort),
+        "city_revenue_df": cities.city_revenue(orders, star.dim_restaurant).orderBy(
+            "city", phase_rank(F.col("phase"))
+        ),
+    }

@@ -593,10 +593,10 @@ REPORTS: dict[str, str] = {
     "q45_phase_spans": "SELECT * FROM phase_spans",
     "q46_restaurant_coverage": "SELECT * FROM restaurant_coverage",
     "q47_revenue_share_pivot": "SELECT * FROM revenue_share_pivot",
-    "q48_export_csv": """SELECT 'weekly' AS frame, COUNT(*) AS exported_rows FROM weekly_kpis
-      UNION ALL SELECT 'retention', COUNT(*) FROM cohort_ops_retention
-      UNION ALL SELECT 'retention_rating', COUNT(*) FROM cohort_rating_retention
-      UNION ALL SELECT 'city_revenue', COUNT(*) FROM city_revenue""",
+    "q48_export_csv": """SELECT 'weekly_df' AS frame, COUNT(*) AS exported_rows FROM weekly_kpis
+      UNION ALL SELECT 'retention_df', COUNT(*) FROM cohort_ops_retention
+      UNION ALL SELECT 'retention_rating_df', COUNT(*) FROM cohort_rating_retention
+      UNION ALL SELECT 'city_revenue_df', COUNT(*) FROM city_revenue""",
     "q49_cohort_retention_curve": "SELECT * FROM cohort_retention_curve",
 }
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from aftershock.__main__ import main
 from aftershock.functions.calendar import dated
 from aftershock.operators import dimension, quality
 from aftershock.operators.ntile import global_ntile, tier_by_ntile
@@ -187,6 +188,16 @@ def test_pipeline_can_be_repeated_and_equals_the_definitions(spark):
     assert not spark.catalog.tableExists("marts.daily_summary")
 
 
+def test_command_builds_and_exports(spark, tmp_path):
+    save_star(tpch_star := tpch.read_star(spark, SMALL), f"{tmp_path}/star", files=4)
+    main([f"{tmp_path}/star", "--database", "built", "--csv", f"{tmp_path}/csv",
+          "--crisis-start", "1998-01-01", "--post-start", "1999-01-01"])
+    assert spark.table("built.monthly_master_summary").count() == 80
+    weekly = spark.read.option("header", True).csv(f"{tmp_path}/csv/weekly_df")
+    expected = entry.PLANS["q32_weekly_kpis"](entry.Tables(tpch_star))
+    assert weekly.columns == expected.columns and weekly.count() == expected.count()
+
+
 def test_csv_export(spark, tmp_path):
     frame = spark.createDataFrame([(1, "a,b"), (2, None)], "n int, s string")
     paths = export_csv({"frame": frame}, str(tmp_path))
