@@ -30,6 +30,32 @@ def test_driver_tables(spark, small, name):
     assert spark_rows(frame) == duck_rows(small, entry.oracle_sql()[name])
 
 
+# Column order of the stored marts and the phase report.
+COLUMNS = {
+    "q04_build_dim_date": "date date_key year month month_name month_start_date year_month day_of_week day_name"
+    " is_weekend phase",
+    "q26_monthly_master_summary": "month_start_date phase total_orders total_revenue average_order_value"
+    " total_cancelled_order total_non_cancelled_order active_customer active_customer_non_cancel active_customers"
+    " returning_customers retention_rate deliveries avg_expected_time_min avg_actual_time_min diff_minutes_decimal"
+    " late_rate avg_rating total_rating low_rating_rate five_start_rating one_start_rating net_rating avg_sentiment"
+    " cancelled_orders cancellation_rate cancellation_rate_pct order_per_active_customer"
+    " revenue_per_active_customer active_restaurants restaurant_churn_rate churned_restaurants"
+    " active_restaurants_prev_month",
+    "q28_daily_summary": "date phase total_orders non_cancel_orders revenue_non_cancel aov_non_cancel"
+    " active_customers_non_cancel cancellation_rate avg_rating rating_count low_rating_rate avg_expected_time_min"
+    " avg_actual_time_min late_rate",
+    "q43_phase_comparison": "phase months_in_phase total_orders total_revenue avg_monthly_active_customers"
+    " avg_monthly_active_non_cancel_customers retention_rate avg_rating late_rate avg_actual_time_min"
+    " avg_expected_time_min diff_actual_expected_min cancellation_rate avg_monthly_active_restaurants"
+    " avg_monthly_sentiment_score",
+}
+
+
+@pytest.mark.parametrize("name", list(COLUMNS))
+def test_column_order(spark, name):
+    assert entry.queries()[name](spark, SMALL).columns == COLUMNS[name].split()
+
+
 def test_entry_is_the_master(spark):
     frame = entry.entry(spark)
     assert len(frame.columns) == 33 and frame.count() == 80
