@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ def scanned_bytes(frame: DataFrame) -> int | None:
     try:
         leaves = frame._jdf.queryExecution().optimizedPlan().collectLeaves()
         return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    except Exception:
+    except (AttributeError, Py4JError):
         return None
 
 
