@@ -24,6 +24,12 @@ from aftershock.sources.star import AMOUNTS, Star
 from aftershock.sources.tpch import COHORT, PHASES, read_star
 from checks import oracle
 
+try:
+    import corpus_pipeline
+    from aftershock.llm import queries as llm
+except ImportError:  # the subpackage and the pipeline can be left out
+    corpus_pipeline = llm = None
+
 ENTRY_DATA = "/root/testdata/sf0.001"
 
 
@@ -191,8 +197,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(plan: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: plan(Tables(read_star(spark, sf_dir)))
 
-    return {name: bind(plan) for name, plan in PLANS.items()}
+    plans = {name: bind(plan) for name, plan in PLANS.items()}
+    if llm is not None:
+        plans |= llm.QUERIES | {"pipeline": corpus_pipeline.run}
+    return plans
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.statements(PHASES, COHORT)
+    statements = oracle.statements(PHASES, COHORT)
+    if llm is not None:
+        statements |= llm.ORACLE_SQL
+        if corpus_pipeline.ORACLE_SQL is not None:
+            statements["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return statements
