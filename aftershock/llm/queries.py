@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aftershock.llm import poisson_mix, site_lines, url_boost
+from aftershock.llm import huffman_ids, packing, poisson_mix, site_lines, url_boost
+from aftershock.llm.shared import scratch, stored
+from aftershock.llm.word_ids import tokenizer_path
 
 # The rules of the URL query.
 RULES = [
@@ -22,6 +24,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pieces.select(
+        "doc_id",
+        "start",
+        (F.octet_length("ids") / 4).cast("long").alias("length"),
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+        "padded",
+    )
+
+
 def op3_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources mixed by the square root of their sizes."""
     mixed = poisson_mix.mix_sources(table(spark, sf_dir, "documents"))
@@ -33,14 +49,29 @@ def op4_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_boost.judge_urls(pages, RULES).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op5_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written, read back, and the files removed."""
+    with scratch(spark, "ids") as path:
+        huffman_ids.write_ids(table(spark, sf_dir, "documents"), path, tokenizer_path())
+        digest = huffman_ids.read_ids(spark, path).select(
+            "doc_id",
+            "start",
+            (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+            F.crc32("ids").alias("ids_crc32"),
+        )
+        return stored(digest)
+
+
 def op6_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = site_lines.drop_site_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "source", "lines", "dropped", "text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pack": op1_pack,
     "op3_poisson_mix": op3_poisson_mix,
     "op4_url_verdicts": op4_url_verdicts,
+    "op5_huffman_ids": op5_huffman_ids,
     "op6_site_lines": op6_site_lines,
 }
 
