@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aftershock.llm import huffman_ids, packing, poisson_mix, site_lines, url_boost
-from aftershock.llm.shared import scratch, stored
+from aftershock.llm import huffman_ids, packing, poisson_mix, site_lines, toxicity, url_boost
+from aftershock.llm.shared import fold_of, scratch, stored
 from aftershock.llm.word_ids import tokenizer_path
 
 # The rules of the URL query.
@@ -67,12 +67,23 @@ def op6_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "source", "lines", "dropped", "text")
 
 
+def op9_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learnt outside the held-out fold, scored everywhere."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = fold_of(F.col("doc_id"), 5) == 0
+    model = toxicity.train(docs.filter(~held_out), labels.filter(~held_out))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op3_poisson_mix": op3_poisson_mix,
     "op4_url_verdicts": op4_url_verdicts,
     "op5_huffman_ids": op5_huffman_ids,
     "op6_site_lines": op6_site_lines,
+    "op9_nnpu_toxicity": op9_nnpu_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
