@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aftershock.llm import huffman_ids, packing, poisson_mix, site_lines, toxicity, url_boost
+from aftershock.llm import (
+    huffman_ids,
+    multi_index,
+    packing,
+    poisson_mix,
+    projection_passes,
+    site_lines,
+    toxicity,
+    url_boost,
+)
 from aftershock.llm.shared import fold_of, scratch, stored
 from aftershock.llm.word_ids import tokenizer_path
 
@@ -67,6 +76,10 @@ def op6_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "source", "lines", "dropped", "text")
 
 
+def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op9_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learnt outside the held-out fold, scored everywhere."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -77,13 +90,19 @@ def op9_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", predicted)
 
 
+def op10_projection_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_passes.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op3_poisson_mix": op3_poisson_mix,
     "op4_url_verdicts": op4_url_verdicts,
     "op5_huffman_ids": op5_huffman_ids,
     "op6_site_lines": op6_site_lines,
+    "op7_multi_index": op7_multi_index,
     "op9_nnpu_toxicity": op9_nnpu_toxicity,
+    "op10_projection_dedup": op10_projection_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
