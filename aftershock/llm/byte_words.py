@@ -94,3 +94,21 @@ def table(*members: int) -> np.ndarray:
     flags = np.zeros(256, bool)
     flags[list(members)] = True
     return flags
+
+
+def word_hashes(data: np.ndarray, limits: np.ndarray, spaces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and the limits of the texts among them."""
+    hashes, upto, before = [np.zeros(0, np.uint64)], np.zeros(len(limits), np.int64), 0
+    for a, b in slices(data, limits, spaces):
+        low, high = np.searchsorted(limits, [a, b], side="right")
+        inner = limits[low:high] - a
+        starts, ends = spans(data[a:b], inner, spaces)
+        upto[low:high] = before + np.searchsorted(ends, inner, side="right")
+        before += len(starts)
+        hashes.append(span_hashes(data[a:b], starts, ends))
+    return np.concatenate(hashes), np.maximum.accumulate(upto)
+
+
+# Space and \t \n \v \f \r separate words; A-Z become lower case.
+WHITE = table(0x20, *range(0x09, 0x0E))
+LOWER_ASCII = np.array([c + 32 if 0x41 <= c <= 0x5A else c for c in range(256)], np.uint8)

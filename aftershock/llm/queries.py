@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from aftershock.llm import (
     huffman_ids,
     multi_index,
+    ngram_join,
     packing,
     poisson_mix,
     projection_passes,
@@ -80,6 +81,10 @@ def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op9_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learnt outside the held-out fold, scored everywhere."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -101,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_huffman_ids": op5_huffman_ids,
     "op6_site_lines": op6_site_lines,
     "op7_multi_index": op7_multi_index,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_nnpu_toxicity": op9_nnpu_toxicity,
     "op10_projection_dedup": op10_projection_dedup,
 }
