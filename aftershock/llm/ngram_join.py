@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,9 @@ PER_GROUP = 16
 LEAST_GROUPS, MOST_GROUPS = 8, 4096
 # Points of an R-tree leaf.
 LEAF = 64
+LEAVES = ["token", "leaf", "low", "high", "first", "last", "box", "ids", "sizes", "components", "counts"]
+# Neighbours compared in the first step.
+REACH = 8
 SALTS = 16
 # Rows of two numbers that are broadcast, at most.
 SMALL = 200_000
@@ -71,11 +76,12 @@ def group_counts(shingles: np.ndarray) -> np.ndarray:
     while groups < MOST_GROUPS and groups * PER_GROUP < len(shingles):
         groups *= 2
     which = (shingles >> np.uint64(64 - groups.bit_length() + 1)).astype(np.int64)
-    return np.bincount(which, minlength=groups).astype("<u4")
+    # A cell of 2 GB cannot hold enough shingles for 16 bits to be short.
+    return np.bincount(which, minlength=groups).astype("<u2")
 
 
 def folded(counts: np.ndarray, groups: int) -> np.ndarray:
-    return counts.reshape(groups, -1).sum(1)
+    return counts.reshape(groups, -1).sum(1, dtype=np.int64)
 
 
 def at_most(a: np.ndarray, b: np.ndarray) -> int:
@@ -187,55 +193,57 @@ def shared_prefixes(points: DataFrame, similar: Similarity) -> DataFrame:
 
 
 def neighbours(rows: DataFrame, similar: Similarity) -> DataFrame:
-    """Pairs of rows next to each other in a token's order of points whose bound allows a link."""
+    """Pairs at most ``REACH`` apart in a token's order of points whose bound allows a link."""
     order = ["token", "n", "counts", "id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        last: deque[tuple] = deque(maxlen=REACH)
         for batch in batches:
             us, vs = [], []
-            for row in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                if last is not None and last[0] == row[0] and similar.sizes(last[1], row[1]):
-                    bound = at_most(np.frombuffer(last[2], "<u4"), np.frombuffer(row[2], "<u4"))
-                    if bound >= similar.overlap(last[1], row[1]):
-                        us.append(min(last[3], row[3]))
-                        vs.append(max(last[3], row[3]))
-                last = row
+            for token, n, raw, own in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                point = np.frombuffer(raw, "<u2")
+                if last and last[-1][0] != token:
+                    last.clear()
+                for _, other_n, other, other_id in last:
+                    if similar.sizes(n, other_n) and at_most(point, other) >= similar.overlap(n, other_n):
+                        us.append(min(own, other_id))
+                        vs.append(max(own, other_id))
+                last.append((token, n, point, own))
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     ranged = rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
     return ranged.mapInArrow(run, "u long, v long").filter("u <> v").distinct()
 
 
-LEAVES = "token long, component long, low long, high long, box binary, ids array<long>, sizes array<long>, counts array<binary>"
-
-
 def leaves(rows: DataFrame) -> DataFrame:
-    """R-tree leaves: up to ``LEAF`` points of a token and component, with sizes' range and counts' maxima."""
-    order = ["token", "component", "n", "counts", "id"]
+    """R-tree leaves: up to ``LEAF`` points of a token, with the ranges of sizes and components and the counts' maxima."""
+    order = ["token", "n", "counts", "id"]
 
-    def leaf(held: list[tuple]) -> pa.RecordBatch:
-        points = [np.frombuffer(row[3], "<u4") for row in held]
+    def leaf(number: int, held: list[tuple]) -> pa.RecordBatch:
+        points = [np.frombuffer(row[2], "<u2") for row in held]
         groups = min(map(len, points))
-        box = np.max([folded(p, groups) for p in points], axis=0).astype("<u4").tobytes()
-        values = [held[0][0], held[0][1], held[0][2], held[-1][2], box, *([row[i] for row in held] for i in (4, 2, 3))]
-        types = [pa.int64()] * 4 + [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())]
-        names = [c.split()[0] for c in LEAVES.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names)
+        points = np.array([folded(p, groups) for p in points])
+        box = points.max(axis=0).astype("<u4").tobytes()
+        own = [row[4] for row in held]
+        values = [held[0][0], number, held[0][1], held[-1][1], min(own), max(own), box]
+        values += [[row[i] for row in held] for i in (3, 1, 4)] + [points.astype("<u4").tobytes()]
+        types = [pa.int64()] * 6 + [pa.binary()] + [pa.list_(pa.int64())] * 3 + [pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], LEAVES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        number, held = TaskContext.get().partitionId() << 33, []
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in range(5))):
-                if held and (held[0][:2] != row[:2] or len(held) == LEAF):
-                    yield leaf(held)
-                    held = []
+                if held and (held[0][0] != row[0] or len(held) == LEAF):
+                    yield leaf(number, held)
+                    number, held = number + 1, []
                 held.append(row)
         if held:
-            yield leaf(held)
+            yield leaf(number, held)
 
-    ranged = rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
-    return ranged.mapInArrow(run, LEAVES)
+    ranged = rows.select(*order, "component").repartitionByRange(*order).sortWithinPartitions(*order)
+    types = ["long"] * 6 + ["binary"] + ["array<long>"] * 3 + ["binary"]
+    return ranged.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(LEAVES, types)))
 
 
 def crossings(found: DataFrame, similar: Similarity) -> DataFrame:
@@ -244,28 +252,40 @@ def crossings(found: DataFrame, similar: Similarity) -> DataFrame:
     sizes = (100 * F.col("a_high") >= similar.percent * F.col("b_low")) & (
         100 * F.col("b_high") >= similar.percent * F.col("a_low")
     )
-    meet = (F.col("a_token") == F.col("b_token")) & (F.col("a_component") < F.col("b_component")) & sizes
-    names = ["low", "box", "ids", "sizes", "counts"]
-    pairs = left.join(right, meet).select(*[f"{side}_{c}" for side in "ab" for c in names])
+    one = F.greatest("a_last", "b_last") == F.least("a_first", "b_first")
+    meet = (F.col("a_token") == F.col("b_token")) & (F.col("a_leaf") <= F.col("b_leaf")) & sizes & ~one
+    names = ["low", "box", "ids", "sizes", "components", "counts"]
+    pairs = left.join(right, meet).select("a_leaf", "b_leaf", *[f"{side}_{c}" for side in "ab" for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            us, vs = [], []
-            for row in zip(*(batch.column(c).to_pylist() for c in range(10))):
-                low_a, box_a, ids_a, sizes_a, counts_a, low_b, box_b, ids_b, sizes_b, counts_b = row
-                if at_most(np.frombuffer(box_a, "<u4"), np.frombuffer(box_b, "<u4")) < similar.overlap(low_a, low_b):
+            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i in range(batch.num_rows):
+                leaf_a, leaf_b, *sides = (batch.column(c)[i] for c in range(14))
+                (low_a, a), (low_b, b) = _points(*sides[:6]), _points(*sides[6:])
+                if at_most(a[0], b[0]) < similar.overlap(low_a, low_b):
                     continue
-                all_b = [np.frombuffer(c, "<u4") for c in counts_b]
-                for id_a, n_a, point in zip(ids_a, sizes_a, (np.frombuffer(c, "<u4") for c in counts_a)):
-                    for id_b, n_b, other in zip(ids_b, sizes_b, all_b):
-                        if similar.sizes(n_a, n_b) and at_most(point, other) >= similar.overlap(n_a, n_b):
-                            us.append(min(id_a, id_b))
-                            vs.append(max(id_a, id_b))
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+                groups = min(a[4].shape[1], b[4].shape[1])
+                points_a, points_b = (x[4].reshape(len(x[1]), groups, -1).sum(2) for x in (a, b))
+                bound = np.minimum(points_a[:, None], points_b).sum(2)
+                fits = similar.sizes(a[2][:, None], b[2]) & (a[3][:, None] != b[3])
+                fits &= bound >= similar.overlap(a[2][:, None], b[2])
+                if leaf_a == leaf_b:
+                    fits = np.triu(fits)
+                at_a, at_b = np.nonzero(fits)
+                us.append(np.minimum(a[1][at_a], b[1][at_b]))
+                vs.append(np.maximum(a[1][at_a], b[1][at_b]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
 
     return pairs.mapInArrow(run, "u long, v long").distinct()
 
 
+def _points(low, box, ids, sizes, components, counts) -> tuple[int, tuple[np.ndarray, ...]]:
+    ids, sizes, components = (x.values.to_numpy() for x in (ids, sizes, components))
+    box, counts = (np.frombuffer(x.as_buffer(), "<u4") for x in (box, counts))
+    return low.as_py(), (box, ids, sizes, components, counts.reshape(len(ids), -1))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, words: int, similar: Similarity) -> DataFrame:
     """The pairs whose sets are similar. Sets are taken from the texts of the documents concerned."""
     ids = stored(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct())
