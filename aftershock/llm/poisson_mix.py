@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aftershock.llm.shared import copies, salt
+from aftershock.llm.shared import copies, salt, stored
 
 SEED = 11
 ALPHA = 0.5
 SALTS = 32
+# Sources up to which their table (a few hundred bytes each) is broadcast, so that texts move only once.
+FEW_SOURCES = 10_000
 # A rate is split into independent parts of at most this mean: exp(-mean) must not vanish.
 PART_MEAN = 32.0
 BITS = 52
@@ -81,18 +83,24 @@ def mix_sources(
     text; rows with the same id get the same number; a NULL text has size 0. An empty table
     gives an empty one. Input columns ``rate`` and ``copy`` are replaced.
 
-    The table of sources is joined by source and salt, so the rows of a large source spread.
+    The table of sources is broadcast while it has at most ``FEW_SOURCES`` rows, else joined by
+    source and salt, so that the rows of a large source spread.
     """
     rates = source_rates(docs, source, text, weights, alpha).withColumn(
         "parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART_MEAN)).cast("int")
     )
     rates = rates.withColumn("steps", poisson_steps(F.col("rate") / F.col("parts")))
-    rates = copies(rates, SALTS).withColumnRenamed("source", "of")
+    rates = stored(rates.withColumnRenamed("source", "of"))
     kept = [c for c in docs.columns if c not in ("rate", "copy")]
     rows = docs.select(
         F.struct(*[F.col(c) for c in kept]).alias("row"), salt(F.col(key), SALTS).alias("salt")
     )
-    matched = rows.join(rates, F.col(f"row.{source}").eqNullSafe(F.col("of")) & (rows["salt"] == rates["salt"]))
+    same = F.col(f"row.{source}").eqNullSafe(F.col("of"))
+    if rates.count() <= FEW_SOURCES:
+        matched = rows.join(F.broadcast(rates), same)
+    else:
+        rates = copies(rates, SALTS)
+        matched = rows.join(rates, same & (rows["salt"] == rates["salt"]))
     drawn = F.aggregate(
         F.sequence(F.lit(1), F.col("parts")),
         F.lit(0),

@@ -12,6 +12,7 @@ from aftershock.llm import (
     multi_index,
     ngram_join,
     packing,
+    pitman_yor,
     poisson_mix,
     projection_passes,
     site_lines,
@@ -48,6 +49,13 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learnt outside the held-out fold, scored everywhere."""
+    held_out = fold_of(F.col("doc_id"), 7) == 2
+    scored = pitman_yor.score_texts(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), *scored.columns[1:])
+
+
 def op3_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources mixed by the square root of their sizes."""
     mixed = poisson_mix.mix_sources(table(spark, sf_dir, "documents"))
@@ -101,6 +109,7 @@ def op10_projection_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
+    "op2_pitman_yor": op2_pitman_yor,
     "op3_poisson_mix": op3_poisson_mix,
     "op4_url_verdicts": op4_url_verdicts,
     "op5_huffman_ids": op5_huffman_ids,

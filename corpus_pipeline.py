@@ -1,43 +1,67 @@
-"""A training corpus from raw documents."""
+"""A training corpus from raw documents, stage by stage."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aftershock.llm import poisson_mix, site_lines
+from aftershock.llm import ngram_join, packing, poisson_mix, site_lines, toxicity
+from aftershock.llm.word_ids import tokenizer_path
+from aftershock.session import shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-# Packing and the near-duplicate join are no SQL.
+TOXIC = 0.5
+# Scores, near duplicates and packing are no SQL.
 ORACLE_SQL: str | None = None
 
 
-def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source go."""
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learnt from all labels, takes for toxic go."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).filter(F.col("score") < TOXIC).select(*COLUMNS)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines of a source go; every document stays."""
     kept = site_lines.drop_site_lines(docs)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with similar five-word shingles (0.8) the one with the smallest id stays.
+
+    Documents without words stay; rows that repeat an id stay or go together.
+    """
+    groups = ngram_join.similar_documents(docs, words=5, percent=80)
+    gone = groups.filter("n_shingles > 0 AND component_id < doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are repeated or thinned to the square root of their sizes, in random order."""
+    """Documents are repeated or left out so that sources go by the square root of their sizes, in random order."""
     return poisson_mix.mix_sources(docs).select(*COLUMNS)
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of token ids, in the order of the mixed documents."""
+    return packing.pack(docs, tokenizer_path())
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("line_dedup", lines),
+    ("toxicity", reject_toxic),
+    ("line_dedup", drop_lines),
+    ("near_duplicates", one_of_each),
     ("mix", mix),
+    ("pack", pack),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; every result but the last is stored and read again."""
-    import uuid
-
-    from aftershock.session import shared_dir
-
-    folder = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
