@@ -20,6 +20,7 @@ from aftershock.llm import (
     url_boost,
 )
 from aftershock.llm.shared import fold_of, scratch, stored
+from aftershock.llm.statements import ORACLE_SQL as ORACLE_SQL
 from aftershock.llm.word_ids import tokenizer_path
 
 # The rules of the URL query.
@@ -119,5 +120,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nnpu_toxicity": op9_nnpu_toxicity,
     "op10_projection_dedup": op10_projection_dedup,
 }
-
-ORACLE_SQL: dict[str, str] = {}
