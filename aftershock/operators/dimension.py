@@ -26,24 +26,39 @@ def scanned_bytes(frame: DataFrame) -> int | None:
         return None
 
 
+def fits_broadcast(dimension: DataFrame, limit: int | None = None) -> bool:
+    """Whether the files a dimension is read from are at most ``limit`` bytes (``BROADCAST_BYTES``)."""
+    size = scanned_bytes(dimension)
+    return size is not None and size <= (BROADCAST_BYTES if limit is None else limit)
+
+
+def salt_of(column: Column, salts: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(salts)).cast("int")
+
+
+def with_salts(frame: DataFrame, salts: int) -> DataFrame:
+    """A copy of each row per salt."""
+    return frame.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+
 def join_dimension(
     facts: DataFrame,
     dimension: DataFrame,
     key: str,
     spread_by: Column | None = None,
-    limit: int = BROADCAST_BYTES,
+    limit: int | None = None,
+    salts: int = SALTS,
 ) -> DataFrame:
-    """Inner-join ``facts`` to ``dimension``, which has one row per ``key``.
+    """Inner-join ``facts`` to ``dimension``.
 
     A dimension of up to ``limit`` bytes is broadcast. A larger one is joined by shuffle;
     pass ``spread_by`` where one key may own a large part of the facts. Its rows then go
-    to ``SALTS`` tasks by the hash of that column, each of which holds the dimension row.
+    to ``salts`` tasks by the hash of that column, each of which holds the dimension row.
+    Facts that repeat key and ``spread_by`` should be made distinct before.
     """
-    size = scanned_bytes(dimension)
-    if size is not None and size <= limit:
+    if fits_broadcast(dimension, limit):
         return facts.join(F.broadcast(dimension), key)
     if spread_by is None:
         return facts.join(dimension, key)
-    salted_facts = facts.withColumn("salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
-    copies = dimension.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted_facts.join(copies, [key, "salt"]).drop("salt")
+    salted = facts.withColumn("salt", salt_of(spread_by, salts))
+    return salted.join(with_salts(dimension, salts), [key, "salt"]).drop("salt")

@@ -1,8 +1,10 @@
 """Delivery and rating measures brought to the calendar of their orders.
 
 Both satellites hold any number of rows per order. They are reduced to one row per order
-before the join: a hot order collapses on the map side, and the join emits one row per
-order. Only sums and counts cross the shuffles; means are taken at the very end.
+before the join: a hot order collapses on the map side. So do the orders, to one row per id
+and period with a count, as an id can stand on any number of orders (a placeholder, say); the
+sums are multiplied by that count. Only sums and counts cross the shuffles; means are taken at
+the very end.
 """
 
 from __future__ import annotations
@@ -107,31 +109,43 @@ def _mean(measure: str) -> Column:
 
 def delivery_measures(orders: DataFrame, deliveries: DataFrame, keys: list[str]) -> DataFrame:
     """Delivery KPIs of the given orders by ``keys``; only periods with deliveries."""
-    joined = orders.select("order_id", *keys).join(delivery_sums(deliveries), "order_id")
+    joined = counted(orders, keys).join(delivery_sums(deliveries), "order_id")
     return sum_up(joined, keys, DELIVERY_SUMS).select(*keys, *delivery_columns())
 
 
 def rating_measures(orders: DataFrame, ratings: DataFrame, keys: list[str]) -> DataFrame:
     """Rating KPIs of the given orders by ``keys``; only periods with ratings."""
-    joined = orders.select("order_id", *keys).join(rating_sums(ratings), "order_id")
+    joined = counted(orders, keys).join(rating_sums(ratings), "order_id")
     return sum_up(joined, keys, RATING_SUMS).select(*keys, *rating_columns())
 
 
+def counted(orders: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per order id and ``columns``, with the number of its ``orders``; none for unknown ids.
+
+    An id on many orders collapses on the map side, so the join that follows meets it once
+    per period.
+    """
+    known = orders.filter(F.col("order_id").isNotNull())
+    return known.groupBy("order_id", *columns).agg(F.count(F.lit(1)).alias("orders"))
+
+
 def sum_up(frame: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
-    return frame.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in measures])
+    """Sums over orders of ``measures``, from rows that stand for several ``orders``."""
+    return frame.groupBy(*keys).agg(*[F.sum(F.col(c) * F.col("orders")).alias(c) for c in measures])
 
 
 def linked_orders(
     orders: DataFrame, columns: list[str], deliveries: DataFrame, ratings: DataFrame
 ) -> DataFrame:
-    """Orders that have an id, with both kinds of sums; NULL sums where an order has none.
+    """:func:`counted` orders with both kinds of sums of one order; NULL sums where it has none.
 
     Marts that need deliveries and ratings take both from here, so the orders move to their
     id once. Orders without an id match nothing and would all meet in one task.
     """
-    known = orders.filter(F.col("order_id").isNotNull()).select("order_id", *columns)
-    return known.join(delivery_sums(deliveries), "order_id", "left").join(
-        rating_sums(ratings), "order_id", "left"
+    return (
+        counted(orders, columns)
+        .join(delivery_sums(deliveries), "order_id", "left")
+        .join(rating_sums(ratings), "order_id", "left")
     )
 
 
@@ -145,6 +159,6 @@ def linked_measures(
     """Delivery KPIs of the orders meeting ``delivered``, and rating KPIs of all, by ``keys``."""
     marked = orders.withColumn("delivered", delivered)
     linked = linked_orders(marked, [*keys, "delivered"], deliveries, ratings)
-    counted = linked.withColumns({c: F.when(F.col("delivered"), F.col(c)) for c in DELIVERY_SUMS})
-    sums = sum_up(counted, keys, DELIVERY_SUMS + RATING_SUMS)
+    of_delivered = linked.withColumns({c: F.when(F.col("delivered"), F.col(c)) for c in DELIVERY_SUMS})
+    sums = sum_up(of_delivered, keys, DELIVERY_SUMS + RATING_SUMS)
     return sums.select(*keys, *delivery_columns(), *rating_columns())

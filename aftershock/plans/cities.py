@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from aftershock.functions.calendar import phase_rank
 from aftershock.functions.measures import MONEY, decimal_ratio, is_kept, safe_ratio
-from aftershock.operators.dimension import join_dimension
+from aftershock.operators.dimension import fits_broadcast, join_dimension
 from aftershock.specs import PHASES
 
 GRAIN = ["city", "phase"]
@@ -41,25 +41,30 @@ def city_base(orders: DataFrame, restaurants: DataFrame) -> DataFrame:
         F.sum(F.coalesce("total_amount", zero)).cast(MONEY).alias("revenue"),
         F.sum(cents).cast("decimal(38,2)").alias("revenue_cents"),
     )
-    attributes = restaurants.select("restaurant_id", "city", "is_active", "avg_prep_time_min")
     active = F.col("is_active") == 1
     minutes = F.when(active, prep_minutes(F.col("avg_prep_time_min")))
+    # A restaurant can have several rows: its orders count once per row, it counts once per city.
+    attributes = restaurants.groupBy("restaurant_id", "city").agg(
+        F.count(F.lit(1)).alias("entries"),
+        F.max(F.when(active, 1)).alias("partners"),
+        F.sum(minutes).alias("minutes"),
+        F.count(minutes).alias("timed"),
+    )
     volume = join_dimension(per_restaurant, attributes, "restaurant_id").select(
         *GRAIN,
-        "orders",
-        "revenue",
-        "revenue_cents",
+        (F.col("orders") * F.col("entries")).alias("orders"),
+        (F.col("revenue") * F.col("entries")).cast(MONEY).alias("revenue"),
+        (F.col("revenue_cents") * F.col("entries")).cast("decimal(38,2)").alias("revenue_cents"),
         F.lit(1).alias("restaurants"),
-        F.when(active, 1).alias("partners"),
-        (minutes * F.col("orders")).alias("prep_sum"),
-        F.when(minutes.isNotNull(), F.col("orders")).alias("prep_n"),
-    )
-    visits = join_dimension(
-        kept.select("restaurant_id", "phase", "customer_id"),
-        restaurants.select("restaurant_id", "city"),
-        "restaurant_id",
-        spread_by=F.col("customer_id"),
+        "partners",
+        (F.col("minutes") * F.col("orders")).alias("prep_sum"),
+        F.when(F.col("timed") > 0, F.col("orders") * F.col("timed")).alias("prep_n"),
     )
+    visitors = kept.select("restaurant_id", "phase", "customer_id")
+    places = restaurants.select("restaurant_id", "city")
+    if not fits_broadcast(places):
+        visitors = visitors.distinct()
+    visits = join_dimension(visitors, places, "restaurant_id", spread_by=F.col("customer_id"))
     customers = visits.select(*GRAIN, "customer_id").distinct()
     parts = volume.unionByName(customers, allowMissingColumns=True)
     return parts.groupBy(*GRAIN).agg(

@@ -15,9 +15,14 @@ from pyspark.sql import functions as F
 
 from aftershock.functions.calendar import within
 from aftershock.functions.measures import count_when, is_cancelled, is_kept, safe_ratio
+from aftershock.operators.dimension import salt_of, with_salts
 from aftershock.operators.linked import actual_minutes, expected_minutes
 from aftershock.specs import CohortSpec, Span
 
+# Tasks over which the customers of one order id are spread.
+SALTS = 8
+
+
 def during(span: Span) -> Column:
     return within(F.col("order_timestamp"), span)
 
@@ -83,13 +88,21 @@ def rating_evidence(
 
 
 def _evidence(orders: DataFrame, satellite: DataFrame, flags: dict[str, Column]) -> DataFrame:
+    """Matches of the window's order ids only, joined to distinct orders and customers.
+
+    An id on many orders of one customer collapses; of many customers it is spread by salts,
+    as the matches of one window are few enough to be copied.
+    """
     some = reduce(or_, flags.values())
+    pairs = orders.filter(F.col("order_id").isNotNull()).select("order_id", "customer_id").distinct()
     matches = (
         satellite.filter(some)
         .groupBy("order_id")
         .agg(*[F.max(F.when(hit, 1).otherwise(0)).alias(name) for name, hit in flags.items()])
+        .join(pairs.select("order_id").distinct(), "order_id", "left_semi")
     )
-    return orders.select("order_id", "customer_id").join(matches, "order_id").drop("order_id")
+    salted = pairs.withColumn("salt", salt_of(F.col("customer_id"), SALTS))
+    return salted.join(with_salts(matches, SALTS), ["order_id", "salt"]).drop("order_id", "salt")
 
 
 def cohort_ops_retention(orders: DataFrame, deliveries: DataFrame, spec: CohortSpec) -> DataFrame:

@@ -162,17 +162,21 @@ def restaurant_activity_summary(activity: DataFrame, restaurants: DataFrame) ->
     """Active restaurants by month, phase and partner type.
 
     The activity has one row per restaurant and month when it meets the dimension, so a
-    restaurant's order volume does not matter to the join.
+    restaurant's order volume does not matter to the join. A restaurant with several dimension
+    rows counts once per partner type.
     """
-    attributes = restaurants.select("restaurant_id", "partner_type", "is_active")
+    is_active = F.col("is_active")
+    attributes = restaurants.groupBy("restaurant_id", "partner_type").agg(
+        F.max(is_active == 1).alias("some_active"), F.max(is_active == 0).alias("some_inactive")
+    )
     active = activity.withColumnRenamed("non_cancel_rest_id", "restaurant_id")
     return (
         join_dimension(active, attributes, "restaurant_id")
         .groupBy(*KEYS, "partner_type")
         .agg(
             F.count(F.lit(1)).alias("monthly_active_restaurant"),
-            count_when(F.col("is_active") == 1).alias("active_restaurant_with_orders"),
-            count_when(F.col("is_active") == 0).alias("inactive_restaurant_with_ordes"),
+            count_when(F.col("some_active")).alias("active_restaurant_with_orders"),
+            count_when(F.col("some_inactive")).alias("inactive_restaurant_with_ordes"),
         )
     )
 

@@ -66,7 +66,7 @@ def _weekly_links(weekly: DataFrame, deliveries: DataFrame, ratings: DataFrame)
     marked = weekly.withColumn("lost", is_cancelled())
     linked = linked_orders(marked, [*WEEK, "lost"], deliveries, ratings)
     per_order = linked.groupBy(*WEEK, "order_id").agg(
-        F.max("lost").alias("lost"), *[F.sum(c).alias(c) for c in LINKED]
+        F.max("lost").alias("lost"), *[F.sum(F.col(c) * F.col("orders")).alias(c) for c in LINKED]
     )
     return per_order.groupBy(*WEEK).agg(
         F.count("order_id").alias("weekly_order"),

@@ -65,7 +65,7 @@ def hostile(seed: int) -> dict:
     """A small star with everything that goes wrong in real tables.
 
     Unknown customers, restaurants, days, amounts and flags; repeated order ids; ids without
-    a dimension row; several deliveries and ratings per order, some for no order; equal
+    a dimension row or with several; several deliveries and ratings per order, some for no order; equal
     revenues; and one customer, one restaurant and one order that own a third of their rows.
     """
     rnd = random.Random(seed)
@@ -107,8 +107,9 @@ def hostile(seed: int) -> dict:
                 active=maybe(rnd.randrange(2)),
                 prep=maybe(rnd.choice(["0-15", "16-25", "26-40", ">40", "18", "n/a", ""])),
             )
-            for i in range(20)
-        ],
+            for i in [*range(20), *(rnd.randrange(20) for _ in range(4))]
+        ]
+        + [restaurant(3, city="Goa", partner="cloud", active=1, prep="18")] * 2,
     }
 
 

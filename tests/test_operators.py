@@ -99,7 +99,7 @@ def test_city_marts_with_a_dimension_too_big_to_broadcast(spark, monkeypatch):
     star = star_of(spark, arrow(**hostile(5)))
     orders = dated(star.fact_orders, INCIDENT_PHASES)
     expected = spark_rows(cities.city_revenue(orders, star.dim_restaurant))
-    monkeypatch.setattr(dimension.join_dimension, "__defaults__", (None, 0))
+    monkeypatch.setattr(dimension, "BROADCAST_BYTES", 0)
     assert spark_rows(cities.city_revenue(orders, star.dim_restaurant)) == expected
 
 
