@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import sys
-import uuid
+import tempfile
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +20,7 @@ from aftershock.functions.calendar import dated, phase_rank
 from aftershock.operators import calendar, quality
 from aftershock.pipeline import report_frames
 from aftershock.plans import cities, cohorts, daily, monthly, phases, restaurants, weekly
-from aftershock.session import shared_dir
+from aftershock.session import scratch
 from aftershock.sinks.write import export_csv
 from aftershock.sources.star import AMOUNTS, Star
 from aftershock.sources.tpch import COHORT, PHASES, read_star
@@ -93,17 +95,22 @@ def grain_of_marts(t: Tables) -> DataFrame:
     return quality.grain_check(churn, keys).unionByName(quality.grain_check(t.master(), keys))
 
 
-def export_and_count(t: Tables) -> DataFrame:
-    """Export the four report frames as CSV to the shared folder and count what arrived."""
+def export_and_read(t: Tables) -> DataFrame:
+    """Export the four report frames as CSV to the shared folder and return what the files hold.
+
+    The files are the point, so this writes and reads when called; then the folder goes. The
+    reports have a row per week, flag or city and phase, so their content fits the driver.
+    """
     frames = report_frames(t.star, t.phases, t.cohort)
     spark = t.star.fact_orders.sparkSession
-    paths = export_csv(frames, f"{shared_dir(spark)}/export-{uuid.uuid4().hex}")
-    counts = None
-    for name, path in paths.items():
-        back = spark.read.schema(frames[name].schema).option("header", True).csv(path)
-        one = back.agg(F.lit(name).alias("frame"), F.count(F.lit(1)).alias("exported_rows"))
-        counts = one if counts is None else counts.unionByName(one)
-    return counts
+    with scratch(spark, "export") as folder:
+        paths = export_csv(frames, folder)
+        read = {n: spark.read.schema(frames[n].schema).option("header", True).csv(p).collect() for n, p in paths.items()}
+    held = [
+        spark.createDataFrame(rows, frames[name].schema).select(F.lit(name).alias("frame"), "*")
+        for name, rows in read.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), held)
 
 
 PHASE_DOUBLES = (
@@ -153,6 +160,10 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
         monthly.monthly_rest_activity(t.orders)
     ),
     "q24_grain_check": grain_of_marts,
+    "q24_grain_check_orders": lambda t: quality.grain_check(t.star.fact_orders, ["order_id"]),
+    "q24_grain_check_deliveries": lambda t: quality.grain_check(t.deliveries, ["order_id"]),
+    "q24_grain_check_ratings": lambda t: quality.grain_check(t.ratings, ["order_id"]),
+    "q24_grain_check_restaurants": lambda t: quality.grain_check(t.restaurants, ["restaurant_id"]),
     "q24_grain_check_items": lambda t: quality.grain_check(t.items, ["order_id", "menu_item_id"]),
     "q26_monthly_master_summary": lambda t: rounded(t.master(), 10, "avg_sentiment"),
     "q27_mart_row_count": lambda t: quality.row_count(t.master(), "rows_in_master"),
@@ -183,7 +194,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "q45_phase_spans": lambda t: weekly.phase_spans(t.weekly()),
     "q46_restaurant_coverage": lambda t: cities.restaurant_coverage(t.city()),
     "q47_revenue_share_pivot": lambda t: cities.revenue_share_pivot(t.city()),
-    "q48_export_csv": export_and_count,
+    "q48_export_csv": export_and_read,
     "q49_cohort_retention_curve": lambda t: cohorts.cohort_retention_curve(t.orders, t.cohort),
 }
 
@@ -197,10 +208,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(plan: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: plan(Tables(read_star(spark, sf_dir)))
 
+    def prepared(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            set_local_folder(spark)
+            return query(spark, sf_dir)
+
+        return run
+
     plans = {name: bind(plan) for name, plan in PLANS.items()}
     if llm is not None:
         plans |= llm.QUERIES | {"pipeline": corpus_pipeline.run}
-    return plans
+    return {name: prepared(query) for name, query in plans.items()}
+
+
+def set_local_folder(spark: SparkSession) -> None:
+    """Give a local session without ``spark.checkpoint.dir`` a folder that goes with the process."""
+    context = spark.sparkContext
+    if spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir():
+        return
+    if context.master.startswith("local[") or context.master == "local":
+        folder = tempfile.mkdtemp(prefix="aftershock-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
 
 
 def oracle_sql() -> dict[str, str]:

@@ -564,6 +564,12 @@ REPORTS: dict[str, str] = {
     "q23_restaurant_churn_rate": "SELECT * FROM restaurant_churn_rate",
     "q24_grain_check": f"""SELECT {MONTHS}, COUNT(*) AS cnt FROM restaurant_churn_rate GROUP BY ALL HAVING COUNT(*) > 1
       UNION ALL SELECT {MONTHS}, COUNT(*) AS cnt FROM monthly_master_summary GROUP BY ALL HAVING COUNT(*) > 1""",
+    "q24_grain_check_orders": "SELECT order_id, COUNT(*) AS cnt FROM fact_orders GROUP BY ALL HAVING COUNT(*) > 1",
+    "q24_grain_check_deliveries": """SELECT order_id, COUNT(*) AS cnt FROM fact_delivery_performance
+      GROUP BY ALL HAVING COUNT(*) > 1""",
+    "q24_grain_check_ratings": "SELECT order_id, COUNT(*) AS cnt FROM fact_ratings GROUP BY ALL HAVING COUNT(*) > 1",
+    "q24_grain_check_restaurants": """SELECT restaurant_id, COUNT(*) AS cnt FROM dim_restaurant
+      GROUP BY ALL HAVING COUNT(*) > 1""",
     "q24_grain_check_items": """SELECT order_id, menu_item_id, COUNT(*) AS cnt FROM fact_order_items
       GROUP BY ALL HAVING COUNT(*) > 1""",
     "q26_monthly_master_summary": f"{SENTIMENT} monthly_master_summary",
@@ -593,10 +599,10 @@ REPORTS: dict[str, str] = {
     "q45_phase_spans": "SELECT * FROM phase_spans",
     "q46_restaurant_coverage": "SELECT * FROM restaurant_coverage",
     "q47_revenue_share_pivot": "SELECT * FROM revenue_share_pivot",
-    "q48_export_csv": """SELECT 'weekly_df' AS frame, COUNT(*) AS exported_rows FROM weekly_kpis
-      UNION ALL SELECT 'retention_df', COUNT(*) FROM cohort_ops_retention
-      UNION ALL SELECT 'retention_rating_df', COUNT(*) FROM cohort_rating_retention
-      UNION ALL SELECT 'city_revenue_df', COUNT(*) FROM city_revenue""",
+    "q48_export_csv": """SELECT 'weekly_df' AS frame, * FROM weekly_kpis
+      UNION ALL BY NAME SELECT 'retention_df' AS frame, * FROM cohort_ops_retention
+      UNION ALL BY NAME SELECT 'retention_rating_df' AS frame, * FROM cohort_rating_retention
+      UNION ALL BY NAME SELECT 'city_revenue_df' AS frame, * FROM city_revenue""",
     "q49_cohort_retention_curve": "SELECT * FROM cohort_retention_curve",
 }
 
