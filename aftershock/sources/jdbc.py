@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from aftershock.sources.star import SCHEMAS, Star, normalize_orders
 
@@ -42,6 +43,11 @@ def read_table(
     return reader.options(**options).load()
 
 
+def typed(frame: DataFrame, name: str) -> DataFrame:
+    """The columns of a base table with the types the file source has."""
+    return frame.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name]])
+
+
 def read_star(
     spark: SparkSession, url: str, splits: dict[str, KeyRange] | None = None, **options: str
 ) -> Star:
@@ -49,8 +55,7 @@ def read_star(
     splits = splits or {}
 
     def open_table(name: str) -> DataFrame:
-        frame = read_table(spark, url, name, splits.get(name), **options)
-        frame = frame.select(*SCHEMAS[name].fieldNames())
+        frame = typed(read_table(spark, url, name, splits.get(name), **options), name)
         return normalize_orders(frame) if name == "fact_orders" else frame
 
     return Star(open_table)

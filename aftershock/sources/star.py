@@ -109,11 +109,17 @@ def normalize_orders(orders: DataFrame) -> DataFrame:
     return normalize_flags(normalize_amounts(orders))
 
 
-def read_star(spark: SparkSession, root: str, fmt: str = "parquet", **options: str) -> Star:
-    """Read ``<root>/<table>`` for every table, with declared schemas (no inference pass)."""
+def read_star(
+    spark: SparkSession, root: str, fmt: str = "parquet", normalized: bool = False, **options: str
+) -> Star:
+    """Read ``<root>/<table>`` for every table, with declared schemas (no inference pass).
+
+    Tables that ``sinks.write.save_star`` has stored are ``normalized``: their flags are read
+    as they are, so that a filter on them reaches the scan.
+    """
 
     def open_table(name: str) -> DataFrame:
         frame = spark.read.format(fmt).options(**options).schema(SCHEMAS[name]).load(f"{root}/{name}")
-        return normalize_orders(frame) if name == "fact_orders" else frame
+        return normalize_orders(frame) if name == "fact_orders" and not normalized else frame
 
     return Star(open_table)

@@ -12,6 +12,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aftershock.operators.dimension import join_dimension
 from aftershock.sources.star import Star, normalize_orders
 from aftershock.specs import CohortSpec, PhaseSpec, Span
 
@@ -109,9 +110,9 @@ def dim_restaurant(supplier: DataFrame, nation: DataFrame, region: DataFrame) ->
         .when(bucket == 4, "18")
         .otherwise("n/a")
     )
-    # Nations and regions have 25 and 5 rows at every scale factor.
-    places = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
-    return supplier.join(F.broadcast(places), F.col("s_nationkey") == F.col("n_nationkey")).select(
+    regions = region.withColumnRenamed("r_regionkey", "n_regionkey")
+    places = join_dimension(nation, regions, "n_regionkey").withColumnRenamed("n_nationkey", "s_nationkey")
+    return join_dimension(supplier, places, "s_nationkey").select(
         F.col("s_suppkey").alias("restaurant_id"),
         F.col("s_name").alias("restaurant_name"),
         F.col("n_name").alias("city"),
