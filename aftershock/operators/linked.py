@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aftershock.functions.measures import count_when, safe_ratio
+from aftershock.functions.measures import count_when, is_kept, safe_ratio
 
 DELIVERY_SUMS = [
     "deliveries",
@@ -149,6 +149,25 @@ def linked_orders(
     )
 
 
+LINK_DAYS = ["date", "phase", "is_kept"]
+
+
+def link_days(orders: DataFrame, deliveries: DataFrame, ratings: DataFrame) -> DataFrame:
+    """Sums of deliveries and ratings by day, phase and whether the order was kept.
+
+    The one join of dated orders to their satellites that monthly, weekly and daily marts need.
+    """
+    marked = orders.withColumn("is_kept", F.coalesce(is_kept(), F.lit(False)))
+    return sum_up(linked_orders(marked, LINK_DAYS, deliveries, ratings), LINK_DAYS, DELIVERY_SUMS + RATING_SUMS)
+
+
+def measures_of_days(days: DataFrame, keys: list[str]) -> DataFrame:
+    """:func:`linked_measures` of kept orders, from :func:`link_days`."""
+    of_kept = days.withColumns({c: F.when(F.col("is_kept"), F.col(c)) for c in DELIVERY_SUMS})
+    sums = of_kept.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in DELIVERY_SUMS + RATING_SUMS])
+    return sums.select(*keys, *delivery_columns(), *rating_columns())
+
+
 def linked_measures(
     orders: DataFrame,
     deliveries: DataFrame,

@@ -50,6 +50,26 @@ def grain_check(frame: DataFrame, keys: list[str]) -> DataFrame:
     return counted.filter(F.col("cnt") > 1)
 
 
+def grain_report(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """For each table, how many values of its keys occur more than once, and the rows they own."""
+    counts = [
+        grain_check(frame, keys).agg(
+            F.lit(name).alias("table_name"),
+            F.lit(", ".join(keys)).alias("grain"),
+            F.count(F.lit(1)).alias("repeated_keys"),
+            F.coalesce(F.sum("cnt"), F.lit(0)).alias("their_rows"),
+        )
+        for name, (frame, keys) in tables.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """The number of rows of each table."""
+    counts = [row_count(frame, "row_count").select(F.lit(name).alias("table_name"), "row_count") for name, frame in tables.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def preview(frame: DataFrame, n: int, *order: Column | str) -> DataFrame:
     """First ``n`` rows; without an order any ``n`` rows."""
     return (frame.orderBy(*order) if order else frame).limit(n)

@@ -60,12 +60,7 @@ def city_base(orders: DataFrame, restaurants: DataFrame) -> DataFrame:
         (F.col("minutes") * F.col("orders")).alias("prep_sum"),
         F.when(F.col("timed") > 0, F.col("orders") * F.col("timed")).alias("prep_n"),
     )
-    visitors = kept.select("restaurant_id", "phase", "customer_id")
-    places = restaurants.select("restaurant_id", "city")
-    if not fits_broadcast(places):
-        visitors = visitors.distinct()
-    visits = join_dimension(visitors, places, "restaurant_id", spread_by=F.col("customer_id"))
-    customers = visits.select(*GRAIN, "customer_id").distinct()
+    customers = visitors(kept, restaurants).select(*GRAIN, "customer_id").distinct()
     parts = volume.unionByName(customers, allowMissingColumns=True)
     return parts.groupBy(*GRAIN).agg(
         F.sum("orders").alias("orders"),
@@ -78,6 +73,19 @@ def city_base(orders: DataFrame, restaurants: DataFrame) -> DataFrame:
     )
 
 
+def visitors(kept: DataFrame, restaurants: DataFrame) -> DataFrame:
+    """Customers of kept orders with the city of the restaurant.
+
+    Where the dimension is too big to broadcast, a customer comes once per restaurant and
+    phase, so that one who owns many orders, the unknown one above all, is a single row.
+    """
+    visits = kept.select("restaurant_id", "phase", "customer_id")
+    places = restaurants.select("restaurant_id", "city")
+    if not fits_broadcast(places):
+        visits = visits.distinct()
+    return join_dimension(visits, places, "restaurant_id", spread_by=F.col("customer_id"))
+
+
 def city_phase(orders: DataFrame, restaurants: DataFrame) -> DataFrame:
     return (
         city_base(orders, restaurants)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aftershock.functions.calendar import within
-from aftershock.functions.measures import count_when, is_cancelled, is_kept, safe_ratio
+from aftershock.functions.measures import count_when, is_cancelled, is_kept, rate, safe_ratio
 from aftershock.operators.dimension import salt_of, with_salts
 from aftershock.operators.linked import actual_minutes, expected_minutes
 from aftershock.specs import CohortSpec, Span
@@ -118,7 +118,7 @@ def cohort_ops_retention(orders: DataFrame, deliveries: DataFrame, spec: CohortS
     by_flags = customers.groupBy("high_delay_flag", "cancelled_flag").agg(
         F.count(F.lit(1)).alias("total_customers"),
         F.sum("retained").alias("retained_customers"),
-        F.avg("retained").alias("retention_rate"),
+        rate(F.col("retained") == 1).alias("retention_rate"),
     )
     return by_flags.select(F.lit(spec.name).alias("cohort_name"), "*").orderBy(
         F.desc("high_delay_flag"), F.desc("cancelled_flag")
@@ -171,7 +171,7 @@ def cohort_rating_retention(
         .agg(
             F.count(F.lit(1)).alias("customers"),
             F.sum("retained").alias("retained_count"),
-            F.avg("retained").alias("retention_rate"),
+            rate(F.col("retained") == 1).alias("retention_rate"),
             F.avg("cohort_orders").alias("avg_may_order_count"),
         )
         .orderBy(*[F.desc(flag) for flag in group_by])
@@ -185,7 +185,7 @@ def frequency_bucket_retention(orders: DataFrame, spec: CohortSpec) -> DataFrame
     customers = cohort_customers(orders, spec, kept_only=True)
     return (
         customers.groupBy(bucket.alias("frequency_bucket"))
-        .agg(F.count(F.lit(1)).alias("customer"), F.avg("retained").alias("retention_rate"))
+        .agg(F.count(F.lit(1)).alias("customer"), rate(F.col("retained") == 1).alias("retention_rate"))
         .orderBy("frequency_bucket")
     )
 

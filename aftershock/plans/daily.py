@@ -44,13 +44,17 @@ def daily_delivery(orders: DataFrame, deliveries: DataFrame) -> DataFrame:
 def daily_summary(
     orders: DataFrame, deliveries: DataFrame, ratings: DataFrame, phases: PhaseSpec
 ) -> DataFrame:
+    linked = linked_measures(orders, deliveries, ratings, ["date"], delivered=is_kept())
+    return daily_from(orders, linked, phases)
+
+
+def daily_from(orders: DataFrame, linked: DataFrame, phases: PhaseSpec) -> DataFrame:
     """One row per day with orders; all branches are partitioned alike by the day.
 
-    Takes dated orders. The calendar holds exactly the days with orders, so the order branch is the spine.
+    Takes dated orders and their linked measures by day. The calendar holds exactly the days with orders, so the order branch is the spine.
     Revenue is zero where no amount is known; ratings and deliveries stay NULL.
     """
     days = daily_orders(orders).withColumn("phase", assign_phase(F.col("date"), phases))
-    linked = linked_measures(orders, deliveries, ratings, ["date"], delivered=is_kept())
     return days.join(linked, "date", "left").select(
         "date",
         "phase",

@@ -14,7 +14,7 @@ from aftershock.functions.calendar import MONTH
 from aftershock.functions.measures import count_when, decimal_ratio, is_kept, safe_ratio
 from aftershock.operators.activity import active_set, flag_churned, in_adjacent_month, returning
 from aftershock.operators.dimension import join_dimension
-from aftershock.operators.linked import delivery_measures, linked_measures, rating_measures
+from aftershock.operators.linked import delivery_measures, linked_measures, measures_of_days, rating_measures
 from aftershock.operators.orders import (
     average_order_value,
     by_period,
@@ -56,6 +56,11 @@ def link_base(orders: DataFrame, deliveries: DataFrame, ratings: DataFrame) -> D
     return linked_measures(orders, deliveries, ratings, KEYS, delivered=is_kept())
 
 
+def link_base_of_days(days: DataFrame) -> DataFrame:
+    """:func:`link_base` from stored sums by day."""
+    return measures_of_days(days.withColumn("month_start_date", F.trunc("date", "month")), KEYS)
+
+
 def monthly_order(base: DataFrame) -> DataFrame:
     return base.select(
         *KEYS,

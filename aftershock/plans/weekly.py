@@ -20,6 +20,22 @@ LINKED = DELIVERY_SUMS + RATING_SUMS
 
 
 def weekly_kpis(orders: DataFrame, deliveries: DataFrame, ratings: DataFrame) -> DataFrame:
+    weekly = by_week(orders)
+    return weekly_from(weekly, _weekly_links(weekly, deliveries, ratings))
+
+
+def weekly_of_days(orders: DataFrame, days: DataFrame) -> DataFrame:
+    """The KPIs from stored sums by day (``operators.linked.link_days``); orders are counted only."""
+    weekly = by_week(orders)
+    sums = by_week(days).groupBy(*WEEK).agg(*[F.sum(c).alias(c) for c in LINKED])
+    return weekly_from(weekly, _weekly_orders(weekly).join(sums, WEEK, "left"))
+
+
+def by_week(frame: DataFrame) -> DataFrame:
+    return frame.withColumn("week_start_date", week_start(F.col("date")))
+
+
+def weekly_from(weekly: DataFrame, links: DataFrame) -> DataFrame:
     """Order KPIs by week and phase, rating and delivery means by week.
 
     A week with a phase cut yields a row per phase, with the same rating and delivery
@@ -28,11 +44,10 @@ def weekly_kpis(orders: DataFrame, deliveries: DataFrame, ratings: DataFrame) ->
     hash table together with the order ids. The left joins let Catalyst drop a pass whose
     columns are not asked for.
     """
-    weekly = orders.withColumn("week_start_date", week_start(F.col("date")))
     joined = (
         _distinct(weekly, "customer_id", "weekly_active_customer")
         .join(_distinct(weekly, "restaurant_id", "weekly_active_restaurant"), WEEK, "left")
-        .join(_weekly_links(weekly, deliveries, ratings), WEEK, "left")
+        .join(links, WEEK, "left")
     )
     # One row per phase of a week; measures of the other phases count for the whole week.
     week = Window.partitionBy("week_start_date")
@@ -75,6 +90,15 @@ def _weekly_links(weekly: DataFrame, deliveries: DataFrame, ratings: DataFrame)
     )
 
 
+def _weekly_orders(weekly: DataFrame) -> DataFrame:
+    """Distinct orders, and those of them that were cancelled."""
+    known = weekly.filter(F.col("order_id").isNotNull())
+    per_order = known.groupBy(*WEEK, "order_id").agg(F.max(is_cancelled()).alias("lost"))
+    return per_order.groupBy(*WEEK).agg(
+        F.count("order_id").alias("weekly_order"), count_when(F.col("lost")).alias("weekly_cancel_order")
+    )
+
+
 def _distinct(weekly: DataFrame, entity: str, name: str) -> DataFrame:
     seen = weekly.select(*WEEK, entity).distinct()
     return seen.groupBy(*WEEK).agg(F.count(entity).alias(name))

@@ -48,6 +48,22 @@ class CohortSpec:
     outcome: Span
 
 
+def month_shifted(day: date, months: int) -> date:
+    """The first of the month ``months`` away."""
+    count = day.year * 12 + day.month - 1 + months
+    return date(count // 12, count % 12 + 1, 1)
+
+
+def cohort_of(phases: PhaseSpec, name: str = "cohort") -> CohortSpec:
+    """Customers of the month before the crisis, exposed during it, back in the month after it."""
+    return CohortSpec(
+        name,
+        cohort=Span(min(month_shifted(phases.crisis_start, -1), phases.crisis_start), phases.crisis_start),
+        experience=Span(phases.crisis_start, phases.post_start),
+        outcome=Span(phases.post_start, month_shifted(phases.post_start, 1)),
+    )
+
+
 # The calendar of the analysed incident.
 INCIDENT_PHASES = PhaseSpec(date(2025, 6, 1), date(2025, 7, 1))
 INCIDENT_COHORT = CohortSpec(
