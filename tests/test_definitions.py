@@ -11,7 +11,7 @@ import pytest
 
 import __spark_entry__ as entry
 from aftershock.specs import INCIDENT_COHORT, INCIDENT_PHASES, PhaseSpec
-from checks.compare import duck, duck_rows, spark_rows
+from checks.compare import duck, duck_digest, duck_rows, spark_digest, spark_rows
 from checks.oracle import statements
 from tests.conftest import arrow, delivery, order, rating, restaurant, star_of
 
@@ -30,6 +30,14 @@ def test_driver_tables(spark, small, name):
     assert spark_rows(frame) == duck_rows(small, entry.oracle_sql()[name])
 
 
+@pytest.mark.parametrize("name", ["q02_clean_ratings", "q03_normalize_amounts", "q07_orders_with_date", "q16_monthly_customer_activity"])
+def test_digests_of_large_frames(spark, small, name):
+    frame = entry.queries()[name](spark, SMALL)
+    digest = spark_digest(frame)
+    assert digest == duck_digest(small, entry.oracle_sql()[name]) and digest[0] == frame.count() > 0
+    assert spark_digest(frame.limit(digest[0] - 1)) != digest
+
+
 # Column order of the stored marts and the phase report.
 COLUMNS = {
     "q04_build_dim_date": "date date_key year month month_name month_start_date year_month day_of_week day_name"
