@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The packages next to this file, whatever directory it is loaded from.
-sys.path.insert(0, str(Path(__file__).resolve().parent))
+ROOT = Path(__file__).resolve().parent
+sys.path.insert(0, str(ROOT))
 
 from aftershock.functions.calendar import dated, phase_rank
 from aftershock.operators import calendar, quality
@@ -211,6 +212,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def prepared(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             set_local_folder(spark)
+            # Python workers that are not started from here find the packages as well.
+            spark.sparkContext.environment.setdefault("PYTHONPATH", str(ROOT))
             return query(spark, sf_dir)
 
         return run
