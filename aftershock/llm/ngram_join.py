@@ -12,20 +12,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aftershock.llm.byte_words import BASE, LOWER_ASCII, WHITE, mixed, word_hashes
-from aftershock.llm.shared import components, copies, salt, stored, text_buffer
+from aftershock.llm.shared import components, copies, release, salt, stored, text_buffer
 
 # Counters of shingle frequencies: a table of fixed size that orders shingles roughly by rarity.
 COUNTERS = 22
 CHUNK = 16
 # Groups per document: a power of two, with about this many shingles each.
-PER_GROUP = 16
-LEAST_GROUPS, MOST_GROUPS = 8, 4096
+PER_GROUP = 2
+LEAST_GROUPS, MOST_GROUPS = 8, 1 << 16
 # Points of an R-tree leaf.
 LEAF = 64
-LEAVES = ["token", "leaf", "low", "high", "first", "last", "box", "ids", "sizes", "components", "counts"]
+LEAVES = ["token", "leaf", "low", "high", "first", "last", "ids", "sizes", "components", "points"]
 # Neighbours compared in the first step.
 REACH = 8
 SALTS = 16
+# Bytes of sets that are brought together for verification, at most.
+CLUSTER = 64 << 20
 # Rows of two numbers that are broadcast, at most.
 SMALL = 200_000
 FEATURES = "doc_id long, n long, s1 long, s2 long, prefix array<long>, counts binary"
@@ -76,8 +78,17 @@ def group_counts(shingles: np.ndarray) -> np.ndarray:
     while groups < MOST_GROUPS and groups * PER_GROUP < len(shingles):
         groups *= 2
     which = (shingles >> np.uint64(64 - groups.bit_length() + 1)).astype(np.int64)
-    # A cell of 2 GB cannot hold enough shingles for 16 bits to be short.
-    return np.bincount(which, minlength=groups).astype("<u2")
+    return np.bincount(which, minlength=groups)
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """One byte per group, or two where a count needs them; the first byte says which."""
+    width = 1 if counts.max() < 1 << 8 else 2
+    return bytes([width]) + np.minimum(counts, (1 << 16) - 1).astype(f"<u{width}").tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1)
 
 
 def folded(counts: np.ndarray, groups: int) -> np.ndarray:
@@ -127,6 +138,24 @@ def rarity(docs: DataFrame, words: int) -> np.ndarray:
     return levels
 
 
+def members(docs: DataFrame, words: int) -> DataFrame:
+    """Size and digest of every document's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(batch.column(1), words)
+            digests = np.array([_digest(own) for own in sets], np.int64).reshape(-1, 2)
+            columns = [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), *map(pa.array, digests.T)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "s1", "s2"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long")
+
+
+def _digest(own: np.ndarray) -> list[int]:
+    """Two sums over the set, equal for equal sets."""
+    return [int(x.sum(dtype=np.uint64).view(np.int64)) for x in (own, mixed(own + np.uint64(BASE)))]
+
+
 def features(docs: DataFrame, words: int, similar: Similarity, levels: np.ndarray) -> DataFrame:
     """Size, digest, prefix and group counts of every document's set."""
     sent = docs.sparkSession.sparkContext.broadcast(levels)
@@ -140,9 +169,8 @@ def features(docs: DataFrame, words: int, similar: Similarity, levels: np.ndarra
                 level = levels[(own >> np.uint64(64 - COUNTERS)).astype(np.int64)]
                 order = np.argsort(level, kind="stable")[: similar.prefix(len(own)) if len(own) else 0]
                 prefixes.append(own[order].view(np.int64))
-                twice = mixed(own + np.uint64(BASE))
-                digests.append([int(x.sum(dtype=np.uint64).view(np.int64)) for x in (own, twice)])
-                counts.append(group_counts(own).tobytes() if len(own) else b"")
+                digests.append(_digest(own))
+                counts.append(packed(group_counts(own)) if len(own) else b"")
             flat = np.concatenate([np.zeros(0, np.int64), *prefixes])
             limits = np.cumsum([0, *map(len, prefixes)])
             columns = [
@@ -201,7 +229,7 @@ def neighbours(rows: DataFrame, similar: Similarity) -> DataFrame:
         for batch in batches:
             us, vs = [], []
             for token, n, raw, own in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                point = np.frombuffer(raw, "<u2")
+                point = unpacked(raw)
                 if last and last[-1][0] != token:
                     last.clear()
                 for _, other_n, other, other_id in last:
@@ -216,18 +244,20 @@ def neighbours(rows: DataFrame, similar: Similarity) -> DataFrame:
 
 
 def leaves(rows: DataFrame) -> DataFrame:
-    """R-tree leaves: up to ``LEAF`` points of a token, with the ranges of sizes and components and the counts' maxima."""
+    """R-tree leaves: up to ``LEAF`` points of a token, with the ranges of their sizes and components."""
     order = ["token", "n", "counts", "id"]
 
     def leaf(number: int, held: list[tuple]) -> pa.RecordBatch:
-        points = [np.frombuffer(row[2], "<u2") for row in held]
+        points = [unpacked(row[2]) for row in held]
         groups = min(map(len, points))
         points = np.array([folded(p, groups) for p in points])
-        box = points.max(axis=0).astype("<u4").tobytes()
+        points = points.astype("u1" if points.max() < 1 << 8 else "<u4")
+        head = np.array([groups, points.itemsize], "<u4").tobytes()
+        raw = head + pa.compress(points.tobytes(), codec="zstd", asbytes=True)
         own = [row[4] for row in held]
-        values = [held[0][0], number, held[0][1], held[-1][1], min(own), max(own), box]
-        values += [[row[i] for row in held] for i in (3, 1, 4)] + [points.astype("<u4").tobytes()]
-        types = [pa.int64()] * 6 + [pa.binary()] + [pa.list_(pa.int64())] * 3 + [pa.binary()]
+        values = [held[0][0], number, held[0][1], held[-1][1], min(own), max(own)]
+        values += [[row[i] for row in held] for i in (3, 1, 4)] + [raw]
+        types = [pa.int64()] * 6 + [pa.list_(pa.int64())] * 3 + [pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], LEAVES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +272,7 @@ def leaves(rows: DataFrame) -> DataFrame:
             yield leaf(number, held)
 
     ranged = rows.select(*order, "component").repartitionByRange(*order).sortWithinPartitions(*order)
-    types = ["long"] * 6 + ["binary"] + ["array<long>"] * 3 + ["binary"]
+    types = ["long"] * 6 + ["array<long>"] * 3 + ["binary"]
     return ranged.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(LEAVES, types)))
 
 
@@ -254,63 +284,92 @@ def crossings(found: DataFrame, similar: Similarity) -> DataFrame:
     )
     one = F.greatest("a_last", "b_last") == F.least("a_first", "b_first")
     meet = (F.col("a_token") == F.col("b_token")) & (F.col("a_leaf") <= F.col("b_leaf")) & sizes & ~one
-    names = ["low", "box", "ids", "sizes", "components", "counts"]
+    names = ["low", "ids", "sizes", "components", "points"]
     pairs = left.join(right, meet).select("a_leaf", "b_leaf", *[f"{side}_{c}" for side in "ab" for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i in range(batch.num_rows):
-                leaf_a, leaf_b, *sides = (batch.column(c)[i] for c in range(14))
-                (low_a, a), (low_b, b) = _points(*sides[:6]), _points(*sides[6:])
-                if at_most(a[0], b[0]) < similar.overlap(low_a, low_b):
+                leaf_a, leaf_b, *sides = (batch.column(c)[i] for c in range(12))
+                low_a, ids_a, sizes_a, components_a, points_a = _points(*sides[:5])
+                low_b, ids_b, sizes_b, components_b, points_b = _points(*sides[5:])
+                # The corners of the leaves' boxes bound all their pairs.
+                if at_most(points_a.max(0), points_b.max(0)) < similar.overlap(low_a, low_b):
                     continue
-                groups = min(a[4].shape[1], b[4].shape[1])
-                points_a, points_b = (x[4].reshape(len(x[1]), groups, -1).sum(2) for x in (a, b))
-                bound = np.minimum(points_a[:, None], points_b).sum(2)
-                fits = similar.sizes(a[2][:, None], b[2]) & (a[3][:, None] != b[3])
-                fits &= bound >= similar.overlap(a[2][:, None], b[2])
+                groups = min(points_a.shape[1], points_b.shape[1])
+                points_a, points_b = (p.reshape(len(p), groups, -1).sum(2, dtype=np.int32) for p in (points_a, points_b))
+                fits = similar.sizes(sizes_a[:, None], sizes_b) & (components_a[:, None] != components_b)
+                bound = np.array([np.minimum(point, points_b).sum(1) for point in points_a])
+                fits &= bound >= similar.overlap(sizes_a[:, None], sizes_b)
                 if leaf_a == leaf_b:
                     fits = np.triu(fits)
                 at_a, at_b = np.nonzero(fits)
-                us.append(np.minimum(a[1][at_a], b[1][at_b]))
-                vs.append(np.maximum(a[1][at_a], b[1][at_b]))
+                us.append(np.minimum(ids_a[at_a], ids_b[at_b]))
+                vs.append(np.maximum(ids_a[at_a], ids_b[at_b]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
 
     return pairs.mapInArrow(run, "u long, v long").distinct()
 
 
-def _points(low, box, ids, sizes, components, counts) -> tuple[int, tuple[np.ndarray, ...]]:
+def _points(low, ids, sizes, components, raw) -> tuple:
     ids, sizes, components = (x.values.to_numpy() for x in (ids, sizes, components))
-    box, counts = (np.frombuffer(x.as_buffer(), "<u4") for x in (box, counts))
-    return low.as_py(), (box, ids, sizes, components, counts.reshape(len(ids), -1))
+    raw = raw.as_py()
+    groups, width = np.frombuffer(raw, "<u4", 2).tolist()
+    points = pa.decompress(raw[8:], len(ids) * groups * width, codec="zstd", asbytes=True)
+    return low.as_py(), ids, sizes, components, np.frombuffer(points, f"<u{width}").reshape(-1, groups)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, similar: Similarity) -> DataFrame:
-    """The pairs whose sets are similar. Sets are taken from the texts of the documents concerned."""
-    ids = stored(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct())
-    wanted = F.broadcast(ids) if ids.count() <= SMALL else ids
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id")
+    """The pairs whose sets are similar. Sets are taken from the texts of the documents concerned.
+
+    Pairs fall into clusters, whose documents are brought together once. Clusters whose sets
+    take more than ``CLUSTER`` bytes are checked pair by pair, in any number of tasks.
+    """
+    clusters = stored(components(pairs))
+    wanted = F.broadcast(clusters) if clusters.count() <= SMALL else clusters
+    # Texts move, not sets: they take less than half the space.
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id").select("id", "component", "text")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = [s.astype("<u8").tobytes() for s in shingle_sets(batch.column(1), words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["id", "shingles"])
 
-    sets = stored(texts.mapInArrow(sets_of, "id long, shingles binary"))
-    first, second = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "uv")
-    both = pairs.join(first, "u").join(second, "v").select("u", "v", "u_set", "v_set")
+    sizes = docs.select(F.col("doc_id").alias("id"), F.length("text").alias("size")).join(wanted, "id")
+    # A shingle takes 8 bytes and at least two characters of its text.
+    large = sizes.groupBy("component").agg(F.sum("size").alias("size")).filter(F.col("size") * 4 > CLUSTER)
+    large = stored(large.select("component"))
+    placed = pairs.join(clusters.withColumnRenamed("id", "u"), "u").select(F.col("component").alias("cluster"), "u", "v")
+
+    def check_cluster(members: pa.Table, asked: pa.Table) -> pa.Table:
+        held = dict(zip(members.column("id").to_pylist(), shingle_sets(members.column("text").combine_chunks(), words)))
+        u, v = asked.column("u").to_pylist(), asked.column("v").to_pylist()
+        keep = [_alike(held[a], held[b], similar) for a, b in zip(u, v)]
+        return asked.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                a, b = np.frombuffer(a.as_buffer(), "<u8"), np.frombuffer(b.as_buffer(), "<u8")
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * shared >= similar.percent * (len(a) + len(b) - shared))
+            sets = ([np.frombuffer(x.as_buffer(), "<u8") for x in batch.column(c)] for c in (2, 3))
+            keep = [_alike(a, b, similar) for a, b in zip(*sets)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(check, "u long, v long")
+    links = "u long, v long"
+    if large.isEmpty():
+        return texts.groupBy("component").cogroup(placed.groupBy("cluster")).applyInArrow(check_cluster, links)
+    of_pairs = large.withColumnRenamed("component", "cluster")
+    small_texts, small = texts.join(large, "component", "left_anti"), placed.join(of_pairs, "cluster", "left_anti")
+    together = small_texts.groupBy("component").cogroup(small.groupBy("cluster")).applyInArrow(check_cluster, links)
+    big_texts, big = texts.join(large, "component", "left_semi"), placed.join(of_pairs, "cluster", "left_semi")
+    big_sets = stored(big_texts.select("id", "text").mapInArrow(sets_of, "id long, shingles binary"))
+    first, second = (big_sets.select(F.col("id").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "uv")
+    both = big.join(first, "u").join(second, "v").select("u", "v", "u_set", "v_set")
+    return together.unionByName(both.mapInArrow(check, links))
+
+
+def _alike(a: np.ndarray, b: np.ndarray, similar: Similarity) -> bool:
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * shared >= similar.percent * (len(a) + len(b) - shared)
 
 
 def similar_documents(
@@ -338,30 +397,39 @@ def similar_documents(
     """
     similar = Similarity(percent)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found = stored(features(docs, words, similar, rarity(docs, words)))
-    points = found.filter("n > 0").groupBy("s1", "s2", "n").agg(
+    found = features(docs, words, similar, rarity(docs, words)).filter("n > 0 AND doc_id IS NOT NULL")
+    points = found.groupBy("s1", "s2", "n").agg(
         F.min("doc_id").alias("id"), F.first("prefix").alias("prefix"), F.first("counts").alias("counts")
     )
     points = stored(points)
-    named = points.filter("id IS NOT NULL")
-    shared = stored(shared_prefixes(named, similar))
-    rows = stored(shared.join(named.select("id", "counts").dropDuplicates(["id"]), "id"))
-    near = stored(neighbours(rows, similar))
+    del found
+    release(docs.sparkSession)
+    counts = points.select("id", "counts").dropDuplicates(["id"])
+    shared = stored(shared_prefixes(points, similar))
+    release(docs.sparkSession)
+    near = stored(neighbours(shared.join(counts, "id"), similar))
+    release(docs.sparkSession)
     links = stored(verified(near, docs, words, similar))
+    release(docs.sparkSession)
     labels = stored(components(links))
 
-    labelled = rows.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labelled = shared.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = labelled.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"))
     several = stored(several.filter("a <> b").select("token"))
     rest = labelled.withColumn("salt", salt(F.col("id"), SALTS)).join(copies(several, SALTS), ["token", "salt"])
-    others = stored(crossings(stored(leaves(rest)), similar))
+    rest = stored(rest.select("token", "n", "id", "component"))
+    release(docs.sparkSession)
+    packed_leaves = stored(leaves(rest.join(counts, "id")))
+    release(docs.sparkSession)
+    others = stored(crossings(packed_leaves, similar))
+    del packed_leaves
+    release(docs.sparkSession)
     if not others.isEmpty():
         links = links.unionByName(verified(others, docs, words, similar))
         labels = stored(components(stored(links)))
 
-    classes = stored(points.select("s1", "s2", "n", "id").join(labels, "id", "left").select(
-        "s1", "s2", "n", F.coalesce("component", "id").alias("component")
-    ))
-    members = found.select("doc_id", "n", "s1", "s2").withColumn("salt", salt(F.col("doc_id"), SALTS))
-    members = members.join(copies(classes, SALTS), ["s1", "s2", "n", "salt"], "left")
-    return members.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    classes = points.select("s1", "s2", "n", "id").join(labels, "id", "left")
+    classes = stored(classes.select("s1", "s2", "n", F.coalesce("component", "id").alias("component")))
+    rows = members(docs, words).withColumn("salt", salt(F.col("doc_id"), SALTS))
+    rows = rows.join(copies(classes, SALTS), ["s1", "s2", "n", "salt"], "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
+import gc
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aftershock.session import scratch as scratch
 from aftershock.session import shared_dir
 
 LOCAL_EDGES = 2_000_000
@@ -23,15 +23,14 @@ def stored(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
-@contextmanager
-def scratch(spark: SparkSession, name: str) -> Iterator[str]:
-    """A new folder under the shared one, removed at the end."""
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    try:
-        yield path
-    finally:
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that have been stored.
+
+    It does so when the driver's garbage is collected, which can be long after a chain of
+    large steps has filled the disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def salt(by: Column, salts: int) -> Column:

@@ -74,8 +74,9 @@ def family():
     return list(zip(ids, rows))
 
 
-@pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80), (2, 60)])
-def test_similar_documents_equal_brute_force(spark, family, size, percent):
+@pytest.mark.parametrize(("size", "percent", "together"), [(3, 90, 1 << 26), (5, 80, 20_000), (2, 60, 0)])
+def test_similar_documents_equal_brute_force(spark, family, monkeypatch, size, percent, together):
+    monkeypatch.setattr(ngram_join, "CLUSTER", together)
     docs = spark.createDataFrame(family, "doc_id long, text string").repartition(3)
     got = ngram_join.similar_documents(docs, size, percent).collect()
     sizes, label = brute_similar(family, size, percent)
