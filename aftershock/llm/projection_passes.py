@@ -22,6 +22,11 @@ SEED = 5
 SALTS = 16
 # Angles to a component's centre are counted in so many bins up to the threshold.
 ANGLES = 1024
+# Blocks of a component, and the vectors that a block holds at least and at most.
+BLOCKS = 64
+LEAST_BLOCK, LARGEST_BLOCK = 256, 16_384
+# Cosines computed at a time.
+CELLS = 4_000_000
 # Rows of a range of the sorted order, at least: neighbours reach over one seam only.
 RANGE = 16 * WINDOW
 KEYS = "dimensions int, pass int, hash long, id long, vector array<double>"
@@ -162,10 +167,8 @@ def near_duplicates(
     the vector itself. Equal vectors are first reduced to classes, which are compared by
     :func:`links`; the links found in all passes are united to components.
 
-    A group of many near copies has more links than windows can show. So within a component
-    links are also counted by the angles to its smallest member: two vectors whose angles to it
-    add up to at most the threshold's angle certainly link. Such pairs are counted without
-    being listed; all others count where they have been found.
+    A group of many near copies has more links than windows can show. So the passes only find
+    the components, and all links inside a component are counted by :func:`_counted`.
 
     Vectors that are NULL, empty, zero or have NULL or non-finite components link with nothing,
     nor do those with a NULL id or of different dimensions. Rows that repeat an id or a vector
@@ -185,35 +188,8 @@ def near_duplicates(
     found = stored(links(classes.select("id", "vector"), cosine, passes, window))
     labels = components(found)
 
-    linked = classes.join(labels, "id")
-    centres = linked.filter("id = component").groupBy("component").agg(F.min("vector").alias("centre"))
-    spread = linked.withColumn("salt", salt(F.col("id"), SALTS)).join(copies(centres, SALTS), ["component", "salt"])
-    dot = _dot("vector", "centre") / (F.sqrt(_dot("vector", "vector")) * F.sqrt(_dot("centre", "centre")))
-    bins = F.floor(F.acos(F.least(F.greatest(dot, F.lit(-1.0)), F.lit(1.0))) / (acos(cosine) / ANGLES) + 1e-6)
-    placed = stored(spread.select("id", "component", "n", F.least(bins, F.lit(ANGLES)).cast("int").alias("bin")))
-    # Both bins are rounded up, so the sum of two angles is never taken for less.
-    sure = ANGLES - 2
-    # A row per bin that occurs and per reach that is asked for: few for any component.
-    held = placed.groupBy("component", F.col("bin").alias("at")).agg(F.sum("n").alias("n"), F.lit(0).alias("asked"))
-    asked = placed.select("component", (sure - F.col("bin")).alias("at"), F.lit(0).alias("n"), F.lit(1).alias("asked"))
-    upto = F.sum("n").over(Window.partitionBy("component").orderBy("at", "asked"))
-    steps = held.unionByName(asked.distinct()).withColumn("upto", upto).filter("asked = 1")
-    steps = copies(steps.select("component", F.col("at").alias("reach"), "upto"), SALTS)
-    certain = placed.withColumns({"reach": sure - F.col("bin"), "salt": salt(F.col("id"), SALTS)})
-    certain = certain.join(steps, ["component", "reach", "salt"])
-    own = F.when(2 * F.col("bin") <= sure, F.col("n")).otherwise(0)
-    certain = certain.select("id", "component", "n", (F.col("upto") - own).alias("certain"))
-
-    both = found.select(F.col("u").alias("id"), F.col("v").alias("other")).unionByName(
-        found.select(F.col("v").alias("id"), F.col("u").alias("other"))
-    )
-    others = placed.select(F.col("id").alias("other"), F.col("bin").alias("other_bin"), F.col("n").alias("other_n"))
-    open_pairs = both.join(placed.select("id", "bin"), "id").join(others, "other").filter(F.col("bin") + F.col("other_bin") > sure)
-    listed = open_pairs.groupBy("id").agg(F.sum("other_n").alias("listed"))
-    per_class = certain.join(listed, "id", "left").select(
-        "id", "component", (F.col("certain") + F.coalesce("listed", F.lit(0))).alias("links")
-    )
-    per_class = classes.select("h1", "h2", "id", "n").join(stored(per_class), "id", "left")
+    per_class = _counted(classes.join(labels, "id"), cosine)
+    per_class = classes.select("h1", "h2", "id", "n").join(stored(per_class), ["h1", "h2"], "left")
     per_class = stored(
         per_class.select(
             "h1",
@@ -233,5 +209,98 @@ def near_duplicates(
     )
 
 
+def _counted(linked: DataFrame, cosine: float) -> DataFrame:
+    """A row (h1, h2, component, links) per class: exact counts of the other vectors of its component that link.
+
+    ``linked`` has the columns h1, h2, id, n, vector and component. A component is cut into blocks in
+    the order of the angles to its smallest member, and blocks are compared with each other as
+    matrices, each pair of blocks in a place of its own. Two angles to the centre bound the
+    angle between vectors by their sum and their difference: pairs of blocks that link
+    throughout are counted as wholes, pairs that cannot link are left out. A block of a
+    component of m vectors holds m / ``BLOCKS`` of them within ``LEAST_BLOCK`` and
+    ``LARGEST_BLOCK``, so a vector travels about ``BLOCKS`` times, or m / ``LARGEST_BLOCK`` if
+    that is more.
+    """
+    centres = linked.filter("id = component").groupBy("component").agg(F.min("vector").alias("centre"))
+    spread = linked.withColumn("salt", salt(F.col("id"), SALTS)).join(copies(centres, SALTS), ["component", "salt"])
+    dot = _dot("vector", "centre") / (F.sqrt(_dot("vector", "vector")) * F.sqrt(_dot("centre", "centre")))
+    bins = F.floor(F.acos(F.least(F.greatest(dot, F.lit(-1.0)), F.lit(1.0))) / (acos(cosine) / ANGLES) + 1e-6)
+    placed = stored(spread.select("h1", "h2", "component", "n", "vector", bins.cast("int").alias("bin")))
+
+    # A row per bin that occurs: few for any component.
+    held = placed.groupBy("component", "bin").agg(F.count(F.lit(1)).alias("rows"))
+    whole = Window.partitionBy("component")
+    size = F.least(F.greatest(F.ceil(F.sum("rows").over(whole) / BLOCKS), F.lit(LEAST_BLOCK)), F.lit(LARGEST_BLOCK))
+    held = held.select("component", "bin", "rows", (F.sum("rows").over(whole.orderBy("bin")) - F.col("rows")).alias("before"), size.alias("size"))
+    at = F.col("before") + F.pmod(F.xxhash64(F.lit(SEED), "h1"), F.col("rows"))
+    blocked = placed.withColumn("salt", salt(F.col("h2"), SALTS)).join(copies(held, SALTS), ["component", "bin", "salt"])
+    blocked = stored(blocked.select("h1", "h2", "component", "n", "vector", "bin", F.floor(at / F.col("size")).alias("block")))
+
+    blocks = blocked.groupBy("component", "block").agg(F.min("bin").alias("low"), F.max("bin").alias("high"), F.sum("n").alias("n"))
+    first = blocks.select("component", F.col("block").alias("a"), F.col("high").alias("a_high"), F.col("n").alias("a_n"))
+    second = blocks.select("component", F.col("block").alias("b"), "low", F.col("high").alias("b_high"), F.col("n").alias("b_n"))
+    # Bins are a bin wide and rounded down: the sum of two angles is never taken for less, the difference never for more.
+    pairs = first.join(second, "component").filter((F.col("a") <= F.col("b")) & (F.col("low") - F.col("a_high") <= ANGLES + 1))
+    pairs = stored(pairs.withColumn("sure", F.col("a_high") + F.col("b_high") <= ANGLES - 2))
+
+    sure = pairs.filter("sure").select("component", F.col("a").alias("block"), F.col("b_n").alias("certain"))
+    mirrored = pairs.filter("sure AND a < b").select("component", F.col("b").alias("block"), F.col("a_n").alias("certain"))
+    own = pairs.filter("a = b").select("component", F.col("a").alias("block"), F.when(F.col("sure"), 1).otherwise(0).alias("own"))
+    sure = sure.unionByName(mirrored).groupBy("component", "block").agg(F.sum("certain").alias("certain"))
+    certain = blocked.select("h1", "h2", "component", "block", "n").join(own, ["component", "block"]).join(sure, ["component", "block"], "left")
+    # A vector is no link of its own.
+    certain = certain.select("h1", "h2", "component", (F.coalesce("certain", F.lit(0)) - F.col("own") * F.col("n")).alias("links"))
+
+    wanted = pairs.filter("NOT sure").select("component", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
+    meeting = blocked.drop("bin").join(wanted, ["component", "block"])
+    meeting = meeting.select("component", "a", "b", "block", "h1", "h2", "n", "vector")
+    meeting = meeting.repartition("component", "a", "b").sortWithinPartitions("component", "a", "b", "block")
+    compared = meeting.mapInArrow(lambda batches: _compared(batches, cosine), "h1 long, h2 long, component long, links long")
+    return certain.unionByName(compared).groupBy("h1", "h2", "component").agg(F.sum("links").alias("links"))
+
+
+def _compared(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
+    """Links of the rows of each (component, a, b): between blocks a and b, or within a if they are the same."""
+    held: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        columns = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
+        edges = [0, *(np.flatnonzero((np.diff(columns, axis=0) != 0).any(1)) + 1).tolist(), len(columns)]
+        for start, end in zip(edges, edges[1:]):
+            if end > start:
+                own = tuple(columns[start].tolist())
+                if held and own != key:
+                    yield _compare(held, cosine)
+                    held = []
+                held.append(batch.slice(start, end - start))
+                key = own
+    if held:
+        yield _compare(held, cosine)
+
+
+def _compare(held: list[pa.RecordBatch], cosine: float) -> pa.RecordBatch:
+    rows = pa.Table.from_batches(held).combine_chunks()
+    component, a, b, block, h1, h2, n = (rows.column(c).to_numpy() for c in range(7))
+    vectors = rows.column(7).combine_chunks()
+    values = matrix(vectors, len(vectors[0]))
+    norms = np.sqrt((values**2).sum(1))
+    # Rows are sorted by block; within one block they meet themselves.
+    cut = int(np.searchsorted(block, a[0], side="right"))
+    begin = 0 if a[0] == b[0] else cut
+    n = n.astype(np.float64)
+    links = np.zeros(len(n))
+    step = max(1, CELLS // (len(n) - begin))
+    for start in range(0, cut, step):
+        end = min(cut, start + step)
+        hit = values[start:end] @ values[begin:].T / (norms[start:end, None] * norms[begin:]) >= cosine
+        hit = hit.astype(np.float64)
+        if begin == 0:
+            hit[np.arange(end - start), np.arange(start, end)] = 0
+        else:
+            links[begin:] += n[start:end] @ hit
+        links[start:end] += hit @ n[begin:]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (h1, h2, component, links.astype(np.int64))], ["h1", "h2", "component", "links"])
+
+
 def _dot(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

@@ -155,6 +155,22 @@ def test_near_duplicates_of_few_rows(spark, vectors):
     assert got == Counter({(1, 1, 1, True): 2, (None, 0, None, False): 1, (2, 0, 2, True): 1})
 
 
+@pytest.mark.parametrize("least", [256, 16])
+def test_all_links_of_noisy_groups_are_counted(spark, monkeypatch, least):
+    """Near copies of one vector whose links no angles to a centre can prove."""
+    monkeypatch.setattr(projection_passes, "LEAST_BLOCK", least)
+    rng = np.random.default_rng(11)
+    rows = [c + s * rng.standard_normal(24) for s in (0.05, 0.2, 0.3) for c in rng.standard_normal((1, 24)) for _ in range(300)]
+    rows += rows[:3]
+    vectors = np.array(rows)
+    cosines = vectors @ vectors.T / np.sqrt((vectors**2).sum(1))[:, None] / np.sqrt((vectors**2).sum(1))
+    degree = (cosines >= 0.9).sum(1) - 1
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>").repartition(5)
+    got = {r.vec_id: r for r in projection_passes.near_duplicates(frame, 0.9).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i].n_links == degree[i] for i in got if got[i].n_links or degree[i] > 3)
+
+
 def brute_nearest(table, query, k):
     own = [(i, np.array(v)) for i, v, *_ in table if sound(v)]
     at = dict(own)[query]
