@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import acos
+from math import acos, ceil, log, log1p, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from aftershock.llm.shared import components, copies, salt, stored
 from aftershock.llm.vectors import lists, matrix, takes_part
 
+# Passes at least; more follow from the number of vectors, see passes_for.
 PASSES = 16
 WINDOW = 32
+# Share of the isolated pairs right at the threshold that some pass has to bring together.
+RECALL = 0.99
 # Random hashes (signs of projections) in a sort key.
 HASHES = 63
 SEED = 5
@@ -33,6 +36,18 @@ KEYS = "dimensions int, pass int, hash long, id long, vector array<double>"
 FOUND = "u long, v long, part int, first boolean, dimensions int, pass int, id long, vector array<double>"
 
 
+def passes_for(vectors: int, cosine: float, window: int = WINDOW) -> int:
+    """Passes that bring a pair at the threshold into one window with a chance of ``RECALL``.
+
+    Two vectors of that cosine share a sign with chance 1 - acos(cosine) / pi. Among
+    evenly spread vectors a window holds those that share the first log2(vectors / window)
+    signs, so each pass finds the pair with that power of the chance. There is no upper limit.
+    """
+    signs = log2(max(2.0, vectors / window))
+    found = (1 - acos(min(1.0, max(-1.0, cosine))) / pi) ** signs
+    return max(PASSES, ceil(log(1 - RECALL) / log1p(-found))) if 0 < found < 1 else PASSES
+
+
 def _keys(batches: Iterator[pa.RecordBatch], passes: int) -> Iterator[pa.RecordBatch]:
     planes: dict[tuple[int, int], np.ndarray] = {}
     weights = 1 << np.arange(HASHES - 1, -1, -1, dtype=np.int64)
@@ -92,17 +107,20 @@ def _runs(rows: pa.Table) -> Iterator[tuple[int, int, int]]:
             yield int(a), int(b), int(d[a])
 
 
-def links(vectors: DataFrame, cosine: float, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def links(vectors: DataFrame, cosine: float, passes: int | None = None, window: int = WINDOW) -> DataFrame:
     """Distinct pairs u < v of (id, vector) rows found with at least that cosine.
 
     In each pass the rows are sorted by a key of ``HASHES`` random signs, one after the other,
     and compared with their ``window`` next ones. The sorted order of all passes is dealt out
-    in ranges; the ends of neighbouring ranges are compared in a second step.
+    in ranges; the ends of neighbouring ranges are compared in a second step. Without
+    ``passes`` their number follows from the rows by :func:`passes_for`.
     """
+    rows = vectors.count()
+    passes = passes_for(rows, cosine, window) if passes is None else passes
     hashed = vectors.mapInArrow(lambda batches: _keys(batches, passes), KEYS)
     spark = vectors.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(1, min(ranges * 4, vectors.count() * passes // RANGE))
+    ranges = max(1, min(ranges * 4, rows * passes // RANGE))
     order = ["dimensions", "pass", "hash", "id"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +175,7 @@ def near_duplicates(
     cosine: float = 0.9,
     key: str = "vec_id",
     vector: str = "embedding",
-    passes: int = PASSES,
+    passes: int | None = None,
     window: int = WINDOW,
 ) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.

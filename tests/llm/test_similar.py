@@ -171,6 +171,21 @@ def test_all_links_of_noisy_groups_are_counted(spark, monkeypatch, least):
     assert all(got[i].n_links == degree[i] for i in got if got[i].n_links or degree[i] > 3)
 
 
+def test_isolated_pairs_are_found_in_tables_of_any_size(spark):
+    # A window of one neighbour needs as many shared signs as one of 32 in 256,000 vectors.
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((8000, 32))
+    v /= np.sqrt((v**2).sum(1))[:, None]
+    for i in range(400):
+        other = v[i + 400] - (v[i + 400] @ v[i]) * v[i]
+        v[i + 400] = 0.901 * v[i] + math.sqrt(1 - 0.901**2) * other / math.sqrt(other @ other)
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>").repartition(4)
+    found = {(r.u, r.v) for r in projection_passes.links(frame, 0.9, window=1).collect()}
+    assert sum((i, i + 400) in found for i in range(400)) >= 0.97 * 400
+    sizes = [projection_passes.passes_for(n, 0.9) for n in (100, 10**5, 10**7, 10**9)]
+    assert sizes == sorted(sizes) and sizes[0] == projection_passes.PASSES and sizes[3] > 2 * sizes[2] - sizes[1]
+
+
 def brute_nearest(table, query, k):
     own = [(i, np.array(v)) for i, v, *_ in table if sound(v)]
     at = dict(own)[query]
