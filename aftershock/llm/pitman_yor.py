@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 from aftershock.llm.byte_words import BASE, LOWER_ASCII, WHITE, mixed, word_hashes
 from aftershock.llm.shared import scratch, stored, text_buffer
 
-# Training words with a restaurant of their own as a context; all other words share one.
-CONTEXTS = 1024
-# Candidates for them from each task.
-CANDIDATES = 4 * CONTEXTS
 # Rows of a file that ask for their words together, and training and held-out tokens per bucket of words.
 BLOCK_ROWS = 1024
 BUCKET = 2_000_000
@@ -30,6 +26,7 @@ STRENGTH = 1.0
 # Customers of a dish up to which its tables are sampled from their exact distribution.
 EXACT = 64
 END = np.uint64(0x3C6EF372FE94F82B)
+START = np.uint64(0xA54FF53A5F1D36F1)
 
 
 @lru_cache(maxsize=8)
@@ -74,9 +71,9 @@ def seat(customers: np.ndarray, opening: np.ndarray, discount: float, rng: np.ra
 
 @dataclass(frozen=True)
 class Restaurants:
-    """What all buckets share: customers and tables of the contexts and of their common parent."""
+    """What a bucket has to know: customers and tables of its contexts and of their common parent."""
 
-    customers: np.ndarray  # by context
+    customers: np.ndarray  # by place of the context in the bucket
     tables: np.ndarray
     root_customers: int
     root_tables: int
@@ -102,7 +99,7 @@ class Bucket:
 
     words: np.ndarray  # hashes, sorted
     word: np.ndarray  # of each cell, an index into words
-    context: np.ndarray
+    context: np.ndarray  # a hash in payloads, else a place among the bucket's contexts
     count: np.ndarray
 
     @classmethod
@@ -110,7 +107,7 @@ class Bucket:
         """Training counts of all blocks added up."""
         parts = [Asked.read(p) for p in payloads]
         words = np.concatenate([np.repeat(p.words, p.entries) for p in parts])
-        context = np.concatenate([p.context for p in parts]).astype(np.int64)
+        context = np.concatenate([p.context for p in parts])
         count = np.concatenate([p.count for p in parts]).astype(np.int64)
         held = count > 0
         words, context, count = words[held], context[held], count[held]
@@ -126,10 +123,10 @@ class Bucket:
         return Asked(self.words, sizes, self.context, self.count).pack()
 
     @classmethod
-    def read(cls, raw: bytes) -> Bucket:
+    def read(cls, raw: bytes, contexts: np.ndarray) -> Bucket:
         asked = Asked.read(raw)
         word = np.repeat(np.arange(len(asked.words)), asked.entries)
-        return cls(asked.words, word, asked.context.astype(np.int64), asked.count.astype(np.int64))
+        return cls(asked.words, word, np.searchsorted(contexts, asked.context), asked.count.astype(np.int64))
 
     def sweeps(self, shared: Restaurants, seed: list[int], sweeps: int) -> Iterator[tuple]:
         """After each sweep: tables of the cells, customers and tables of the words in the parent."""
@@ -157,46 +154,43 @@ class Asked:
     count: np.ndarray
 
     def pack(self) -> bytes:
-        arrays = (self.words.astype("<u8"), self.entries.astype("<u4"), self.context.astype("<u2"), self.count.astype("<u4") if self.count.max(initial=0) < 2**32 else self.count.astype("<u8"))
-        head = np.array([len(self.words), len(self.context), arrays[3].itemsize], "<u8").tobytes()
+        contexts, place = np.unique(self.context.astype("<u8"), return_inverse=True)
+        place = place.astype("<u2" if len(contexts) <= 1 << 16 else "<u4")
+        count = self.count.astype("<u4") if self.count.max(initial=0) < 2**32 else self.count.astype("<u8")
+        arrays = (self.words.astype("<u8"), self.entries.astype("<u4"), contexts, place, count)
+        head = np.array([len(self.words), len(contexts), len(place), place.itemsize, count.itemsize], "<u8").tobytes()
         raw = b"".join(a.tobytes() for a in arrays)
         return head + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
     @classmethod
     def read(cls, packed: bytes) -> Asked:
-        n, m, width, size = np.frombuffer(packed, "<u8", 4).tolist()
-        raw = pa.decompress(packed[32:], size, codec="zstd", asbytes=True)
+        n, k, m, narrow, width, size = np.frombuffer(packed, "<u8", 6).tolist()
+        raw = pa.decompress(packed[48:], size, codec="zstd", asbytes=True)
         at, out = 0, []
-        for kind, items in (("<u8", n), ("<u4", n), ("<u2", m), (f"<u{width}", m)):
+        for kind, items in (("<u8", n), ("<u4", n), ("<u8", k), (f"<u{narrow}", m), (f"<u{width}", m)):
             out.append(np.frombuffer(raw, kind, items, at))
             at += items * np.dtype(kind).itemsize
-        return cls(*out)
+        words, entries, contexts, place, count = out
+        return cls(words, entries, contexts[place], count)
 
 
-def tokens(column: pa.Array, contexts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words with an end after each text, the texts' limits, and the words' contexts.
 
-    Context 0 is the start of a text, ``i + 1`` the word before if it is ``contexts[i]``, the
-    last one any other word.
+    A context is the word before, or ``START`` at the start of a text.
     """
     data, limits = text_buffer(column)
     hashes, upto = word_hashes(LOWER_ASCII[data], limits, WHITE)
     words = np.insert(hashes, upto[1:], END)
     upto = upto + np.arange(len(upto))
-    if contexts is None:
-        return words, upto, None
-    place = np.searchsorted(contexts, words)
-    known = place < len(contexts)
-    known[known] = contexts[place[known]] == words[known]
-    own = np.where(known, place + 1, len(contexts) + 1)
-    context = np.append(0, own[:-1])[: len(words)]
-    context[upto[:-1]] = 0
+    context = np.append(START, words[:-1])[: len(words)]
+    context[upto[:-1]] = START
     return words, upto, context
 
 
 def entries_of(words: np.ndarray, context: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (bucket, word, context), sorted, and the entry of each token."""
-    keys = mixed(words + context.astype(np.uint64) * np.uint64(BASE))
+    keys = mixed(words + mixed(context) * np.uint64(BASE))
     _, first, which = np.unique(keys, return_index=True, return_inverse=True)
     bucket = ((words[first] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((context[first], words[first], bucket))
@@ -205,42 +199,23 @@ def entries_of(words: np.ndarray, context: np.ndarray, buckets: int) -> tuple[np
     return bucket[order], words[first][order], context[first][order], rank[which]
 
 
-def _frequent(docs: DataFrame) -> tuple[np.ndarray, int, int]:
-    """The most frequent training words, and the numbers of training tokens and of all tokens."""
+def _sizes(docs: DataFrame) -> tuple[int, int]:
+    """The numbers of training tokens and of all tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, every = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        learnt, every = 0, 0
         for batch in batches:
             learn = batch.column(1).to_numpy(zero_copy_only=False)
-            seen, limits, _ = tokens(batch.column(0))
-            every += len(seen)
-            seen = seen[np.repeat(learn, np.diff(limits))]
-            new, times = np.unique(seen, return_counts=True)
-            both = np.concatenate([words, new])
-            words, which = np.unique(both, return_inverse=True)
-            counts = np.bincount(which, weights=np.concatenate([counts, times])).astype(np.int64)
-        total = int(counts.sum())
-        top = np.argsort(-counts, kind="stable")[:CANDIDATES]
-        top = top[words[top] != END]
-        # The last two rows are the totals.
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([*words[top].view(np.int64).tolist(), None, None]),
-                pa.array([*counts[top].tolist(), total, every]),
-                pa.array([0] * len(top) + [1, 2], pa.int32()),
-            ],
-            ["word", "n", "kind"],
-        )
-
-    sums = docs.select("text", "learn").mapInArrow(run, "word long, n long, kind int")
-    sums = stored(sums.groupBy("word", "kind").agg(F.sum("n").alias("n")))
-    totals = {r.kind: r.n for r in sums.filter("kind > 0").collect()}
-    top = sums.filter("kind = 0").orderBy(F.desc("n"), "word").limit(CONTEXTS).collect()
-    words = np.sort(np.array([r.word for r in top], np.int64).view(np.uint64))
-    return words, totals.get(1, 0), totals.get(2, 0)
-
-
-def _requests(docs: DataFrame, contexts: np.ndarray, buckets: int) -> DataFrame:
+            sizes = np.diff(tokens(batch.column(0))[1])
+            every += int(sizes.sum())
+            learnt += int(sizes[learn].sum())
+        yield pa.RecordBatch.from_arrays([pa.array([learnt]), pa.array([every])], ["learnt", "every"])
+
+    sums = docs.select("text", "learn").mapInArrow(run, "learnt long, every long").agg(F.sum("learnt"), F.sum("every")).first()
+    return sums[0] or 0, sums[1] or 0
+
+
+def _requests(docs: DataFrame, buckets: int) -> DataFrame:
     """For every part of a block and every bucket: the words and contexts that occur, with training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +224,7 @@ def _requests(docs: DataFrame, contexts: np.ndarray, buckets: int) -> DataFrame:
         def ask() -> pa.RecordBatch:
             rows = pa.Table.from_batches(held).combine_chunks()
             learn = rows.column("learn").combine_chunks().to_numpy(zero_copy_only=False)
-            words, limits, context = tokens(rows.column("text").combine_chunks(), contexts)
+            words, limits, context = tokens(rows.column("text").combine_chunks())
             bucket, words, context, which = entries_of(words, context, buckets)
             counts = np.bincount(which[np.repeat(learn, np.diff(limits))], minlength=len(words))
             numbers = np.unique(bucket)
@@ -280,12 +255,16 @@ def _requests(docs: DataFrame, contexts: np.ndarray, buckets: int) -> DataFrame:
 
 
 def _collected(asked: pa.Table) -> pa.Table:
-    """One row per bucket: its training counts, and all requests to be answered."""
+    """One row per bucket: its training counts, the contexts that occur, and all requests to be answered."""
     payloads = asked.column("asked").to_pylist()
+    contexts = np.zeros(0, np.uint64)
+    for payload in payloads:
+        contexts = np.union1d(contexts, Asked.read(payload).context)
     return pa.table(
         {
             "bucket": asked.column("bucket").slice(0, 1),
             "cells": pa.array([Bucket.of(payloads).pack()], pa.binary()),
+            "contexts": pa.array([contexts.astype("<u8").tobytes()], pa.binary()),
             "blocks": pa.array([asked.column("block").to_pylist()], pa.list_(pa.int64())),
             "parts": pa.array([asked.column("part").to_pylist()], pa.list_(pa.int64())),
             "asked": pa.array([payloads], pa.list_(pa.binary())),
@@ -293,93 +272,141 @@ def _collected(asked: pa.Table) -> pa.Table:
     )
 
 
-STATISTICS = "context int, customers long, tables long, ones long, twos long"
+STATISTICS = "context long, customers long, tables long, ones long, twos long"
+TOTALS = "bucket int, context long, customers long, tables long"
 
 
-def _statistics(context: np.ndarray, customers: np.ndarray, tables: np.ndarray) -> pa.RecordBatch:
+def _statistics(contexts: pa.Array, context: np.ndarray, customers: np.ndarray, tables: np.ndarray) -> pa.Table:
     columns = [customers, tables, customers == 1, customers == 2]
     used = np.unique(context)
     sums = [np.bincount(context, weights=c)[used].astype(np.int64) for c in columns] if len(used) else [used] * 4
-    return pa.RecordBatch.from_arrays(
-        [pa.array(used, pa.int32()), *(pa.array(s, pa.int64()) for s in sums)], [c.split()[0] for c in STATISTICS.split(", ")]
-    )
+    return pa.Table.from_arrays([contexts.take(pa.array(used)), *(pa.array(x, pa.int64()) for x in sums)], [c.split()[0] for c in STATISTICS.split(", ")])
+
+
+def _context_totals(buckets: DataFrame, totals: DataFrame) -> DataFrame:
+    """For each bucket a row per context that occurs in it, with the context's totals, 0 for unknown ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                contexts = np.frombuffer(raw, "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(contexts), number), pa.int32()), pa.array(contexts)], ["bucket", "context"])
+
+    held = buckets.select("bucket", "contexts").mapInArrow(run, "bucket int, context long")
+    none = F.lit(0).cast("long")
+    return held.join(totals, "context", "left").select("bucket", "context", *(F.coalesce(c, none).alias(c) for c in ("customers", "tables")))
+
+
+@dataclass(frozen=True)
+class Parent:
+    """Totals of the common parent, and what follows from the counts."""
+
+    customers: int
+    tables: int
+    discounts: tuple[float, float]
+    words: int
 
+    def restaurants(self, contexts: np.ndarray, given: pa.Table) -> Restaurants:
+        """With the totals of a bucket's contexts."""
+        place = np.searchsorted(contexts, given.column("context").to_numpy().view(np.uint64))
+        customers, tables = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int64)
+        customers[place] = given.column("customers").to_numpy()
+        tables[place] = given.column("tables").to_numpy()
+        return Restaurants(customers, tables, self.customers, self.tables, self.discounts, self.words)
 
-def _restaurants(buckets: DataFrame, contexts: int, shared: Restaurants | None) -> Restaurants:
+
+def _seated(buckets: DataFrame, parent: Parent | None, totals: DataFrame | None) -> tuple[Parent, DataFrame]:
     """Sums over all buckets: with a table per cell at first, then after sweeps of Gibbs sampling.
 
     A bucket keeps its words' cells and samples them with the sums of the last round, as the
-    restaurants' totals hardly change by one bucket's moves. At most a row per context comes back.
+    restaurants' totals hardly change by one bucket's moves. The totals of contexts stay a
+    distributed table, which meets the buckets by context; only those of the parent come back.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                bucket = Bucket.read(raw)
-                tables = np.minimum(bucket.count, 1)
-                customers = np.bincount(bucket.word, weights=tables, minlength=len(bucket.words)).astype(np.int64)
-                root_tables = np.ones(len(bucket.words), np.int64)
-                if shared is not None:
-                    *_, (tables, customers, root_tables) = bucket.sweeps(shared, [SEED, number], SETTLE)
-                yield _statistics(bucket.context, bucket.count, tables)
-                yield _statistics(np.full(len(customers), contexts), customers, root_tables)
-
-    sums = buckets.select("bucket", "cells").mapInArrow(run, STATISTICS).groupBy("context")
-    sums = sums.agg(*[F.sum(c).alias(c) for c in ("customers", "tables", "ones", "twos")])
-    totals = np.zeros((contexts + 1, 4), np.int64)
-    for row in sums.collect():
-        totals[row.context] = (row.customers, row.tables, row.ones, row.twos)
-    if shared is not None:
-        discounts, words = shared.discounts, shared.words
+    def run(held: pa.Table, given: pa.Table | None = None) -> pa.Table:
+        out = []
+        for number, raw, packed in zip(*(held.column(c).to_pylist() for c in ("bucket", "cells", "contexts"))):
+            contexts = np.frombuffer(packed, "<u8")
+            bucket = Bucket.read(raw, contexts)
+            tables = np.minimum(bucket.count, 1)
+            customers = np.bincount(bucket.word, weights=tables, minlength=len(bucket.words)).astype(np.int64)
+            root_tables = np.ones(len(bucket.words), np.int64)
+            if given is not None:
+                shared = parent.restaurants(contexts, given)
+                *_, (tables, customers, root_tables) = bucket.sweeps(shared, [SEED, number], SETTLE)
+            out.append(_statistics(pa.array(contexts.view("<i8")), bucket.context, bucket.count, tables))
+            # No context: the parent.
+            out.append(_statistics(pa.nulls(1, pa.int64()), np.zeros(len(customers), np.int64), customers, root_tables))
+        return pa.concat_tables(out)
+
+    cells = buckets.select("bucket", "cells", "contexts")
+    if totals is None:
+        sums = cells.mapInArrow(lambda batches: (x for b in batches for x in run(pa.Table.from_batches([b])).to_batches()), STATISTICS)
+    else:
+        met = _context_totals(buckets, totals).groupBy("bucket")
+        sums = cells.groupBy("bucket").cogroup(met).applyInArrow(run, STATISTICS)
+    sums = stored(sums.groupBy("context").agg(*[F.sum(c).alias(c) for c in ("customers", "tables", "ones", "twos")]))
+    root = sums.filter("context IS NULL").first()
+    root = (0, 0, 0, 0) if root is None else (root.customers, root.tables, root.ones, root.twos)
+    totals = sums.filter("context IS NOT NULL").select("context", "customers", "tables")
+    if parent is not None:
+        discounts, words = parent.discounts, parent.words
     else:
         share = lambda ones, twos: float(np.clip(ones / max(1, ones + 2 * twos), 0.05, 0.95))
-        discounts = (share(*totals[:-1, 2:].sum(0)), share(*totals[-1, 2:]))
-        words = int(totals[-1, 1])
-    return Restaurants(totals[:-1, 0], totals[:-1, 1], int(totals[-1, 0]), int(totals[-1, 1]), discounts, words)
+        own = sums.filter("context IS NOT NULL").agg(F.sum("ones"), F.sum("twos")).first()
+        discounts = (share(own[0] or 0, own[1] or 0), share(*root[2:]))
+        words = int(root[1])
+    return Parent(int(root[0]), int(root[1]), discounts, words), totals
 
 
-def _answers(buckets: DataFrame, shared: Restaurants) -> DataFrame:
+ANSWERS = "bucket int, block long, part long, logs binary, known binary"
+
+
+def _answers(buckets: DataFrame, parent: Parent, totals: DataFrame) -> DataFrame:
     """For every request: log10 of the averaged chance of each entry, and the training count of each word."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, raw, blocks, parts, asked in zip(*(batch.column(c).to_pylist() for c in range(5))):
-                bucket = Bucket.read(raw)
-                counts = np.bincount(bucket.word, weights=bucket.count, minlength=len(bucket.words) + 1).astype(np.int64)
-                chances = [np.zeros(int(Asked.read(a).entries.sum())) for a in asked]
-                spots = [_places(bucket, Asked.read(a)) for a in asked]
-                keep = list(bucket.sweeps(shared, [SEED, number], SETTLE + AVERAGED))[SETTLE:]
-                for tables, customers, root_tables in keep:
-                    parent = shared.root(np.append(customers, 0), np.append(root_tables, 0))
-                    own, own_tables = np.append(bucket.count, 0), np.append(tables, 0)
-                    for total, (word, cell, context) in zip(chances, spots):
-                        total += shared.chance(context, own[cell], own_tables[cell], parent[word])
-                logs = [np.log10(c / AVERAGED).astype("<f4").tobytes() for c in chances]
-                known = [counts[word].astype("<i8").tobytes() for word, _, _ in spots]
-                raw_known = [len(k).to_bytes(8, "little") + pa.compress(k, codec="zstd", asbytes=True) for k in known]
-                n = len(asked)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([number] * n, pa.int32()),
-                        pa.array(blocks, pa.int64()),
-                        pa.array(parts, pa.int64()),
-                        pa.array(logs, pa.binary()),
-                        pa.array(raw_known, pa.binary()),
-                    ],
-                    ["bucket", "block", "part", "logs", "known"],
-                )
+    def run(held: pa.Table, given: pa.Table) -> pa.Table:
+        out = []
+        columns = (held.column(c).to_pylist() for c in ("bucket", "cells", "contexts", "blocks", "parts", "asked"))
+        for number, raw, packed, blocks, parts, asked in zip(*columns):
+            contexts = np.frombuffer(packed, "<u8")
+            shared = parent.restaurants(contexts, given)
+            bucket = Bucket.read(raw, contexts)
+            counts = np.bincount(bucket.word, weights=bucket.count, minlength=len(bucket.words) + 1).astype(np.int64)
+            chances = [np.zeros(int(Asked.read(a).entries.sum())) for a in asked]
+            spots = [_places(bucket, Asked.read(a), contexts) for a in asked]
+            for sweep, (tables, customers, root_tables) in enumerate(bucket.sweeps(shared, [SEED, number], SETTLE + AVERAGED)):
+                if sweep < SETTLE:
+                    continue
+                chance = shared.root(np.append(customers, 0), np.append(root_tables, 0))
+                own, own_tables = np.append(bucket.count, 0), np.append(tables, 0)
+                for total, (word, cell, context) in zip(chances, spots):
+                    total += shared.chance(context, own[cell], own_tables[cell], chance[word])
+            logs = [np.log10(c / AVERAGED).astype("<f4").tobytes() for c in chances]
+            known = [counts[word].astype("<i8").tobytes() for word, _, _ in spots]
+            raw_known = [len(k).to_bytes(8, "little") + pa.compress(k, codec="zstd", asbytes=True) for k in known]
+            columns = [
+                pa.array([number] * len(asked), pa.int32()),
+                pa.array(blocks, pa.int64()),
+                pa.array(parts, pa.int64()),
+                pa.array(logs, pa.binary()),
+                pa.array(raw_known, pa.binary()),
+            ]
+            out.append(pa.Table.from_arrays(columns, [c.split()[0] for c in ANSWERS.split(", ")]))
+        return pa.concat_tables(out)
 
-    return buckets.mapInArrow(run, "bucket int, block long, part long, logs binary, known binary")
+    met = _context_totals(buckets, totals).groupBy("bucket")
+    return buckets.groupBy("bucket").cogroup(met).applyInArrow(run, ANSWERS)
 
 
-def _places(bucket: Bucket, asked: Asked) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _places(bucket: Bucket, asked: Asked, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word and cell of each entry, the last place for unknown ones; and its context."""
     place = np.searchsorted(bucket.words, asked.words)
     found = place < len(bucket.words)
     found[found] = bucket.words[place[found]] == asked.words[found]
     word = np.repeat(np.where(found, place, len(bucket.words)), asked.entries)
-    context = asked.context.astype(np.int64)
-    width = 1 << 17
+    context = np.searchsorted(contexts, asked.context)
+    width = len(contexts) + 1
     keys, wanted = bucket.word * width + bucket.context, word * width + context
     cell = np.searchsorted(keys, wanted)
     hit = cell < len(keys)
@@ -394,9 +421,9 @@ def score_texts(docs: DataFrame, learn: Column, key: str = "doc_id", text: str =
     base_score (add-one unigram) and score, both sums of log10 chances. Tokens are words (A-Z
     lower-cased, split at ASCII white space) and an end after each text.
 
-    The model is a hierarchical Pitman-Yor process: each of the ``CONTEXTS`` most frequent
-    training words (by counts of the words frequent in some task), the start of a text and all
-    other words together are a restaurant for the next word. Restaurants share a parent, whose
+    The model is a hierarchical Pitman-Yor process: every training word and the start of a text
+    are a restaurant for the next word; a word unknown in training leads to the parent alone.
+    Restaurants share a parent, whose
     base is uniform over the training words and one unknown word. Discounts follow from the
     counts. Tables are seated by Gibbs sampling, all customers of a dish at a time, and the
     chances after ``AVERAGED`` sweeps are averaged.
@@ -425,16 +452,16 @@ def score_texts(docs: DataFrame, learn: Column, key: str = "doc_id", text: str =
 
 
 def _scored(rows: DataFrame) -> DataFrame:
-    contexts, train_tokens, every = _frequent(rows)
+    train_tokens, every = _sizes(rows)
     buckets = max(1, -(-every // BUCKET))
-    asked = _requests(rows, contexts, buckets).groupBy("bucket")
-    kept = "bucket int, cells binary, blocks array<long>, parts array<long>, asked array<binary>"
+    asked = _requests(rows, buckets).groupBy("bucket")
+    kept = "bucket int, cells binary, contexts binary, blocks array<long>, parts array<long>, asked array<binary>"
     collected = stored(asked.applyInArrow(_collected, kept))
-    shared = None
+    parent = totals = None
     for _ in range(ROUNDS + 1):
-        shared = _restaurants(collected, len(contexts) + 2, shared)
-    answers = _answers(collected, shared)
-    vocabulary = shared.words
+        parent, totals = _seated(collected, parent, totals)
+    answers = _answers(collected, parent, totals)
+    vocabulary = parent.words
 
     def finish(texts: pa.Table, given: pa.Table) -> pa.Table:
         texts = texts.sort_by("row")
@@ -448,7 +475,7 @@ def _scored(rows: DataFrame) -> DataFrame:
             own = [i for i, p in enumerate(given["part"]) if p == part]
             logs = np.frombuffer(b"".join(given["logs"][i] for i in own), "<f4").astype(np.float64)
             known = np.concatenate([_unpacked(given["known"][i]) for i in own])
-            words, limits, context = tokens(some.column("text").combine_chunks(), contexts)
+            words, limits, context = tokens(some.column("text").combine_chunks())
             _, _, _, which = entries_of(words, context, buckets)
             counts = known[which]
             base = np.log10((counts + 1) / (train_tokens + vocabulary + 1))

@@ -296,6 +296,24 @@ def test_scores_beat_the_unigram_model_on_held_out_texts(spark):
     assert per_token > 0.5
 
 
+def test_every_word_is_a_context_of_its_own(spark):
+    """2,500 equally rare words that each determine the next: more contexts than any fixed number of restaurants."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    after = list(range(2500))
+    rng.shuffle(after)
+    texts = []
+    for i in range(1000):
+        words = [rng.randrange(2500)]
+        while len(words) < 40:
+            words.append(after[words[-1]])
+        texts.append((i, " ".join(f"w{w}" for w in words)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    held = pitman_yor.score_texts(docs, F.col("doc_id") % 5 != 0).filter("doc_id % 5 = 0").collect()
+    assert sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held) > 2.2
+
+
 def test_chances_of_all_words_add_up_to_one():
     rng = np.random.default_rng(1)
     words = np.sort(rng.integers(1, 2**60, 30).astype(np.uint64))
