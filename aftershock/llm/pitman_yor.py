@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from math import lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,10 @@ SETTLE, AVERAGED = 3, 4
 ROUNDS = 2
 SEED = 3
 STRENGTH = 1.0
-# Customers of a dish up to which its tables are sampled from their exact distribution.
-EXACT = 64
+# Customers of a dish up to which weights of its tables come from a table of Stirling numbers, beyond it from an integral.
+EXACT = 1024
+# Points of that integral.
+NODES = 128
 END = np.uint64(0x3C6EF372FE94F82B)
 START = np.uint64(0xA54FF53A5F1D36F1)
 
@@ -42,13 +45,109 @@ def log_stirling(discount: float, size: int = EXACT) -> np.ndarray:
     return table
 
 
+def _log1p(x: np.ndarray) -> np.ndarray:
+    """Logarithm of 1 + x for complex x; NumPy's loses the digits of a small x."""
+    return 0.5 * np.log1p(x.real * (2 + x.real) + x.imag**2) + 1j * np.arctan2(x.imag, 1 + x.real)
+
+
+def log_seatings(customers: np.ndarray, tables: np.ndarray, discount: float) -> np.ndarray:
+    """Logarithms of S(c, t) / c! for pairs of customers and tables, minus infinity outside 1 <= t <= c.
+
+    S(c, t) * t! / c! is the coefficient of x**c in ((1 - (1 - x)**d) / d)**t. With
+    x = exp(-z), Cauchy's integral is taken along a parabola around z <= 0 that passes the
+    saddle point, or along a line across it. Its points converge exponentially.
+    """
+    out = np.full(len(tables), -np.inf)
+    alone = tables == customers
+    out[alone] = [-lgamma(c + 1) for c in customers[alone].tolist()]
+    inside = np.flatnonzero((tables >= 1) & (tables < customers))
+    for part in np.array_split(inside, len(inside) // 4096 + 1):
+        c, t = customers[part].astype(np.float64), tables[part].astype(np.float64)
+        low, high = np.full(len(t), -80.0), np.full(len(t), np.log(60.0))
+        for _ in range(50):
+            middle = (low + high) / 2
+            mu = np.exp(middle)
+            rest = np.where(mu < 1, np.log(-np.expm1(-mu)), np.log1p(-np.exp(-np.maximum(mu, 0.5))))
+            above = np.log(t * discount) - mu + (discount - 1) * rest - np.log(-np.expm1(discount * rest)) > np.log(c)
+            low, high = np.where(above, middle, low), np.where(above, high, middle)
+        mu = np.maximum(np.exp((low + high) / 2), 1 / c)
+        reach = np.minimum(np.sqrt(40 / (min(1.0, 2 * (1 - discount)) * c * mu)), 10.0)
+        # Where tables are many, the integrand is a bell curve across the line.
+        line = mu > 1
+        x = np.exp(-mu[line])
+        spread = c[line] * (1 + (1 - discount) * x / (1 - x) - c[line] / t[line])
+        reach[line] = np.minimum(np.pi, 9 / np.sqrt(np.maximum(spread, 1e-9))) / (2 * mu[line])
+        turn = 1j * (np.arange(NODES) + 0.5) / NODES * reach[:, None]
+        along = np.where(line[:, None], 1, 1 + turn)
+        z = mu[:, None] * np.where(line[:, None], 1 + 2 * turn, along**2)
+        rest = np.where(z.real < 1, np.log(-np.expm1(-z)), _log1p(-np.exp(-np.where(z.real < 1, 1, z))))
+        logs = t[:, None] * np.log(-np.expm1(discount * rest) / discount) + c[:, None] * z + np.log(2j * mu[:, None] * along)
+        top = logs.real.max(1)
+        total = np.exp(logs - top[:, None]).imag.sum(1) * reach / (NODES * np.pi)
+        out[part] = top + np.log(np.maximum(total, 1e-300)) - np.array([lgamma(x + 1) for x in t.tolist()])
+    return out
+
+
+def _drawn(customers: np.ndarray, opening: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables drawn with weights S(c, t) * opening**t, which are log-concave in t.
+
+    The hat is flat around the mode and goes on with the slopes at a deviation from it.
+    """
+    price = np.log(opening)
+    weight = lambda t, rows=slice(None): log_seatings(customers[rows], t, discount) + t * price[rows]
+    # The mode is near opening * (1 - (1 - x)**d) / d where opening * x * (1 - x)**(d - 1) = c.
+    low, high = np.full(len(customers), -80.0), np.full(len(customers), 700.0)
+    for _ in range(60):
+        middle = (low + high) / 2
+        mu = np.exp(np.minimum(middle, 6.5))
+        above = price - mu + (discount - 1) * np.log(-np.expm1(-mu)) > np.log(customers)
+        low, high = np.where(above, middle, low), np.where(above, high, middle)
+    rest = np.log(-np.expm1(-np.exp(np.minimum(low, 6.5))))
+    mode = np.clip(opening * -np.expm1(discount * rest) / discount, 1, customers).astype(np.int64)
+    best = weight(mode)
+    for sign in (1, -1):
+        step, open_rows = np.ones(len(mode), np.int64), np.arange(len(mode))
+        while len(open_rows):
+            ahead = mode[open_rows] + sign * step[open_rows]
+            found = weight(ahead, open_rows)
+            better = found > best[open_rows]
+            up = open_rows[better]
+            mode[up], best[up] = ahead[better], found[better]
+            # Steps double while they go up, and start again until a single one does not.
+            ended = ~better & (step[open_rows] == 1)
+            step[open_rows] = np.where(better, step[open_rows] * 2, 1)
+            open_rows = open_rows[~ended]
+    bend = 2 * best - weight(mode - 1) - weight(mode + 1)
+    wide = np.maximum(1, np.ceil(1 / np.sqrt(np.maximum(bend, 1e-12)))).astype(np.int64)
+    left, right = mode - wide, mode + wide
+    ends, slopes = [], []
+    for end, inner in ((left, left + 1), (right, right - 1)):
+        at = weight(end)
+        with np.errstate(invalid="ignore"):
+            slopes.append(np.where(np.isfinite(at), np.minimum(at - weight(inner), -1e-9), -1.0))
+        ends.append(at)
+    mass = np.stack([np.exp(at - best) / -np.expm1(slope) for at, slope in zip(ends, slopes)] + [(right - left - 1).astype(np.float64)])
+    share = np.cumsum(mass / mass.sum(0), axis=0)
+    drawn = np.zeros(len(mode), np.int64)
+    todo = np.arange(len(mode))
+    while len(todo):
+        side = (rng.random(len(todo)) > share[:2, todo]).sum(0)
+        away = [rng.geometric(-np.expm1(slope[todo])) - 1 for slope in slopes]
+        between = left[todo] + 1 + (rng.random(len(todo)) * (right - left - 1)[todo]).astype(np.int64)
+        t = np.choose(side, [left[todo] - away[0], right[todo] + away[1], between])
+        hat = np.choose(side, [ends[0][todo] + away[0] * slopes[0][todo], ends[1][todo] + away[1] * slopes[1][todo], best[todo]])
+        taken = np.log(rng.random(len(todo))) < weight(t, todo) - hat
+        drawn[todo[taken]] = t[taken]
+        todo = todo[~taken]
+    return drawn
+
+
 def seat(customers: np.ndarray, opening: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Tables of each dish, given its customers and the weight of opening a further table for it.
 
     A Gibbs draw of all customers of a dish at once: the number of tables t has the weight
-    S(c, t) * opening**t, with S the seatings of c customers. Up to ``EXACT`` customers it is
-    drawn from these weights; beyond it, customers sit down one after another, in growing
-    groups that see the same tables.
+    S(c, t) * opening**t, with S the seatings of c customers. Up to ``EXACT`` customers the
+    weights of all t are computed; beyond it, t is drawn by rejection from the same weights.
     """
     tables = np.minimum(customers, 1)
     logs = log_stirling(discount)
@@ -60,12 +159,8 @@ def seat(customers: np.ndarray, opening: np.ndarray, discount: float, rng: np.ra
             weights = logs[c, 1 : c + 1] + np.log(opening[part])[:, None] * t
             tables[part] = 1 + np.argmax(weights + rng.gumbel(size=weights.shape), axis=1)
     many = np.flatnonzero(customers > EXACT)
-    seated = np.ones(len(many), np.int64)
-    while len(many) and (seated < customers[many]).any():
-        group = np.minimum(np.maximum(1, seated // 32), customers[many] - seated)
-        chance = opening[many] / (opening[many] + np.maximum(seated - discount * tables[many], 1e-9))
-        tables[many] += rng.binomial(group, chance)
-        seated += group
+    if len(many):
+        tables[many] = _drawn(customers[many], opening[many], discount, rng)
     return tables
 
 

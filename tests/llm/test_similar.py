@@ -267,6 +267,23 @@ def test_stirling_numbers_and_tables():
     assert many[0] == 0 and many[1] == 1 and 1 < many[2] <= 10_000_000
 
 
+@pytest.mark.parametrize("customers", [65, 1000, 1500])
+@pytest.mark.parametrize(("discount", "opening"), [(0.8, 1.0), (0.8, 20.0), (0.5, 20.0), (0.3, 5000.0)])
+def test_tables_of_large_dishes_follow_their_weights(customers, discount, opening):
+    t = np.arange(1, customers + 1)
+    exact = pitman_yor.log_stirling(discount, 1500)[customers, 1 : customers + 1]
+    got = pitman_yor.log_seatings(np.full(customers, customers), t, discount) + math.lgamma(customers + 1)
+    assert np.allclose(got, exact, rtol=0, atol=1e-5)
+    weights = np.exp(exact + t * math.log(opening) - (exact + t * math.log(opening)).max())
+    weights /= weights.sum()
+    mean = (weights * t).sum()
+    deviation = math.sqrt((weights * (t - mean) ** 2).sum())
+    rng = np.random.default_rng(2)
+    drawn = pitman_yor.seat(np.full(4000, customers), np.full(4000, opening), discount, rng)
+    assert abs(drawn.mean() - mean) < 5 * deviation / math.sqrt(4000)
+    assert abs(drawn.std() - deviation) < 0.1 * deviation
+
+
 def expected(rows, learn):
     texts = {i: words_of(t) + [None] for i, t in rows}
     counts = Counter(w for i, _ in rows if learn(i) for w in texts[i])
