@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aftershock.llm.byte_words import BASE, LOWER_ASCII, WHITE, mixed, word_hashes
-from aftershock.llm.shared import scratch, stored, text_buffer
+from aftershock.llm.shared import release, scratch, stored, text_buffer
 
 # Rows of a file that ask for their words together, and training and held-out tokens per bucket of words.
 BLOCK_ROWS = 1024
@@ -352,9 +352,7 @@ def _requests(docs: DataFrame, buckets: int) -> DataFrame:
 def _collected(asked: pa.Table) -> pa.Table:
     """One row per bucket: its training counts, the contexts that occur, and all requests to be answered."""
     payloads = asked.column("asked").to_pylist()
-    contexts = np.zeros(0, np.uint64)
-    for payload in payloads:
-        contexts = np.union1d(contexts, Asked.read(payload).context)
+    contexts = np.unique(np.concatenate([np.unique(Asked.read(payload).context) for payload in payloads]))
     return pa.table(
         {
             "bucket": asked.column("bucket").slice(0, 1),
@@ -552,10 +550,13 @@ def _scored(rows: DataFrame) -> DataFrame:
     asked = _requests(rows, buckets).groupBy("bucket")
     kept = "bucket int, cells binary, contexts binary, blocks array<long>, parts array<long>, asked array<binary>"
     collected = stored(asked.applyInArrow(_collected, kept))
+    release(rows.sparkSession)
     parent = totals = None
     for _ in range(ROUNDS + 1):
         parent, totals = _seated(collected, parent, totals)
-    answers = _answers(collected, parent, totals)
+        release(rows.sparkSession)
+    answers = stored(_answers(collected, parent, totals))
+    release(rows.sparkSession)
     vocabulary = parent.words
 
     def finish(texts: pa.Table, given: pa.Table) -> pa.Table:
