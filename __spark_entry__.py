@@ -99,19 +99,18 @@ def grain_of_marts(t: Tables) -> DataFrame:
 def export_and_read(t: Tables) -> DataFrame:
     """Export the four report frames as CSV to the shared folder and return what the files hold.
 
-    The files are the point, so this writes and reads when called; then the folder goes. The
-    reports have a row per week, flag or city and phase, so their content fits the driver.
+    The files are the point, so this writes and reads when called; then the folder goes. What
+    has been read is checkpointed before that, so no rows pass through the driver.
     """
     frames = report_frames(t.star, t.phases, t.cohort)
     spark = t.star.fact_orders.sparkSession
     with scratch(spark, "export") as folder:
         paths = export_csv(frames, folder)
-        read = {n: spark.read.schema(frames[n].schema).option("header", True).csv(p).collect() for n, p in paths.items()}
-    held = [
-        spark.createDataFrame(rows, frames[name].schema).select(F.lit(name).alias("frame"), "*")
-        for name, rows in read.items()
-    ]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), held)
+        held = [
+            spark.read.schema(frames[name].schema).option("header", True).csv(path).select(F.lit(name).alias("frame"), "*")
+            for name, path in paths.items()
+        ]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), held).checkpoint()
 
 
 PHASE_DOUBLES = (

@@ -364,3 +364,13 @@ def test_bucketed_facts_join_without_shuffle(spark):
 
 def test_shared_dir_is_the_configured_one(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_exported_frames_do_not_pass_through_the_driver(spark, monkeypatch):
+    def refused(self):
+        raise AssertionError("collected")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(type(spark.range(1)), "collect", refused)
+        exported = entry.queries()["q48_export_csv"](spark, SMALL)
+    assert exported.count() > 0 and exported.select("frame").distinct().count() == 4
