@@ -12,6 +12,7 @@ from aftershock.llm import (
     multi_index,
     ngram_join,
     packing,
+    piece_counts,
     pitman_yor,
     poisson_mix,
     projection_passes,
@@ -108,6 +109,10 @@ def op10_projection_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection_passes.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
 
 
+def op12_resync_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(piece_counts.MODEL))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_pitman_yor": op2_pitman_yor,
@@ -119,4 +124,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_nnpu_toxicity": op9_nnpu_toxicity,
     "op10_projection_dedup": op10_projection_dedup,
+    "op12_resync_counts": op12_resync_counts,
 }
