@@ -17,6 +17,7 @@ from aftershock.llm import (
     poisson_mix,
     projection_passes,
     site_lines,
+    spelling,
     toxicity,
     url_boost,
 )
@@ -109,6 +110,19 @@ def op10_projection_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection_passes.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants among the words of all texts, of which every 31st or so occurrence loses a letter."""
+    runs = spelling.runs(table(spark, sf_dir, "documents"))
+    run, size = F.col("run"), F.length("run")
+    hashed = F.crc32(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), run).cast("binary"))
+    place = (hashed % size).cast("int")
+    shorter = F.concat(F.substring(run, F.lit(1), place), F.substring(run, place + 2, size))
+    word = F.when(hashed % 31 == 0, shorter).otherwise(run).alias("word")
+    # Shorter runs make no word of seven letters; saves hashing them.
+    words = spelling.vocabulary(runs.filter(size >= 7).select(word), least_size=7, least_n=2)
+    return spelling.group_variants(words, ratio=10)
+
+
 def op12_resync_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(piece_counts.MODEL))
 
@@ -124,5 +138,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_nnpu_toxicity": op9_nnpu_toxicity,
     "op10_projection_dedup": op10_projection_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_resync_counts": op12_resync_counts,
 }
