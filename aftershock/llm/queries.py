@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aftershock.llm import (
+    hard_negatives,
     huffman_ids,
     multi_index,
     ngram_join,
@@ -127,6 +128,17 @@ def op12_resync_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(piece_counts.MODEL))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh label changed, components in whole 256ths."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    # The floor of NaN would be 0, that of an infinity the greatest long.
+    finite = lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))
+    scaled = F.transform("embedding", lambda x: F.when(finite(x), F.floor(256 * x.cast("double")).cast("double")))
+    rows = rows.select("vec_id", label.alias("label"), scaled.alias("vector"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0, positives=5, negatives=10, lower=30, upper=90)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_pitman_yor": op2_pitman_yor,
@@ -140,4 +152,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_projection_dedup": op10_projection_dedup,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_resync_counts": op12_resync_counts,
+    "op13_hard_negatives": op13_hard_negatives,
 }
