@@ -19,8 +19,9 @@ sys.path.insert(0, str(ROOT))
 
 from aftershock.functions.calendar import dated, phase_rank
 from aftershock.operators import calendar, quality
+from aftershock.operators.masks import activity_masks
 from aftershock.pipeline import report_frames
-from aftershock.plans import cities, cohorts, daily, monthly, phases, restaurants, weekly
+from aftershock.plans import cities, cohorts, daily, masked, monthly, phases, restaurants, weekly
 from aftershock.session import scratch
 from aftershock.sinks.write import export_csv
 from aftershock.sources.star import AMOUNTS, Star
@@ -64,6 +65,12 @@ class Tables:
     def items(self) -> DataFrame:
         return self.star.fact_order_items
 
+    def customer_masks(self) -> DataFrame:
+        return activity_masks(self.orders, "customer_id")
+
+    def restaurant_masks(self) -> DataFrame:
+        return activity_masks(self.orders, "restaurant_id")
+
     def master(self) -> DataFrame:
         return monthly.monthly_master_summary(self.orders, self.deliveries, self.ratings, self.phases)
 
@@ -146,6 +153,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
         monthly.monthly_base(t.orders)
     ),
     "q16_monthly_customer_activity": lambda t: monthly.monthly_customer_activity(t.orders),
+    "q16_activity_of_masks": lambda t: masked.monthly_customer_activity(t.customer_masks()),
     "q17_preview": lambda t: quality.preview(
         monthly.monthly_customer_activity(t.orders), 10, *monthly.KEYS, "customer_id"
     ),
@@ -153,12 +161,18 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
         monthly.monthly_customer_activity(t.orders)
     ),
     "q19_returning_customer_rate": lambda t: monthly.returning_customer_rate(monthly.customer_base(t.orders)),
+    "q18_returning_of_masks": lambda t: masked.returning_customer(t.customer_masks()),
+    "q19_returning_rate_of_masks": lambda t: masked.returning_customer_rate(t.customer_masks()),
     "q20_monthly_rest_activity": lambda t: monthly.monthly_rest_activity(t.orders),
     "q21_monthly_active_res": lambda t: monthly.monthly_active_res(monthly.monthly_rest_activity(t.orders)),
     "q22_churn_restaurants": lambda t: monthly.churn_restaurants(monthly.monthly_rest_activity(t.orders)),
     "q23_restaurant_churn_rate": lambda t: monthly.restaurant_churn_rate(
         monthly.monthly_rest_activity(t.orders)
     ),
+    "q20_activity_of_masks": lambda t: masked.monthly_rest_activity(t.restaurant_masks()),
+    "q21_active_res_of_masks": lambda t: masked.monthly_active_res(t.restaurant_masks()),
+    "q22_churn_of_masks": lambda t: masked.churn_restaurants(t.restaurant_masks()),
+    "q23_churn_rate_of_masks": lambda t: masked.restaurant_churn_rate(t.restaurant_masks()),
     "q24_grain_check": grain_of_marts,
     "q24_grain_check_orders": lambda t: quality.grain_check(t.star.fact_orders, ["order_id"]),
     "q24_grain_check_deliveries": lambda t: quality.grain_check(t.deliveries, ["order_id"]),
@@ -196,6 +210,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "q47_revenue_share_pivot": lambda t: cities.revenue_share_pivot(t.city()),
     "q48_export_csv": export_and_read,
     "q49_cohort_retention_curve": lambda t: cohorts.cohort_retention_curve(t.orders, t.cohort),
+    "q49_curve_of_masks": lambda t: masked.cohort_retention_curve(t.customer_masks(), t.cohort),
 }
 
 

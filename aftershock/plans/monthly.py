@@ -206,8 +206,12 @@ def restaurant_churn_rate(activity: DataFrame, same_phase: bool = True) -> DataF
     Takes the restaurant activity. The previous-month base is the activity group the
     churned restaurants come from, so both sides of the rate are columns of one row.
     """
-    base = restaurant_base(activity, same_phase).filter(F.col("gone") > 0)
-    return base.select(
+    return churn_rate_of(restaurant_base(activity, same_phase))
+
+
+def churn_rate_of(base: DataFrame) -> DataFrame:
+    """:func:`restaurant_churn_rate` from active, churned and gone restaurants by month and phase."""
+    return base.filter(F.col("gone") > 0).select(
         F.add_months("month_start_date", 1).alias("month_start_date"),
         "phase",
         "churned_restaurants",

@@ -606,6 +606,18 @@ REPORTS: dict[str, str] = {
     "q49_cohort_retention_curve": "SELECT * FROM cohort_retention_curve",
 }
 
+# Queries that give the rows of another one by other means.
+REPORTS |= {
+    "q16_activity_of_masks": REPORTS["q16_monthly_customer_activity"],
+    "q18_returning_of_masks": REPORTS["q18_returning_customer"],
+    "q19_returning_rate_of_masks": REPORTS["q19_returning_customer_rate"],
+    "q20_activity_of_masks": REPORTS["q20_monthly_rest_activity"],
+    "q21_active_res_of_masks": REPORTS["q21_monthly_active_res"],
+    "q22_churn_of_masks": REPORTS["q22_churn_restaurants"],
+    "q23_churn_rate_of_masks": REPORTS["q23_restaurant_churn_rate"],
+    "q49_curve_of_masks": REPORTS["q49_cohort_retention_curve"],
+}
+
 
 def statements(phases: PhaseSpec, spec: CohortSpec, base: str = ADAPTER) -> dict[str, str]:
     """One self-contained statement per query; ``base`` defines the base tables, or is empty where they exist."""
