@@ -615,6 +615,7 @@ REPORTS |= {
     "q21_active_res_of_masks": REPORTS["q21_monthly_active_res"],
     "q22_churn_of_masks": REPORTS["q22_churn_restaurants"],
     "q23_churn_rate_of_masks": REPORTS["q23_restaurant_churn_rate"],
+    "q26_refreshed_master": REPORTS["q26_monthly_master_summary"],
     "q49_curve_of_masks": REPORTS["q49_cohort_retention_curve"],
 }
 

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from aftershock.llm import multi_index, ngram_join, pitman_yor, projection_passes
+from aftershock.llm import multi_index, ngram_join, pitman_yor, projection_passes, shared
 from aftershock.llm.shared import components
 from tests.llm.conftest import LONG, changed, prose
 
@@ -31,8 +31,9 @@ def reached(ids, links):
     return label
 
 
-@pytest.mark.parametrize("rounds", [1, 3])
-def test_components(spark, rounds):
+@pytest.mark.parametrize(("rounds", "finished"), [(1, 0), (3, 0), (1, 400_000), (3, 90)])
+def test_components(spark, monkeypatch, rounds, finished):
+    monkeypatch.setattr(shared, "FINISHED", finished)
     rng = random.Random(rounds)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)]
     links += [(1000, i) for i in range(1001, 1200)] + [(i, i + 1) for i in range(2000, 2100)] + [(7, 7)]

@@ -134,3 +134,28 @@ def test_files_hold_all_documents_in_order(spark, hostile, tmp_path):
 def test_files_of_nothing(spark, empty, tmp_path):
     huffman_ids.write_ids(empty, f"{tmp_path}/none", TOKENIZER)
     assert huffman_ids.read_ids(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_known_words_are_found_again_whatever_their_places():
+    rng = np.random.default_rng(1)
+    known = word_ids.KnownWords()
+    known.places = 8
+    known.hashes, known.looks, known.numbers = np.zeros(8, np.uint64), np.zeros((3, 8), np.uint64), np.zeros(8, np.int64)
+    hashes = rng.permutation(np.arange(1, 1001).astype(np.uint64) * np.uint64(8))  # all ask for the same places at first
+    looks = rng.integers(0, 9, (3, 1000)).astype(np.uint64)
+    for at in range(0, 1000, 100):
+        some = slice(at, at + 100)
+        assert (known.find(hashes[some], looks[:, some]) == known.ABSENT).all()
+        known.add(hashes[some], looks[:, some], np.arange(at, at + 100))
+        assert (known.find(hashes[: at + 100], looks[:, : at + 100]) == np.arange(at + 100)).all()
+    assert known.size == 1000 and 2 * known.size <= known.places
+    assert (known.find(hashes, looks + np.uint64(1)) == known.OTHER).all()
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(word_ids, "span_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    fresh = word_ids.WordIds(TOKENIZER)
+    for _ in range(2):
+        for text in ("one two six", "ten", "six two one, ten"):
+            ids, _, _ = fresh.encode(pa.array([text]))
+            assert ids.tolist() == library(text)

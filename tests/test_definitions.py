@@ -139,7 +139,8 @@ def check(spark, rows: dict, phases, names) -> None:
     assert wrong == []
 
 
-RANDOM_PLANS = [n for n in entry.PLANS if n != "q48_export_csv"]
+# The others store files; the refresh has its own tests on such stars.
+RANDOM_PLANS = [n for n in entry.PLANS if n not in ("q48_export_csv", "q26_refreshed_master")]
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
