@@ -40,23 +40,30 @@ LINES = f"""
 WITH pages AS (
     SELECT DISTINCT coalesce(source, '') AS site, text FROM documents WHERE text IS NOT NULL
 ), totals AS (
-    SELECT site, count(*) AS pages FROM pages GROUP BY site HAVING count(*) >= {site_lines.MIN_PAGES}
+    SELECT site, count(*) AS pages FROM pages GROUP BY site
 ), held AS (
     SELECT site, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM pages
 ), common AS (
     SELECT h.site, list(h.line) AS lines
     FROM (SELECT site, line, count(*) AS holders FROM held WHERE trim(line) <> '' GROUP BY site, line) h
-    JOIN totals t ON t.site = h.site AND h.holders > {site_lines.MAX_RATIO} * t.pages
+    JOIN totals t ON t.site = h.site AND h.holders >= {site_lines.LEAST_HOLDERS} AND h.holders > t.pages * CASE
+        WHEN length(trim(h.line)) - length(replace(trim(h.line), ' ', '')) >= {site_lines.LONG_WORDS - 1}
+        THEN {site_lines.LONG_RATIO}::DOUBLE ELSE {site_lines.MAX_RATIO}::DOUBLE END
     GROUP BY h.site
 ), kept AS (
     SELECT d.*, string_split(d.text, chr(10)) AS own, coalesce(c.lines, []) AS common
     FROM documents d LEFT JOIN common c ON c.site = coalesce(d.source, '')
 ), filtered AS (
     SELECT *, list_filter(own, lambda x: NOT list_contains(common, x)) AS stay FROM kept
+), sized AS (
+    SELECT *, 2 * coalesce(list_sum(list_transform(stay, lambda x: CASE WHEN trim(x) = '' THEN 0 ELSE length(x) END)), 0)
+        < coalesce(list_sum(list_transform(own, lambda x: CASE WHEN trim(x) = '' THEN 0 ELSE length(x) END)), 0) AS mostly
+    FROM filtered
 )
-SELECT doc_id, source, coalesce(len(own), 0) AS lines, coalesce(len(own) - len(stay), 0) AS dropped,
-    CASE WHEN len(own) = len(stay) THEN text ELSE array_to_string(stay, chr(10)) END AS text
-FROM filtered
+SELECT doc_id, source, coalesce(len(own), 0) AS lines,
+    CASE WHEN mostly THEN 0 ELSE coalesce(len(own) - len(stay), 0) END AS dropped,
+    CASE WHEN mostly OR len(own) = len(stay) THEN text ELSE array_to_string(stay, chr(10)) END AS text
+FROM sized
 """
 
 SIMILAR = """

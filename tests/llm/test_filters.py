@@ -13,19 +13,19 @@ from tests.llm.conftest import prose
 
 
 def test_boilerplate_lines_go_and_copies_of_a_page_count_once(spark):
-    rows = [(i, "a", f"menu\nown {i}\n" + ("ad\n" if i < 3 else "") + "\nend") for i in range(30)]
+    rows = [(i, "a", f"menu\nown text {i}\n" + ("ad\n" if i < 2 else "") + "\nend") for i in range(30)]
     rows += [(100 + i, "a", "a copied page\nwith two lines") for i in range(30)]
     rows += [(200 + i, "few", "menu") for i in range(5)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
     got = {r.doc_id: r for r in site_lines.drop_site_lines(docs).collect()}
-    assert got[7].text == "own 7\n" and (got[7].lines, got[7].dropped) == (4, 2)
-    assert got[0].text == "own 0\nad\n"
+    assert got[7].text == "own text 7\n" and (got[7].lines, got[7].dropped) == (4, 2)
+    assert got[0].text == "own text 0\nad\n"
     assert all(got[100 + i].text == "a copied page\nwith two lines" for i in range(30))
     assert all(got[200 + i].dropped == 0 for i in range(5))
 
 
 def test_lines_of_hostile_documents(hostile, empty):
-    got = site_lines.drop_site_lines(hostile, min_pages=2, max_ratio=0.3)
+    got = site_lines.drop_site_lines(hostile, least_holders=2, max_ratio=0.3)
     assert set(got.columns) == {*hostile.columns, "lines", "dropped"}
     texts = Counter((r.doc_id, r.text) for r in got.collect())
     assert texts[3, None] == 1 and texts[4, ""] == 1 and texts[2, "own line two"] == 2
@@ -34,6 +34,39 @@ def test_lines_of_hostile_documents(hostile, empty):
     assert site_lines.drop_site_lines(empty).collect() == []
 
 
+@pytest.mark.parametrize("pages", [40, 400, 3000])
+def test_planted_lines_go_and_clean_lines_stay_at_every_size(spark, pages):
+    """Boilerplate on a twentieth of the pages, passages of 60 words on a hundredth (three pages at least), near copies."""
+    passages = [prose(9000 + i, 60) for i in range(4)]
+    family = [prose(8000 + i, 12, 10**6) for i in range(6)]
+    rows, planted = [], set()
+    for i in range(pages):
+        lines = [prose(i * 31 + j, 12, 10**6) for j in range(5)]
+        if i % 20 < 2 or i < 4:
+            lines.insert(2, f"Posted in {i % 2} by the editors")
+            planted.add((i, lines[2]))
+        if i % 100 < 1 or i < 3:
+            lines.insert(1, passages[i % 2])
+            planted.add((i, passages[i % 2]))
+        rows.append((i, "\n".join(lines), f"site{i % 2}"))
+    copies = [(pages + i, "\n".join([*family, f"edit {i}"]), "site0") for i in range(max(3, pages // 40))]
+    docs = spark.createDataFrame(rows + copies, "doc_id long, text string, source string")
+    got = {r.doc_id: set((r.text or "").split("\n")) for r in site_lines.drop_site_lines(docs).collect()}
+    counts = Counter((rows[i][2], line) for i, line in planted)
+    caught = [line not in got[i] for i, line in planted if counts[rows[i][2], line] >= 3]
+    assert len(caught) > pages / 50 and sum(caught) >= 0.9 * len(caught)
+    clean = [line in got[i] for i, text, _ in rows for line in text.split("\n") if (i, line) not in planted]
+    assert sum(clean) >= 0.99 * len(clean)
+    assert all(got[i] == set(text.split("\n")) for i, text, _ in copies)
+
+
+def test_sites_by_host(spark):
+    pages = [(i, f"ad\nown {i} and more than half", f"HTTP://WWW.{'ab'[i % 2]}.org/p?u={i}") for i in range(8)]
+    docs = spark.createDataFrame(pages, "doc_id long, text string, url string")
+    got = site_lines.drop_site_lines(docs, site=site_lines.host_of(F.col("url")), least_holders=4, max_ratio=0.9)
+    assert all(r.text.startswith("own") and r.dropped == 1 for r in got.collect())
+
+
 def poisson(mean: float, u: float) -> int:
     p = reached = math.exp(-mean)
     k = 0
