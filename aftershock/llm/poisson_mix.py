@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aftershock.llm.shared import copies, salt, stored
+from aftershock.llm.shared import copies, stored
 
 SEED = 11
 ALPHA = 0.5
@@ -24,6 +24,11 @@ def unit(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, BITS // 4), 16, 10).cast("double") / float(2**BITS)
 
 
+def identity(key: Column, text: Column) -> Column:
+    """What a document's number is drawn from: its id, or the digest of its text where it has none."""
+    return F.coalesce(key.cast("string"), F.concat(F.lit("~"), F.md5(F.coalesce(text.cast("string"), F.lit("")))))
+
+
 def source_rates(docs: DataFrame, source: str, text: str, weights: dict[str, float] | None, alpha: float) -> DataFrame:
     """(source, rate): how often a document of the source is wanted, so that shares of text follow the weights.
 
@@ -79,9 +84,10 @@ def mix_sources(
     ``PART_MEAN`` are drawn as a sum of equal parts, which has the same distribution.
 
     The result's rows are in random order: dealt by a hash of seed, id and copy, and sorted by
-    it within each partition. A NULL source is a source of its own; a NULL id hashes as empty
-    text; rows with the same id get the same number; a NULL text has size 0. An empty table
-    gives an empty one. Input columns ``rate`` and ``copy`` are replaced.
+    it within each partition. A NULL source is a source of its own; a document without an id is drawn
+    by its text; rows with the same id, or without one and with the same text, get the same
+    number; a NULL text has size 0. An empty table gives an empty one. Input columns ``rate`` and
+    ``copy`` are replaced.
 
     The table of sources is broadcast while it has at most ``FEW_SOURCES`` rows, else joined by
     source and salt, so that the rows of a large source spread.
@@ -93,7 +99,10 @@ def mix_sources(
     rates = stored(rates.withColumnRenamed("source", "of"))
     kept = [c for c in docs.columns if c not in ("rate", "copy")]
     rows = docs.select(
-        F.struct(*[F.col(c) for c in kept]).alias("row"), salt(F.col(key), SALTS).alias("salt")
+        F.struct(*[F.col(c) for c in kept]).alias("row"),
+        identity(F.col(key), F.col(text)).alias("who"),
+        # By place: rows of one id may be many.
+        F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"),
     )
     same = F.col(f"row.{source}").eqNullSafe(F.col("of"))
     if rates.count() <= FEW_SOURCES:
@@ -104,10 +113,10 @@ def mix_sources(
     drawn = F.aggregate(
         F.sequence(F.lit(1), F.col("parts")),
         F.lit(0),
-        lambda n, part: n + F.size(F.filter("steps", lambda x: x <= unit(seed, F.col(f"row.{key}"), part))),
+        lambda n, part: n + F.size(F.filter("steps", lambda x: x <= unit(seed, F.col("who"), part))),
     )
-    repeated = matched.select("row", "rate", drawn.alias("n")).filter("n > 0")
-    repeated = repeated.select("row", "rate", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
-    order = F.xxhash64(F.lit(seed), F.col(f"row.{key}"), F.col("copy"))
-    shuffled = repeated.withColumn("order", order).repartition("order").sortWithinPartitions("order")
+    repeated = matched.select("row", "who", rows["salt"], "rate", drawn.alias("n")).filter("n > 0")
+    repeated = repeated.select("row", "who", "salt", "rate", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    order = F.xxhash64(F.lit(seed), F.col("who"), F.col("copy"))
+    shuffled = repeated.withColumn("order", order).repartition("order", "salt").sortWithinPartitions("order")
     return shuffled.select(*[F.col(f"row.{c}").alias(c) for c in kept], "rate", "copy")

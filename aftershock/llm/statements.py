@@ -20,19 +20,21 @@ WITH RECURSIVE sizes AS (
     UNION ALL
     SELECT source, mean, k + 1, p * mean / (k + 1), reached + p * mean / (k + 1) FROM steps
     WHERE k < ceil(mean + 12 * sqrt(mean) + 12)
+), named AS (
+    SELECT *, coalesce(CAST(doc_id AS VARCHAR), '~' || md5(coalesce(text, ''))) AS who FROM documents
 ), draws AS (
-    SELECT d.doc_id, d.source, CAST('0x' || substr(
-        md5('{poisson_mix.SEED}:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || part), 1, 13) AS BIGINT) / pow(2, 52) AS u
-    FROM (SELECT DISTINCT doc_id, source FROM documents) d
+    SELECT d.who, d.source, CAST('0x' || substr(
+        md5('{poisson_mix.SEED}:' || d.who || ':' || part), 1, 13) AS BIGINT) / pow(2, 52) AS u
+    FROM (SELECT DISTINCT who, source FROM named) d
     JOIN (SELECT source, unnest(range(1, parts + 1)) AS part FROM parts) p ON p.source IS NOT DISTINCT FROM d.source
 ), counts AS (
-    SELECT x.doc_id, x.source, count(*) AS n
+    SELECT x.who, x.source, count(*) AS n
     FROM draws x JOIN steps s ON s.source IS NOT DISTINCT FROM x.source AND s.reached <= x.u
-    GROUP BY x.doc_id, x.source
+    GROUP BY x.who, x.source
 )
-SELECT d.*, round(r.rate, 9) AS rate, unnest(range(1, c.n + 1)) AS copy
-FROM documents d
-JOIN counts c ON c.doc_id IS NOT DISTINCT FROM d.doc_id AND c.source IS NOT DISTINCT FROM d.source
+SELECT d.* EXCLUDE (who), round(r.rate, 9) AS rate, unnest(range(1, c.n + 1)) AS copy
+FROM named d
+JOIN counts c ON c.who = d.who AND c.source IS NOT DISTINCT FROM d.source
 JOIN rates r ON r.source IS NOT DISTINCT FROM d.source
 """
 
