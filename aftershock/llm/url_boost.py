@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import log
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aftershock.llm.shared import copies, salt, stored
@@ -17,6 +17,8 @@ PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 BINS = 32
 FEATURES = ("length", "depth", "digits", "entropy", "params", "suffix_rate", "suffix_size", "top_rate", "top_size")
 SUFFIXES = (("suffix", 2), ("top", 1))
+# Parts by the hash of the host: a labelled URL learns from the suffix statistics of the other parts.
+FOLDS = 5
 # Labelled URLs that weigh as much as the overall share in a suffix's rate.
 SMOOTHING = 20.0
 # Gradients are added up as integers, so that a sum does not depend on the order of its rows.
@@ -123,16 +125,19 @@ class SuffixStatistics:
     """Blocked and all labelled URLs by the last labels of their hosts."""
 
     tables: dict[str, DataFrame]
+    of_others: dict[str, DataFrame]
     share: float
 
-    def add(self, urls: DataFrame) -> DataFrame:
+    def add(self, urls: DataFrame, others_only: bool = False) -> DataFrame:
         """Adds share of blocked and number of the labelled URLs under the same last labels, binned.
 
-        A suffix without labelled URLs has the overall share. Suffixes are joined by ``salt``
-        as well, so that the URLs of a common one spread.
+        A suffix without labelled URLs has the overall share. With ``others_only`` the labels of hosts in
+        the URL's own ``fold`` do not count, so that the share does not tell its label. Suffixes
+        are joined by ``salt`` as well, so that the URLs of a common one spread.
         """
-        for name, table in self.tables.items():
-            urls = urls.join(copies(table, SALTS), [name, "salt"], "left")
+        fold = ["fold"] if others_only else []
+        for name, table in (self.of_others if others_only else self.tables).items():
+            urls = urls.join(copies(table, SALTS), [name, *fold, "salt"], "left")
             seen = F.coalesce("seen", F.lit(0))
             rate = (F.coalesce("blocked", F.lit(0)) + SMOOTHING * self.share) / (seen + SMOOTHING)
             urls = urls.withColumns({f"{name}_rate": _bin(rate * BINS), f"{name}_size": _bin(F.log2(seen + 1))})
@@ -141,11 +146,19 @@ class SuffixStatistics:
 
 
 def suffix_statistics(labelled: DataFrame) -> SuffixStatistics:
-    """From rows (suffix, top, n, ones)."""
+    """From rows (suffix, top, fold, n, ones)."""
     n, ones = labelled.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("ones"), F.lit(0))).first()
     sums = (F.sum("ones").alias("blocked"), F.sum("n").alias("seen"))
     tables = {name: stored(labelled.groupBy(name).agg(*sums)) for name, _ in SUFFIXES}
-    return SuffixStatistics(tables, ones / n if n else 0.5)
+    of_others = {}
+    for name, _ in SUFFIXES:
+        by_fold = labelled.groupBy(name, "fold").agg(*sums)
+        # At most ``FOLDS`` rows for any suffix.
+        whole = Window.partitionBy(name)
+        of_others[name] = stored(
+            by_fold.select(name, "fold", *[(F.sum(c).over(whole) - F.col(c)).alias(c) for c in ("blocked", "seen")])
+        )
+    return SuffixStatistics(tables, of_others, ones / n if n else 0.5)
 
 
 def _value(splits: dict[int, Split], leaves: dict[int, float], node: int) -> Column:
@@ -236,8 +249,8 @@ def judge_urls(
     """Adds host, path, rule, verdict (``block`` or ``allow``) and score (the trees' chance of block).
 
     A rule fits its host and all subdomains if the path starts with the rule's; the longest
-    wins. The URLs that rules decide are the labels on which the trees are trained; URLs
-    without a rule get the trees' verdict, ``block`` from a chance of 0.5. Without labels of
+    wins. The URLs that rules decide are the labels on which the trees are trained, with suffix
+    statistics from the other folds of hosts; URLs without a rule get the trees' verdict, ``block`` from a chance of 0.5. Without labels of
     both kinds the share of blocked labels decides.
 
     NULL, empty or malformed URLs have empty host and path and are judged like others. Equal
@@ -249,16 +262,17 @@ def judge_urls(
     urls = pages.select(F.struct(*[F.col(c) for c in kept]).alias("row"), F.col(url).alias("url"))
     urls = lexical(urls, "url").withColumn("salt", salt(F.col("row"), SALTS))
     name, verdict = rule_columns(rules)
-    urls = urls.withColumns({"rule": name, "verdict": verdict})
+    fold = F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")
+    urls = urls.withColumns({"rule": name, "verdict": verdict, "fold": fold})
 
     bins = [c for c in FEATURES if not c.startswith(tuple(name for name, _ in SUFFIXES))]
-    labelled = urls.filter("rule IS NOT NULL").groupBy(*[name for name, _ in SUFFIXES], *bins)
+    labelled = urls.filter("rule IS NOT NULL").groupBy(*[name for name, _ in SUFFIXES], "fold", *bins)
     labelled = stored(
         labelled.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("verdict") == "block", 1)).alias("ones"))
     )
     statistics = suffix_statistics(labelled)
     examples = labelled.withColumn("salt", salt(F.struct(*bins), SALTS))
-    trees = train(statistics.add(examples), rounds=rounds, depth=depth, rate=rate)
+    trees = train(statistics.add(examples, others_only=True), rounds=rounds, depth=depth, rate=rate)
 
     judged = statistics.add(urls).withColumn("score", 1 / (1 + F.exp(-trees.margin())))
     decided = F.coalesce("verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))

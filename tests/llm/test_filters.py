@@ -101,6 +101,17 @@ def test_shares_follow_weights_also_for_high_rates(spark, monkeypatch, few):
     assert abs(counts["rare"] - 2000) < 200 and abs(counts["common"] - 2000) < 200
 
 
+def test_documents_without_an_id_are_drawn_by_their_texts(spark):
+    rows = [(i if i % 2 else None, "a", f"text {i}") for i in range(4000)] + [(None, "a", "text 0")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    mixed = poisson_mix.mix_sources(docs).collect()
+    for of in (lambda i: i is None, lambda i: i is not None):
+        own = [r for r in mixed if of(r.doc_id)]
+        assert 1800 < len(own) < 2200 and 1150 < len({r.text for r in own}) < 1380
+    copies = Counter((r.text, r.copy) for r in mixed)
+    assert all(n == (3 if text == "text 0" else 1) for (text, _), n in copies.items())
+
+
 def test_mix_of_hostile_documents(hostile, empty):
     mixed = poisson_mix.mix_sources(hostile)
     assert set(mixed.columns) == {*hostile.columns, "rate", "copy"}
@@ -169,6 +180,19 @@ def test_trees_learn_lexical_features_of_held_out_urls(spark):
     assert len(judged) == 400 and right > 380
 
 
+def test_suffix_statistics_leave_out_the_own_fold(spark):
+    rows = [("x.com", "com", 0, 5, 5), ("x.com", "com", 1, 3, 0), ("y.com", "com", 1, 2, 2)]
+    labelled = spark.createDataFrame(rows, "suffix string, top string, fold int, n long, ones long")
+    statistics = url_boost.suffix_statistics(labelled)
+    own = {(r.suffix, r.fold): (r.blocked, r.seen) for r in statistics.of_others["suffix"].collect()}
+    assert own == {("x.com", 0): (0, 3), ("x.com", 1): (5, 5), ("y.com", 1): (0, 0)}
+    assert {(r.top, r.fold): (r.blocked, r.seen) for r in statistics.of_others["top"].collect()} == {
+        ("com", 0): (2, 5),
+        ("com", 1): (5, 5),
+    }
+    assert {r.suffix: (r.blocked, r.seen) for r in statistics.tables["suffix"].collect()} == {"x.com": (5, 8), "y.com": (2, 2)}
+
+
 def test_urls_without_labels_or_rows(spark):
     pages = spark.createDataFrame([(1, "http://a.b/"), (2, None)], "page_id long, url string")
     assert {r.verdict for r in url_boost.judge_urls(pages, RULES).collect()} <= {"allow", "block"}
