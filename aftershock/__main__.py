@@ -26,7 +26,8 @@ def main(arguments: list[str] | None = None) -> None:
     span = {**day, "nargs": 2, "metavar": ("START", "END")}
     parser.add_argument("root", help="folder with one Parquet table per base table")
     parser.add_argument("--database", help="database of the marts; the current one by default")
-    parser.add_argument("--csv", help="folder for the report exports")
+    parser.add_argument("--csv", help="folder for the report exports, a file <name>.csv each")
+    parser.add_argument("--csv-parts", action="store_true", help="export folders of part files instead")
     parser.add_argument("--normalized", action="store_true", help="the tables were stored by save_star")
     parser.add_argument("--buckets", type=int, help="store orders, deliveries and ratings bucketed by order first")
     parser.add_argument("--crisis-start", **day, default=INCIDENT_PHASES.crisis_start)
@@ -58,7 +59,7 @@ def main(arguments: list[str] | None = None) -> None:
         print(f"{row.table_name}: {row.repeated_keys} values of {row.grain} occur more than once")
     reports = build_reports(star, phases, cohort, marts["linked_days"], save)
     if options.csv:
-        export_csv(exports_of(reports), options.csv)
+        export_csv(exports_of(reports), options.csv, single=not options.csv_parts)
 
 
 def quoted(name: str) -> str:

@@ -5,11 +5,13 @@ Every write overwrites, so a pipeline can be run again from the start.
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aftershock.sinks.files import FileSystem
 from aftershock.sources.star import SCHEMAS, Star
 
 
@@ -54,17 +56,31 @@ def drop_mart(spark: SparkSession, table: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
-def export_csv(frames: dict[str, DataFrame], directory: str) -> dict[str, str]:
-    """Write each frame to ``<directory>/<name>`` as CSV with a header; returns the paths.
+def export_csv(frames: dict[str, DataFrame], directory: str, single: bool = True) -> dict[str, str]:
+    """Write each frame as CSV with a header; returns the paths.
 
-    The executors write. The jobs run side by side, as the last stages of small reports
-    leave most of them idle.
+    Reports become one file ``<directory>/<name>.csv`` each, rows in the order of the frame: an
+    executor writes it into a folder of its own, from which it is renamed, so a reader finds the old
+    file or the whole new one. With ``single`` off, frames of any size become folders
+    ``<directory>/<name>`` of part files. The jobs run side by side, as the last stages of small
+    reports leave most executors idle.
     """
 
     def write(name: str) -> tuple[str, str]:
-        path = f"{directory}/{name}"
-        frames[name].write.mode("overwrite").option("header", True).csv(path)
-        return name, path
+        frame, path = frames[name], f"{directory.rstrip('/')}/{name}"
+        if not single:
+            frame.write.mode("overwrite").option("header", True).csv(path)
+            return name, path
+        files = FileSystem(frame.sparkSession)
+        folder = f"{path}-{uuid.uuid4().hex}"
+        try:
+            # The sorted partitions one after the other.
+            frame.coalesce(1).write.option("header", True).csv(folder)
+            (part,) = files.files(folder)
+            files.swap(part, f"{path}.csv")
+        finally:
+            files.delete(folder)
+        return name, f"{path}.csv"
 
     with ThreadPoolExecutor(max(1, len(frames))) as pool:
         return dict(pool.map(write, frames))

@@ -237,7 +237,7 @@ def test_command_builds_checks_and_exports(spark, tmp_path, capsys):
     assert "fact_orders" not in capsys.readouterr().out
     expected = entry.PLANS["q48_export_csv"](entry.Tables(tpch.read_star(spark, SMALL)))
     for name in ("weekly_df", "retention_df", "retention_rating_df", "city_revenue_df"):
-        path = f"{tmp_path}/csv/{name}"
+        path = f"{tmp_path}/csv/{name}.csv"
         header = spark.read.option("header", True).csv(path).columns
         read = spark.read.schema(expected.select(*header).schema).option("header", True).csv(path)
         assert spark_rows(read) == spark_rows(expected.filter(F.col("frame") == name).select(*header)), name
@@ -252,7 +252,7 @@ def test_command_derives_the_cohort_from_the_cuts_and_refuses_an_empty_one(spark
     assert (spec.cohort.start, spec.outcome.end) == (date(1997, 12, 1), date(1998, 5, 1))
     star = tpch.read_star(spark, SMALL)
     want = cohorts.cohort_ops_retention(dated(star.fact_orders, phases), star.fact_delivery_performance, spec)
-    read = spark.read.schema(want.schema).option("header", True).csv(f"{tmp_path}/csv/retention_df")
+    read = spark.read.schema(want.schema).option("header", True).csv(f"{tmp_path}/csv/retention_df.csv")
     assert spark_rows(read) == spark_rows(want) and read.count() > 0
     with pytest.raises(SystemExit):
         main([f"{tmp_path}/star", "--csv", f"{tmp_path}/none"])
@@ -343,6 +343,18 @@ def test_csv_export(spark, tmp_path):
     paths = export_csv({"frame": frame}, str(tmp_path))
     back = spark.read.option("header", True).schema("n int, s string").csv(paths["frame"])
     assert spark_rows(back) == spark_rows(frame)
+    parts = export_csv({"frame": frame.repartition(2)}, f"{tmp_path}/parts", single=False)
+    assert spark_rows(spark.read.option("header", True).schema("n int, s string").csv(parts["frame"])) == spark_rows(frame)
+
+
+def test_csv_export_gives_one_ordered_file_per_frame_and_replaces_it(spark, tmp_path):
+    numbers = spark.range(2000, numPartitions=7).withColumn("half", F.col("id") / 2)
+    for rows in (numbers.orderBy(F.desc("id")), numbers.filter("id < 3").orderBy("half"), numbers.limit(0)):
+        paths = export_csv({"numbers": rows, "other": numbers}, str(tmp_path))
+        lines = (tmp_path / "numbers.csv").read_text().splitlines()
+        assert lines == ["id,half", *(f"{r.id},{r.half}" for r in rows.collect())]
+    assert paths == {"numbers": f"{tmp_path}/numbers.csv", "other": f"{tmp_path}/other.csv"}
+    assert {p.name for p in tmp_path.iterdir() if not p.name.startswith(".")} == {"numbers.csv", "other.csv"}
 
 
 def test_bucketed_facts_join_without_shuffle(spark):
