@@ -21,7 +21,7 @@ from aftershock.functions.calendar import dated, phase_rank
 from aftershock.operators import calendar, quality
 from aftershock.operators.masks import activity_masks
 from aftershock.pipeline import report_frames
-from aftershock.plans import cities, cohorts, daily, masked, monthly, phases, restaurants, weekly
+from aftershock.plans import cities, cohorts, counted, daily, masked, monthly, phases, restaurants, weekly
 from aftershock.refresh import update_marts
 from aftershock.session import scratch
 from aftershock.sinks.versions import MartStore
@@ -73,6 +73,9 @@ class Tables:
     def restaurant_masks(self) -> DataFrame:
         return activity_masks(self.orders, "restaurant_id")
 
+    def days(self) -> counted.DayStore:
+        return counted.DayStore.of(self.orders, self.deliveries, self.ratings)
+
     def master(self) -> DataFrame:
         return monthly.monthly_master_summary(self.orders, self.deliveries, self.ratings, self.phases)
 
@@ -171,6 +174,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "q07_orders_with_date": lambda t: calendar.orders_with_date(t.star.fact_orders, t.phases),
     "q08_monthly_order": lambda t: monthly.monthly_order(monthly.order_base(t.orders)),
     "q09_monthly_active_customer": lambda t: monthly.monthly_active_customer(monthly.customer_base(t.orders)),
+    "q09_customers_of_bitmaps": lambda t: monthly.monthly_active_customer(counted.monthly_base(t.days())),
     "q10_delivery_performance_summary": lambda t: monthly.delivery_performance_summary(t.orders, t.deliveries),
     "q11_rating_summary": lambda t: rounded(monthly.rating_summary(t.orders, t.ratings), 10, "avg_sentiment"),
     "q12_restaurant_activity_summary": lambda t: monthly.restaurant_activity_summary(
@@ -180,6 +184,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "q14_monthly_ordered_active_customer": lambda t: monthly.monthly_ordered_active_customer(
         monthly.monthly_base(t.orders)
     ),
+    "q14_ordered_of_bitmaps": lambda t: monthly.monthly_ordered_active_customer(counted.monthly_base(t.days())),
     "q15_revenue_per_active_customer": lambda t: monthly.revenue_per_active_customer(
         monthly.monthly_base(t.orders)
     ),
@@ -220,8 +225,10 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "q28_daily_summary": lambda t: t.daily(),
     "q29_orders_per_active_customer_day": lambda t: daily.orders_per_active_customer_day(t.daily()).orderBy("phase"),
     "q30_phase_revenue_decomposition": lambda t: phases.phase_revenue_decomposition(t.orders).orderBy("phase"),
+    "q30_decomposition_of_bitmaps": lambda t: counted.phase_revenue_decomposition(t.days()).orderBy("phase"),
     "q31_phase_customer_overlap": lambda t: phases.phase_customer_overlap(t.orders, t.phases),
     "q32_weekly_kpis": lambda t: t.weekly().orderBy("week_start_date", "phase"),
+    "q32_weekly_of_bitmaps": lambda t: counted.weekly_kpis(t.days()).orderBy("week_start_date", "phase"),
     "q33_cohort_ops_retention": lambda t: t.ops_retention(),
     "q34_cohort_rating_retention": lambda t: t.rating_retention(),
     "q34_cohort_flag_retention": lambda t: t.rating_retention(group_by=cohorts.RATING_FLAGS),

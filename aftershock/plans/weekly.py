@@ -49,6 +49,11 @@ def weekly_from(weekly: DataFrame, links: DataFrame) -> DataFrame:
         .join(_distinct(weekly, "restaurant_id", "weekly_active_restaurant"), WEEK, "left")
         .join(links, WEEK, "left")
     )
+    return kpis_of(joined)
+
+
+def kpis_of(joined: DataFrame) -> DataFrame:
+    """The KPIs from a row per week and phase with the distinct counts and the sums of ``LINKED``."""
     # One row per phase of a week; measures of the other phases count for the whole week.
     week = Window.partitionBy("week_start_date")
     whole_week = joined.withColumns({c: F.sum(c).over(week) for c in LINKED})

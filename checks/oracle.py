@@ -608,6 +608,10 @@ REPORTS: dict[str, str] = {
 
 # Queries that give the rows of another one by other means.
 REPORTS |= {
+    "q09_customers_of_bitmaps": REPORTS["q09_monthly_active_customer"],
+    "q14_ordered_of_bitmaps": REPORTS["q14_monthly_ordered_active_customer"],
+    "q30_decomposition_of_bitmaps": REPORTS["q30_phase_revenue_decomposition"],
+    "q32_weekly_of_bitmaps": REPORTS["q32_weekly_kpis"],
     "q16_activity_of_masks": REPORTS["q16_monthly_customer_activity"],
     "q18_returning_of_masks": REPORTS["q18_returning_customer"],
     "q19_returning_rate_of_masks": REPORTS["q19_returning_customer_rate"],
