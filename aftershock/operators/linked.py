@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aftershock.functions.measures import count_when, is_kept, safe_ratio
+from aftershock.operators.dimension import fits_broadcast
 
 DELIVERY_SUMS = [
     "deliveries",
@@ -24,6 +25,8 @@ DELIVERY_SUMS = [
     "delay_n",
     "late_n",
 ]
+# Bytes on disk up to which the sums of satellites are broadcast: a row per order, some twenty times as large decoded.
+SMALL_SATELLITE = 4 * 1024 * 1024
 RATING_SUMS = [
     "rating_count",
     "rating_sum",
@@ -109,16 +112,27 @@ def _mean(measure: str) -> Column:
 
 def delivery_measures(orders: DataFrame, deliveries: DataFrame, keys: list[str]) -> DataFrame:
     """Delivery KPIs of the given orders by ``keys``; only periods with deliveries."""
-    joined = counted(orders, keys).join(delivery_sums(deliveries), "order_id")
+    joined = met(orders, keys, deliveries, delivery_sums(deliveries))
     return sum_up(joined, keys, DELIVERY_SUMS).select(*keys, *delivery_columns())
 
 
 def rating_measures(orders: DataFrame, ratings: DataFrame, keys: list[str]) -> DataFrame:
     """Rating KPIs of the given orders by ``keys``; only periods with ratings."""
-    joined = counted(orders, keys).join(rating_sums(ratings), "order_id")
+    joined = met(orders, keys, ratings, rating_sums(ratings))
     return sum_up(joined, keys, RATING_SUMS).select(*keys, *rating_columns())
 
 
+def met(orders: DataFrame, keys: list[str], satellites: DataFrame, sums: DataFrame) -> DataFrame:
+    """Orders, with how many ``orders`` a row stands for, and the sums of their satellites.
+
+    Where the satellites are read from few bytes, their sums are broadcast and the orders stay where
+    they are; else the orders collapse to a row per id and period before they move.
+    """
+    if fits_broadcast(satellites, SMALL_SATELLITE):
+        return orders.select("order_id", *keys, F.lit(1).alias("orders")).join(F.broadcast(sums), "order_id")
+    return counted(orders, keys).join(sums, "order_id")
+
+
 def counted(orders: DataFrame, columns: list[str]) -> DataFrame:
     """One row per order id and ``columns``, with the number of its ``orders``; none for unknown ids.
 
