@@ -9,13 +9,15 @@ import numpy as np
 # An odd multiplier, its inverse modulo 2**64 is derived from it.
 BASE = 0x9E3779B97F4A7C15
 MIX = 0xD6E8FEB86659FD93
-# Bytes handled at once; temporary arrays take about 30 times that.
-SLICE = 1 << 22
+# Bytes handled at once; temporary arrays take about 30 times that. A slice that ends with a long word may have
+# this many more; beyond that, words are hashed one by one.
+SLICE = 1 << 20
+LONGER = 1 << 16
 
 
 @lru_cache(maxsize=1)
 def _powers() -> tuple[np.ndarray, np.ndarray]:
-    size = SLICE * 2 + 2
+    size = SLICE + LONGER + 1
     inverse = pow(BASE, -1, 2**64)
     both = []
     for factor in (BASE, inverse):
@@ -34,11 +36,11 @@ def mixed(values: np.ndarray) -> np.ndarray:
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each span, the same wherever the bytes stand."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    if len(data) < SLICE * 2:
+    if len(data) <= SLICE + LONGER:
         forward, back = _powers()
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * forward[: len(data)], out=sums[1:])
         hashes = (sums[ends] - sums[starts]) * back[starts]
-    else:  # a single span longer than any slice can be: hashed in parts
+    else:  # a slice with a word longer than itself: hashed in parts
         hashes = np.array([_long_hash(data[a:b]) for a, b in zip(starts, ends)], np.uint64)
     return mixed(hashes + (ends - starts).astype(np.uint64) * np.uint64(BASE))
 

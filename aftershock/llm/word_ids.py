@@ -15,13 +15,16 @@ from aftershock.llm.byte_words import slices, span_hashes, spans, table
 from aftershock.llm.shared import text_buffer
 
 TOKENIZER = "word_bpe_49k.json"
-# Distinct words kept by a worker; beyond it starts afresh, which costs time only.
+# Distinct words kept by a worker; beyond it starts afresh, which costs time only. Their table has the places.
 MAX_WORDS = 600_000
+PLACES = 1 << 20
 SPACES = table(0x20, 0x0A)
 MARKS = table(*(c for c in range(0x21, 0x7F) if not chr(c).isalnum()))
 STOPS = table(*b".!?")
 ALNUM = table(*(c for c in range(0x80) if chr(c).isalnum()))
 LOWER = np.array([ord(chr(c).lower()) if c < 0x80 else c for c in range(256)], np.uint8)
+# a-z: bytes that neither normalisation nor byte mapping touches.
+PLAIN = table(*range(0x61, 0x7B))
 # Marks that are split off the end of a word.
 TAIL = 7
 # Words that neither normalisation nor byte mapping can touch but for the letters' bytes.
@@ -64,7 +67,7 @@ class WordIds:
         self._forget()
 
     def _forget(self) -> None:
-        self.words: dict[bytes, int] = {}
+        self.known = KnownWords()
         self.flat, self.starts, self.sizes = array("I"), array("q"), array("q")
         self._keep(())
 
@@ -74,33 +77,40 @@ class WordIds:
         self.flat.extend(ids)
         return len(self.starts) - 1
 
-    def _index(self, word: bytes) -> int:
-        index = self.words.get(word)
-        if index is None:
-            text = word.decode("utf-8", "replace")
-            if LETTERS.match(text):
-                ids = [t.id for t in self.tokenizer.model.tokenize(text.lower().translate(self.bytes_of))]
-            else:
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            index = self.words[word] = self._keep(ids)
-        return index
+    def _new(self, word: bytes, plain: bool) -> int:
+        if plain:
+            return self._keep([t.id for t in self.tokenizer.model.tokenize(word.decode("ascii"))])
+        text = word.decode("utf-8", "replace")
+        if LETTERS.match(text):
+            return self._keep([t.id for t in self.tokenizer.model.tokenize(text.lower().translate(self.bytes_of))])
+        return self._keep(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _distinct(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The word number of each span."""
         hashes = span_hashes(data, starts, ends)
-        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        same = first[which]
-        padded = np.concatenate([data, np.zeros(8, np.uint8)])
-        eight = np.ndarray((len(data) + 1,), "<u8", padded.tobytes(), strides=(1,))
+        hashes, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        eight = np.ndarray((len(data) + 1,), "<u8", raw + bytes(8), strides=(1,))
         sizes = ends - starts
         shorter = np.minimum(sizes, 8)
         mask = np.uint64(2**64 - 1) >> ((8 - shorter) * 8).astype(np.uint64)
-        head, tail = eight[starts] & mask, eight[ends - shorter] & mask
-        if (sizes != sizes[same]).any() or (head != head[same]).any() or (tail != tail[same]).any():
-            first, which = np.arange(len(starts)), np.arange(len(starts))
-        raw, index = data.tobytes(), self._index
-        numbers = [index(raw[a:b]) for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-        return np.array(numbers, np.int64)[which]
+        looks = np.stack([sizes.astype(np.uint64), eight[starts] & mask, eight[ends - shorter] & mask])
+        others = np.cumsum(np.append(False, ~PLAIN[data]))
+        plain = others[starts] == others[ends]
+        same = first[which]
+        if (looks != looks[:, same]).any():  # two words of one hash
+            each = zip(starts.tolist(), ends.tolist(), plain.tolist())
+            return np.array([self._new(raw[a:b], p) for a, b, p in each], np.int64)
+        numbers = self.known.find(hashes, looks[:, first])
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            spots = first[new]
+            each = zip(starts[spots].tolist(), ends[spots].tolist(), plain[spots].tolist())
+            made = [self._new(raw[a:b], p) for a, b, p in each]
+            fresh = numbers[new] == KnownWords.ABSENT
+            numbers[new] = made
+            self.known.add(hashes[new[fresh]], looks[:, spots[fresh]], numbers[new[fresh]])
+        return numbers[which]
 
     def _runs(self, data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Two word numbers per word (itself and its closing marks), the words' ends, and whether a sentence ends."""
@@ -150,7 +160,7 @@ class WordIds:
         all_ids, all_stops, before = [], [], 0
         text_limits = np.zeros(len(limits), np.int64)
         for a, b in slices(data, limits, SPACES):
-            if len(self.words) > MAX_WORDS:
+            if self.known.size > MAX_WORDS:
                 self._forget()
             low, high = np.searchsorted(limits, [a, b], side="right")
             inner = limits[low:high] - a
@@ -177,6 +187,64 @@ class WordIds:
         return np.concatenate([np.zeros(0, np.uint32), *ids]), limits, np.zeros(0, np.int64)
 
 
+class KnownWords:
+    """Numbers of words by their hashes, in a table with open addressing that is searched for many at once.
+
+    A word is known again by its hash, its size and its first and last eight bytes (``looks``).
+    """
+
+    ABSENT, OTHER = -1, -2  # not there; another word of the same hash is
+
+    def __init__(self):
+        self.size = 0
+        self.places = PLACES
+        self.hashes = np.zeros(self.places, np.uint64)  # 0: free
+        self.looks = np.zeros((3, self.places), np.uint64)
+        self.numbers = np.zeros(self.places, np.int64)
+
+    def find(self, hashes: np.ndarray, looks: np.ndarray) -> np.ndarray:
+        found = np.full(len(hashes), self.ABSENT, np.int64)
+        open_ = np.arange(len(hashes))
+        place = self._first(hashes)
+        while len(open_):
+            there = self.hashes[place]
+            hit = there == hashes[open_]
+            at, of = place[hit], open_[hit]
+            alike = (self.looks[:, at] == looks[:, of]).all(0)
+            found[of] = np.where(alike, self.numbers[at], self.OTHER)
+            further = ~hit & (there != 0)
+            open_, place = open_[further], (place[further] + 1) % self.places
+        return found
+
+    def add(self, hashes: np.ndarray, looks: np.ndarray, numbers: np.ndarray) -> None:
+        """Words that :meth:`find` did not find, each once."""
+        if 4 * (self.size + len(hashes)) > 3 * self.places:
+            self._grow(self.size + len(hashes))
+        self.size += len(hashes)
+        open_, place = np.arange(len(hashes)), self._first(hashes)
+        while len(open_):
+            free = np.flatnonzero(self.hashes[place] == 0)
+            # Of words that ask for the same place the first takes it.
+            spots, first = np.unique(place[free], return_index=True)
+            of = open_[free[first]]
+            self.hashes[spots], self.looks[:, spots], self.numbers[spots] = hashes[of], looks[:, of], numbers[of]
+            left = np.ones(len(open_), bool)
+            left[free[first]] = False
+            open_, place = open_[left], (place[left] + 1) % self.places
+
+    def _first(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes % np.uint64(self.places)).astype(np.int64)
+
+    def _grow(self, wanted: int) -> None:
+        """Only a slice with very many new words makes the table larger than planned."""
+        used = np.flatnonzero(self.hashes)
+        held = self.hashes[used], self.looks[:, used], self.numbers[used]
+        self.places = 1 << (2 * wanted).bit_length()
+        self.hashes, self.looks, self.numbers = np.zeros(self.places, np.uint64), np.zeros((3, self.places), np.uint64), np.zeros(self.places, np.int64)
+        self.size = 0
+        self.add(*held)
+
+
 def _drops_space(made: dict) -> bool:
     """Whether white space only separates words: normalised alike on both sides, then dropped."""
     normal = (made.get("normalizer") or {}).get("normalizers", [])
