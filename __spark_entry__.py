@@ -7,6 +7,7 @@ import shutil
 import sys
 import tempfile
 from collections.abc import Callable
+from datetime import date
 from functools import cached_property, reduce
 from pathlib import Path
 
@@ -28,6 +29,7 @@ from aftershock.sinks.versions import MartStore
 from aftershock.sinks.write import export_csv
 from aftershock.sources.star import AMOUNTS, Star
 from aftershock.sources.tpch import COHORT, PHASES, read_star
+from aftershock.specs import PhaseSpec
 from checks import oracle
 
 try:
@@ -36,6 +38,8 @@ try:
 except ImportError:  # the subpackage and the pipeline can be left out
     corpus_pipeline = llm = None
 
+# Phases of a calendar somebody has edited.
+MOVED = PhaseSpec(date(1996, 1, 1), date(1997, 7, 1))
 ENTRY_DATA = "/root/testdata/sf0.001"
 
 
@@ -67,6 +71,12 @@ class Tables:
     def items(self) -> DataFrame:
         return self.star.fact_order_items
 
+    @cached_property
+    def orders_by_calendar(self) -> DataFrame:
+        """Orders joined to a stored calendar whose phases have been moved."""
+        stored = calendar.build_dim_date(self.star.fact_orders, MOVED).checkpoint()
+        return calendar.dated_by(self.star.fact_orders, stored)
+
     def customer_masks(self) -> DataFrame:
         return activity_masks(self.orders, "customer_id")
 
@@ -173,6 +183,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "q06_ratings_by_sentiment": lambda t: quality.ratings_by_sentiment(t.ratings, 0.7),
     "q07_orders_with_date": lambda t: calendar.orders_with_date(t.star.fact_orders, t.phases),
     "q08_monthly_order": lambda t: monthly.monthly_order(monthly.order_base(t.orders)),
+    "q08_on_given_calendar": lambda t: monthly.monthly_order(monthly.order_base(t.orders_by_calendar)),
     "q09_monthly_active_customer": lambda t: monthly.monthly_active_customer(monthly.customer_base(t.orders)),
     "q09_customers_of_bitmaps": lambda t: monthly.monthly_active_customer(counted.monthly_base(t.days())),
     "q10_delivery_performance_summary": lambda t: monthly.delivery_performance_summary(t.orders, t.deliveries),
@@ -229,6 +240,9 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "q31_phase_customer_overlap": lambda t: phases.phase_customer_overlap(t.orders, t.phases),
     "q32_weekly_kpis": lambda t: t.weekly().orderBy("week_start_date", "phase"),
     "q32_weekly_of_bitmaps": lambda t: counted.weekly_kpis(t.days()).orderBy("week_start_date", "phase"),
+    "q32_on_given_calendar": lambda t: weekly.weekly_kpis(t.orders_by_calendar, t.deliveries, t.ratings).orderBy(
+        "week_start_date", "phase"
+    ),
     "q33_cohort_ops_retention": lambda t: t.ops_retention(),
     "q34_cohort_rating_retention": lambda t: t.rating_retention(),
     "q34_cohort_flag_retention": lambda t: t.rating_retention(group_by=cohorts.RATING_FLAGS),
@@ -290,6 +304,8 @@ def set_local_folder(spark: SparkSession) -> None:
 
 def oracle_sql() -> dict[str, str]:
     statements = oracle.statements(PHASES, COHORT)
+    moved = oracle.statements(MOVED, COHORT)
+    statements |= {"q08_on_given_calendar": moved["q08_monthly_order"], "q32_on_given_calendar": moved["q32_weekly_kpis"]}
     if llm is not None:
         statements |= llm.ORACLE_SQL
         if corpus_pipeline.ORACLE_SQL is not None:
