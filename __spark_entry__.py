@@ -27,6 +27,7 @@ from aftershock.refresh import update_marts
 from aftershock.session import scratch
 from aftershock.sinks.versions import MartStore
 from aftershock.sinks.write import export_csv
+from aftershock.sources.evolution import EvolvingTable
 from aftershock.sources.star import AMOUNTS, Star
 from aftershock.sources.tpch import COHORT, PHASES, read_star
 from aftershock.specs import PhaseSpec
@@ -135,6 +136,21 @@ def export_and_read(t: Tables) -> DataFrame:
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), held).checkpoint()
 
 
+def amounts_of_changed_type(t: Tables) -> DataFrame:
+    """The amounts of a stored table whose older half was written as doubles, before their type changed."""
+    amounts = t.star.fact_orders.select("order_id", *AMOUNTS)
+    spark = amounts.sparkSession
+    older = F.pmod(F.xxhash64("order_id"), F.lit(2)) == 0
+    doubles = amounts.filter(older).withColumns({c: F.col(c).cast("double") for c in AMOUNTS})
+    with scratch(spark, "types") as folder:
+        table = EvolvingTable(spark, folder)
+        table.begin(doubles.schema)
+        table.append(doubles)
+        table.alter(**dict.fromkeys(AMOUNTS, "decimal(18,4)"))
+        table.append(amounts.filter(~older))
+        return table.read().checkpoint()
+
+
 def refreshed_master(t: Tables) -> DataFrame:
     """The master from stored marts that were built without the last and the middle day and then brought up to date.
 
@@ -178,6 +194,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "q01_null_key_audit": lambda t: quality.null_key_audit(t.star),
     "q02_clean_ratings": lambda t: quality.clean_ratings(t.ratings),
     "q03_normalize_amounts": lambda t: t.star.fact_orders.select("order_id", *AMOUNTS),
+    "q03_amounts_of_changed_type": amounts_of_changed_type,
     "q04_build_dim_date": lambda t: calendar.build_dim_date(t.star.fact_orders, t.phases),
     "q05_scan_restaurants": lambda t: t.restaurants,
     "q06_ratings_by_sentiment": lambda t: quality.ratings_by_sentiment(t.ratings, 0.7),

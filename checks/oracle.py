@@ -608,6 +608,7 @@ REPORTS: dict[str, str] = {
 
 # Queries that give the rows of another one by other means.
 REPORTS |= {
+    "q03_amounts_of_changed_type": REPORTS["q03_normalize_amounts"],
     "q09_customers_of_bitmaps": REPORTS["q09_monthly_active_customer"],
     "q14_ordered_of_bitmaps": REPORTS["q14_monthly_ordered_active_customer"],
     "q30_decomposition_of_bitmaps": REPORTS["q30_phase_revenue_decomposition"],
