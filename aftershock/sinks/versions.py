@@ -24,6 +24,8 @@ from aftershock.sinks.files import FileSystem
 
 PERIOD = "stored_period"
 WHOLE = "all"
+# Folders that the driver lists by itself.
+LISTING, LISTED = "spark.sql.sources.parallelPartitionDiscovery.threshold", 2000
 # Marts written side by side; the last stages of small ones leave most executors idle.
 WRITERS = 6
 
@@ -79,7 +81,13 @@ def read_parts(spark: SparkSession, mart: dict, periods: Collection[str] | None
     folders = [f for period, f in sorted(mart["folders"].items()) if periods is None or period in periods]
     if not folders:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*folders)
+    # Listing a folder per period takes the driver less time than the job Spark would start for it.
+    before = spark.conf.get(LISTING)
+    spark.conf.set(LISTING, str(max(int(before), LISTED)))
+    try:
+        return spark.read.schema(schema).parquet(*folders)
+    finally:
+        spark.conf.set(LISTING, before)
 
 
 class Build:
@@ -96,11 +104,11 @@ class Build:
         """A mart as this build will leave it."""
         return read_parts(self.store.spark, self.marts[name], periods)
 
-    def replace(self, name: str, frame: DataFrame) -> DataFrame:
+    def replace(self, name: str, frame: DataFrame) -> None:
         """Give the whole mart new content."""
-        return self._write(name, frame.withColumn(PERIOD, F.lit(WHOLE)), None)
+        self._write(name, frame.withColumn(PERIOD, F.lit(WHOLE)), None)
 
-    def refresh(self, name: str, frame: DataFrame, period: Column, periods: Collection[str] | None) -> DataFrame:
+    def refresh(self, name: str, frame: DataFrame, period: Column, periods: Collection[str] | None) -> None:
         """Give the ``periods`` of a mart new content (all of it, if None); rows of other periods are left out.
 
         ``period`` is the text of a row's period. A period without rows loses its folder.
@@ -108,7 +116,7 @@ class Build:
         frame = frame.withColumn(PERIOD, period)
         if periods is not None:
             frame = frame.filter(F.col(PERIOD).isin(*sorted(periods)) if periods else F.lit(False))
-        return self._write(name, frame, periods)
+        self._write(name, frame, periods)
 
     def refresh_all(self, marts: dict[str, tuple[DataFrame, Column, Collection[str] | None]]) -> None:
         """:meth:`refresh` for several marts, side by side."""
@@ -116,7 +124,7 @@ class Build:
             for done in [pool.submit(partial(self.refresh, name, *mart)) for name, mart in marts.items()]:
                 done.result()
 
-    def _write(self, name: str, frame: DataFrame, periods: Collection[str] | None) -> DataFrame:
+    def _write(self, name: str, frame: DataFrame, periods: Collection[str] | None) -> None:
         folder = f"{self.store.root}/{name}/{self.id}-{uuid.uuid4().hex[:8]}"
         # Rows of a period come together in few files; AQE splits a period that is too large for one.
         frame.hint("rebalance", PERIOD).write.partitionBy(PERIOD).parquet(folder)
@@ -125,7 +133,6 @@ class Build:
         kept = {} if periods is None else {p: f for p, f in old.items() if p not in periods}
         schema = T.StructType([f for f in frame.schema.fields if f.name != PERIOD])
         self.marts[name] = {"schema": json.loads(schema.json()), "folders": kept | written}
-        return self.read(name)
 
     def publish(self) -> None:
         """Make the build what readers see. Refused if another build was published since this one began."""

@@ -26,7 +26,7 @@ def plan(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-LAZY = [n for n in entry.PLANS if n not in ("q48_export_csv", "q37_restaurant_tier_by_phase", "q26_refreshed_master", "q03_amounts_of_changed_type")]
+LAZY = [n for n in entry.PLANS if n not in ("q48_export_csv", "q37_restaurant_tier_by_phase", "q03_amounts_of_changed_type")]
 
 
 @pytest.mark.parametrize("name", LAZY)
