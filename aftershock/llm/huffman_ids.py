@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from aftershock.llm.shared import stored
+from aftershock.llm.shared import small_batches, stored
 from aftershock.llm.word_ids import word_ids
 
 END_ID = 2
@@ -140,6 +140,7 @@ def write_ids(
     What comes to the driver has at most a row per id of the vocabulary.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     vocabulary = max(word_ids(tokenizer).tokenizer.get_vocab_size(), end_id + 1)
     kind = "<u2" if vocabulary <= 2**16 else "<u4"
 

@@ -12,6 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from aftershock.llm.shared import small_batches
 from aftershock.llm.word_ids import tokenizer_path, word_ids
 
 WINDOW = 2048
@@ -170,6 +171,8 @@ def pack(
     same id are documents of their own. No row gives no row. Other columns are ignored.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer)
         packer = Packer(window, TaskContext.get().partitionId() * SEQUENCES)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aftershock.llm.shared import stored
+from aftershock.llm.shared import small_batches, stored
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -121,6 +121,7 @@ def count_tokens(
     of their own. Copies of a long text are encoded once. No row gives no row; other columns
     are ignored.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(
         F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
     )

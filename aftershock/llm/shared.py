@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ from aftershock.session import scratch as scratch
 from aftershock.session import shared_dir
 
 LOCAL_EDGES = 2_000_000
+# Edges that one task finishes; more are contracted in rounds of joins first.
+FINISHED = 400_000
 MAX_ROUNDS = 60
 
 
@@ -23,6 +26,22 @@ def stored(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+# Bytes of texts that come to a Python worker at once.
+BATCH = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send texts to Python in batches of a few MB; it counts rows alone up to 64 MB.
+
+    A worker holds a batch several times over, so this bounds its memory however long the texts
+    are. A smaller setting stays.
+    """
+    now = int(re.match(r"-?\d+", spark.conf.get(BATCH_SETTING, str(64 << 20))).group())
+    if not 0 < now <= BATCH:
+        spark.conf.set(BATCH_SETTING, str(BATCH))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps that have been stored.
 
@@ -54,13 +73,19 @@ def components(edges: DataFrame) -> DataFrame:
     of a partition by a spanning forest of them (union-find over at most ``LOCAL_EDGES`` edges
     at a time), points every id to its smallest neighbour, follows those pointers to their
     roots and contracts the edges to the roots. A hub with many edges costs no task more than
-    its share: forests shrink it before each shuffle, and minima combine on the map side.
+    its share: forests shrink it before each shuffle, and minima combine on the map side. What
+    is left when at most ``FINISHED`` edges are is finished in one task.
     """
     edges = _forest(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
     edges = stored(edges.filter("u <> v").distinct())
     labels: DataFrame | None = None
     for _ in range(MAX_ROUNDS):
-        if edges.isEmpty():
+        left = edges.count()
+        if not left:
+            break
+        if left <= FINISHED:
+            ends = edges.repartition(1).mapInArrow(_local_labels, "id long, root long")
+            labels = stored(ends if labels is None else _follow(labels, stored(ends)))
             break
         both = edges.select(F.col("u").alias("id"), F.col("v").alias("near")).unionByName(
             edges.select(F.col("v").alias("id"), F.col("u").alias("near"))
@@ -110,6 +135,14 @@ def _forest(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(_local_forest, "u long, v long")
 
 
+def _local_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forest = pa.Table.from_batches(_local_forest(batches), pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+    roots = forest.column("u").unique()
+    ids = pa.concat_arrays([forest.column("v").combine_chunks(), roots])
+    ends = pa.concat_arrays([forest.column("u").combine_chunks(), roots])
+    yield pa.RecordBatch.from_arrays([ids, ends], ["id", "root"])
+
+
 def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parent: dict[int, int] = {}
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aftershock.llm.byte_words import slices, span_hashes, spans, table
-from aftershock.llm.shared import stored, text_buffer
+from aftershock.llm.shared import small_batches, stored, text_buffer
 
 # Features are numbers of this many bits.
 BITS = 20
@@ -117,6 +117,7 @@ def train(
     confirmed documents hold them. All work but the last fit, over at most that many rows of at most ``KEPT``
     features, is distributed. Without any confirmed document nothing is toxic.
     """
+    small_batches(docs.sparkSession)
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull())
     known = known.groupBy(F.col(key).alias("id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     ids = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("id")).distinct()
@@ -192,6 +193,7 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score") -> DataFrame:
     """Adds the chance of being toxic (0 to 1). A NULL or empty text gets that of a text without any
     known feature; every row is scored on its own; a column called ``to`` is replaced."""
+    small_batches(docs.sparkSession)
     docs = docs.drop(to)
     place = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField(to, T.DoubleType())])
