@@ -9,12 +9,13 @@ from math import lgamma
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aftershock.llm.byte_words import BASE, LOWER_ASCII, WHITE, mixed, word_hashes
-from aftershock.llm.shared import release, scratch, stored, text_buffer
+from aftershock.llm.shared import release, scratch, small_batches, stored, text_buffer
 
 # Rows of a file that ask for their words together, and training and held-out tokens per bucket of words.
 BLOCK_ROWS = 1024
@@ -165,95 +166,95 @@ def seat(customers: np.ndarray, opening: np.ndarray, discount: float, rng: np.ra
 
 
 @dataclass(frozen=True)
-class Restaurants:
-    """What a bucket has to know: customers and tables of its contexts and of their common parent."""
+class Parent:
+    """Totals of the restaurant that all contexts share, of one seating, and what follows from the counts."""
 
-    customers: np.ndarray  # by place of the context in the bucket
-    tables: np.ndarray
-    root_customers: int
-    root_tables: int
+    customers: int
+    tables: int
     discounts: tuple[float, float]  # contexts, parent
     words: int  # distinct training words
 
     def base(self) -> float:
         return 1.0 / (self.words + 1)
 
-    def root(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        """Chance of words in the parent restaurant."""
-        fresh = (STRENGTH + self.discounts[1] * self.root_tables) * self.base()
-        return (customers - self.discounts[1] * tables + fresh) / (STRENGTH + self.root_customers)
+    def fresh(self) -> float:
+        """Weight of opening a further table for a word."""
+        return (STRENGTH + self.discounts[1] * self.tables) * self.base()
+
+    def chance(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """Chance of words with these customers and tables; adds up to 1 over all words and one unknown word."""
+        return (customers - self.discounts[1] * tables + self.fresh()) / (STRENGTH + self.customers)
+
 
-    def chance(self, context: np.ndarray, customers: np.ndarray, tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        fresh = (STRENGTH + self.discounts[0] * self.tables[context]) * parent
-        return (customers - self.discounts[0] * tables + fresh) / (STRENGTH + self.customers[context])
+def chance_in(discount: float, count, tables, all_count, all_tables, parent):
+    """Chance of words in a context of which ``count`` and ``tables`` are theirs; adds up to 1 if ``parent`` does."""
+    return (count - discount * tables + (STRENGTH + discount * all_tables) * parent) / (STRENGTH + all_count)
 
 
 @dataclass
 class Bucket:
-    """The words of a bucket with all their contexts; cells are sorted by word and context."""
+    """Contexts with all the words that follow them in training; cells are sorted by context and word."""
 
-    words: np.ndarray  # hashes, sorted
-    word: np.ndarray  # of each cell, an index into words
-    context: np.ndarray  # a hash in payloads, else a place among the bucket's contexts
+    contexts: np.ndarray  # hashes, sorted
+    context: np.ndarray  # of each cell, an index into contexts
+    word: np.ndarray  # a hash in payloads, else a place among the bucket's words
     count: np.ndarray
 
     @classmethod
     def of(cls, payloads: list[bytes]) -> Bucket:
         """Training counts of all blocks added up."""
         parts = [Asked.read(p) for p in payloads]
-        words = np.concatenate([np.repeat(p.words, p.entries) for p in parts])
-        context = np.concatenate([p.context for p in parts])
+        contexts = np.concatenate([np.repeat(p.contexts, p.entries) for p in parts])
+        word = np.concatenate([p.word for p in parts])
         count = np.concatenate([p.count for p in parts]).astype(np.int64)
         held = count > 0
-        words, context, count = words[held], context[held], count[held]
-        order = np.lexsort((context, words))
-        words, context, count = words[order], context[order], count[order]
-        first = np.flatnonzero(np.append(True, (words[1:] != words[:-1]) | (context[1:] != context[:-1]))[: len(words)])
+        contexts, word, count = contexts[held], word[held], count[held]
+        order = np.lexsort((word, contexts))
+        contexts, word, count = contexts[order], word[order], count[order]
+        first = np.flatnonzero(np.append(True, (contexts[1:] != contexts[:-1]) | (word[1:] != word[:-1]))[: len(word)])
         count = np.add.reduceat(count, first) if len(first) else count
-        distinct, word = np.unique(words[first], return_inverse=True)
-        return cls(distinct, word, context[first], count)
+        distinct, context = np.unique(contexts[first], return_inverse=True)
+        return cls(distinct, context, word[first], count)
 
     def pack(self) -> bytes:
-        sizes = np.bincount(self.word, minlength=len(self.words))
-        return Asked(self.words, sizes, self.context, self.count).pack()
+        sizes = np.bincount(self.context, minlength=len(self.contexts))
+        return Asked(self.contexts, sizes, self.word, self.count).pack()
 
     @classmethod
-    def read(cls, raw: bytes, contexts: np.ndarray) -> Bucket:
+    def read(cls, raw: bytes, words: np.ndarray) -> Bucket:
         asked = Asked.read(raw)
-        word = np.repeat(np.arange(len(asked.words)), asked.entries)
-        return cls(asked.words, word, np.searchsorted(contexts, asked.context), asked.count.astype(np.int64))
+        context = np.repeat(np.arange(len(asked.contexts)), asked.entries)
+        return cls(asked.contexts, context, np.searchsorted(words, asked.word), asked.count.astype(np.int64))
 
-    def sweeps(self, shared: Restaurants, seed: list[int], sweeps: int) -> Iterator[tuple]:
-        """After each sweep: tables of the cells, customers and tables of the words in the parent."""
+    def totals(self, of_cells: np.ndarray) -> np.ndarray:
+        """Sums by context, and a 0 for a context that is unknown."""
+        return np.bincount(self.context, weights=of_cells, minlength=len(self.contexts) + 1).astype(np.int64)
+
+    def sweeps(self, parent: np.ndarray, discount: float, seed: list[int], sweeps: int) -> Iterator[np.ndarray]:
+        """Tables of the cells after each sweep, given the parent's chances of the bucket's words."""
         rng = np.random.default_rng(seed)
         tables = np.minimum(self.count, 1)
-        root_tables = np.ones(len(self.words), np.int64)
         for _ in range(sweeps):
-            customers = np.bincount(self.word, weights=tables, minlength=len(self.words)).astype(np.int64)
-            parent = shared.root(customers, root_tables)
-            fresh = STRENGTH + shared.discounts[0] * np.maximum(shared.tables[self.context] - tables, 0)
-            tables = seat(self.count, fresh * parent[self.word], shared.discounts[0], rng)
-            customers = np.bincount(self.word, weights=tables, minlength=len(self.words)).astype(np.int64)
-            fresh = (STRENGTH + shared.discounts[1] * shared.root_tables) * shared.base()
-            root_tables = seat(customers, np.full(len(customers), fresh), shared.discounts[1], rng)
-            yield tables, customers, root_tables
+            others = self.totals(tables)[self.context] - tables
+            tables = seat(self.count, (STRENGTH + discount * others) * parent[self.word], discount, rng)
+            yield tables
 
 
 @dataclass
 class Asked:
-    """Words with their contexts: entries per word, and each entry's context and training count."""
+    """Contexts with words after them: entries per context, and each entry's word and training count."""
 
-    words: np.ndarray
+    contexts: np.ndarray
     entries: np.ndarray
-    context: np.ndarray
+    word: np.ndarray
     count: np.ndarray
 
     def pack(self) -> bytes:
-        contexts, place = np.unique(self.context.astype("<u8"), return_inverse=True)
-        place = place.astype("<u2" if len(contexts) <= 1 << 16 else "<u4")
+        words, place = np.unique(self.word.astype("<u8"), return_inverse=True)
+        place = place.astype("<u2" if len(words) <= 1 << 16 else "<u4")
         count = self.count.astype("<u4") if self.count.max(initial=0) < 2**32 else self.count.astype("<u8")
-        arrays = (self.words.astype("<u8"), self.entries.astype("<u4"), contexts, place, count)
-        head = np.array([len(self.words), len(contexts), len(place), place.itemsize, count.itemsize], "<u8").tobytes()
+        arrays = (self.contexts.astype("<u8"), self.entries.astype("<u4"), words, place, count)
+        head = np.array([len(self.contexts), len(words), len(place), place.itemsize, count.itemsize], "<u8").tobytes()
         raw = b"".join(a.tobytes() for a in arrays)
         return head + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
@@ -265,8 +266,8 @@ class Asked:
         for kind, items in (("<u8", n), ("<u4", n), ("<u8", k), (f"<u{narrow}", m), (f"<u{width}", m)):
             out.append(np.frombuffer(raw, kind, items, at))
             at += items * np.dtype(kind).itemsize
-        words, entries, contexts, place, count = out
-        return cls(words, entries, contexts[place], count)
+        contexts, entries, words, place, count = out
+        return cls(contexts, entries, words[place], count)
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -284,14 +285,14 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def entries_of(words: np.ndarray, context: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (bucket, word, context), sorted, and the entry of each token."""
+    """Distinct (bucket, context, word), sorted, and the entry of each token."""
     keys = mixed(words + mixed(context) * np.uint64(BASE))
     _, first, which = np.unique(keys, return_index=True, return_inverse=True)
-    bucket = ((words[first] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((context[first], words[first], bucket))
+    bucket = ((mixed(context[first]) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((words[first], context[first], bucket))
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    return bucket[order], words[first][order], context[first][order], rank[which]
+    return bucket[order], context[first][order], words[first][order], rank[which]
 
 
 def _sizes(docs: DataFrame) -> tuple[int, int]:
@@ -311,7 +312,7 @@ def _sizes(docs: DataFrame) -> tuple[int, int]:
 
 
 def _requests(docs: DataFrame, buckets: int) -> DataFrame:
-    """For every part of a block and every bucket: the words and contexts that occur, with training counts."""
+    """For every part of a block and every bucket: the contexts and the words after them, with training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -320,14 +321,14 @@ def _requests(docs: DataFrame, buckets: int) -> DataFrame:
             rows = pa.Table.from_batches(held).combine_chunks()
             learn = rows.column("learn").combine_chunks().to_numpy(zero_copy_only=False)
             words, limits, context = tokens(rows.column("text").combine_chunks())
-            bucket, words, context, which = entries_of(words, context, buckets)
+            bucket, context, words, which = entries_of(words, context, buckets)
             counts = np.bincount(which[np.repeat(learn, np.diff(limits))], minlength=len(words))
             numbers = np.unique(bucket)
             edges = np.searchsorted(bucket, np.append(numbers, buckets))
             payloads = []
             for a, b in zip(edges[:-1], edges[1:]):
-                distinct, sizes = np.unique(words[a:b], return_counts=True)
-                payloads.append(Asked(distinct, sizes, context[a:b], counts[a:b]).pack())
+                distinct, sizes = np.unique(context[a:b], return_counts=True)
+                payloads.append(Asked(distinct, sizes, words[a:b], counts[a:b]).pack())
             block, part = rows.column("block")[0].as_py(), rows.column("row")[0].as_py()
             n = len(numbers)
             columns = [pa.array(numbers, pa.int32()), pa.array([block] * n, pa.int64()), pa.array([part] * n, pa.int64())]
@@ -350,14 +351,14 @@ def _requests(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _collected(asked: pa.Table) -> pa.Table:
-    """One row per bucket: its training counts, the contexts that occur, and all requests to be answered."""
+    """One row per bucket: its training counts, the words that occur, and all requests to be answered."""
     payloads = asked.column("asked").to_pylist()
-    contexts = np.unique(np.concatenate([np.unique(Asked.read(payload).context) for payload in payloads]))
+    words = np.unique(np.concatenate([np.unique(Asked.read(payload).word) for payload in payloads]))
     return pa.table(
         {
             "bucket": asked.column("bucket").slice(0, 1),
             "cells": pa.array([Bucket.of(payloads).pack()], pa.binary()),
-            "contexts": pa.array([contexts.astype("<u8").tobytes()], pa.binary()),
+            "words": pa.array([words.astype("<u8").tobytes()], pa.binary()),
             "blocks": pa.array([asked.column("block").to_pylist()], pa.list_(pa.int64())),
             "parts": pa.array([asked.column("part").to_pylist()], pa.list_(pa.int64())),
             "asked": pa.array([payloads], pa.list_(pa.binary())),
@@ -365,116 +366,126 @@ def _collected(asked: pa.Table) -> pa.Table:
     )
 
 
-STATISTICS = "context long, customers long, tables long, ones long, twos long"
-TOTALS = "bucket int, context long, customers long, tables long"
+STATISTICS = "word long, count long, customers long, ones long, twos long"
+TOTALS = "word long, count long, customers long, tables long"
 
 
-def _statistics(contexts: pa.Array, context: np.ndarray, customers: np.ndarray, tables: np.ndarray) -> pa.Table:
-    columns = [customers, tables, customers == 1, customers == 2]
-    used = np.unique(context)
-    sums = [np.bincount(context, weights=c)[used].astype(np.int64) for c in columns] if len(used) else [used] * 4
-    return pa.Table.from_arrays([contexts.take(pa.array(used)), *(pa.array(x, pa.int64()) for x in sums)], [c.split()[0] for c in STATISTICS.split(", ")])
+def _statistics(words: np.ndarray, bucket: Bucket, tables: np.ndarray) -> pa.Table:
+    """Counts and tables by word, and a row without a word for the cells with one and with two customers."""
+    used = np.unique(bucket.word)
+    sums = [np.bincount(bucket.word, weights=c)[used].astype(np.int64) if len(used) else used for c in (bucket.count, tables)]
+    none = np.zeros(len(used), np.int64)
+    cells = [int((bucket.count == n).sum()) for n in (1, 2)]
+    columns = [
+        pa.array([*words.view("<i8")[used].tolist(), None], pa.int64()),
+        *(pa.array(np.append(x, y)) for x, y in zip((*sums, none, none), (0, 0, *cells))),
+    ]
+    return pa.Table.from_arrays(columns, [c.split()[0] for c in STATISTICS.split(", ")])
 
 
-def _context_totals(buckets: DataFrame, totals: DataFrame) -> DataFrame:
-    """For each bucket a row per context that occurs in it, with the context's totals, 0 for unknown ones."""
+def _word_totals(buckets: DataFrame, totals: DataFrame) -> DataFrame:
+    """For each bucket a row per word that occurs in it, with the word's totals, 0 for unknown ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                contexts = np.frombuffer(raw, "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(contexts), number), pa.int32()), pa.array(contexts)], ["bucket", "context"])
+                words = np.frombuffer(raw, "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), number), pa.int32()), pa.array(words)], ["bucket", "word"])
 
-    held = buckets.select("bucket", "contexts").mapInArrow(run, "bucket int, context long")
+    held = buckets.select("bucket", "words").mapInArrow(run, "bucket int, word long")
     none = F.lit(0).cast("long")
-    return held.join(totals, "context", "left").select("bucket", "context", *(F.coalesce(c, none).alias(c) for c in ("customers", "tables")))
+    counts = [F.coalesce(c, none).alias(c) for c in ("count", "customers", "tables")]
+    return held.join(totals, "word", "left").select("bucket", "word", *counts)
 
 
-@dataclass(frozen=True)
-class Parent:
-    """Totals of the common parent, and what follows from the counts."""
-
-    customers: int
-    tables: int
-    discounts: tuple[float, float]
-    words: int
-
-    def restaurants(self, contexts: np.ndarray, given: pa.Table) -> Restaurants:
-        """With the totals of a bucket's contexts."""
-        place = np.searchsorted(contexts, given.column("context").to_numpy().view(np.uint64))
-        customers, tables = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int64)
-        customers[place] = given.column("customers").to_numpy()
-        tables[place] = given.column("tables").to_numpy()
-        return Restaurants(customers, tables, self.customers, self.tables, self.discounts, self.words)
+def _placed(words: np.ndarray, given: pa.Table) -> list[np.ndarray]:
+    """Counts, customers and tables of a bucket's words, by their places."""
+    place = np.searchsorted(words, given.column("word").to_numpy().view(np.uint64))
+    columns = [np.zeros(len(words), np.int64) for _ in range(3)]
+    for column, name in zip(columns, ("count", "customers", "tables")):
+        column[place] = given.column(name).to_numpy()
+    return columns
 
 
 def _seated(buckets: DataFrame, parent: Parent | None, totals: DataFrame | None) -> tuple[Parent, DataFrame]:
-    """Sums over all buckets: with a table per cell at first, then after sweeps of Gibbs sampling.
+    """The parent after a seating of all contexts: a table per cell at first, then by sweeps of Gibbs sampling.
 
-    A bucket keeps its words' cells and samples them with the sums of the last round, as the
-    restaurants' totals hardly change by one bucket's moves. The totals of contexts stay a
-    distributed table, which meets the buckets by context; only those of the parent come back.
+    A bucket keeps its contexts' cells whole, so their totals are its own; of the others it only knows
+    the parent's chances, those of the last seating. The tables it opens are the customers of the
+    parent, added up by word in a distributed table, where the words' own tables are drawn. Only
+    sums over all words come back.
     """
 
     def run(held: pa.Table, given: pa.Table | None = None) -> pa.Table:
         out = []
-        for number, raw, packed in zip(*(held.column(c).to_pylist() for c in ("bucket", "cells", "contexts"))):
-            contexts = np.frombuffer(packed, "<u8")
-            bucket = Bucket.read(raw, contexts)
+        for number, raw, packed in zip(*(held.column(c).to_pylist() for c in ("bucket", "cells", "words"))):
+            words = np.frombuffer(packed, "<u8")
+            bucket = Bucket.read(raw, words)
             tables = np.minimum(bucket.count, 1)
-            customers = np.bincount(bucket.word, weights=tables, minlength=len(bucket.words)).astype(np.int64)
-            root_tables = np.ones(len(bucket.words), np.int64)
             if given is not None:
-                shared = parent.restaurants(contexts, given)
-                *_, (tables, customers, root_tables) = bucket.sweeps(shared, [SEED, number], SETTLE)
-            out.append(_statistics(pa.array(contexts.view("<i8")), bucket.context, bucket.count, tables))
-            # No context: the parent.
-            out.append(_statistics(pa.nulls(1, pa.int64()), np.zeros(len(customers), np.int64), customers, root_tables))
+                _, customers, root_tables = _placed(words, given)
+                *_, tables = bucket.sweeps(parent.chance(customers, root_tables), parent.discounts[0], [SEED, number], SETTLE)
+            out.append(_statistics(words, bucket, tables))
         return pa.concat_tables(out)
 
-    cells = buckets.select("bucket", "cells", "contexts")
+    cells = buckets.select("bucket", "cells", "words")
     if totals is None:
         sums = cells.mapInArrow(lambda batches: (x for b in batches for x in run(pa.Table.from_batches([b])).to_batches()), STATISTICS)
     else:
-        met = _context_totals(buckets, totals).groupBy("bucket")
+        met = _word_totals(buckets, totals).groupBy("bucket")
         sums = cells.groupBy("bucket").cogroup(met).applyInArrow(run, STATISTICS)
-    sums = stored(sums.groupBy("context").agg(*[F.sum(c).alias(c) for c in ("customers", "tables", "ones", "twos")]))
-    root = sums.filter("context IS NULL").first()
-    root = (0, 0, 0, 0) if root is None else (root.customers, root.tables, root.ones, root.twos)
-    totals = sums.filter("context IS NOT NULL").select("context", "customers", "tables")
-    if parent is not None:
-        discounts, words = parent.discounts, parent.words
-    else:
+    sums = stored(sums.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("count", "customers", "ones", "twos")]))
+    known = sums.filter("word IS NOT NULL")
+    if parent is None:
         share = lambda ones, twos: float(np.clip(ones / max(1, ones + 2 * twos), 0.05, 0.95))
-        own = sums.filter("context IS NOT NULL").agg(F.sum("ones"), F.sum("twos")).first()
-        discounts = (share(own[0] or 0, own[1] or 0), share(*root[2:]))
-        words = int(root[1])
-    return Parent(int(root[0]), int(root[1]), discounts, words), totals
+        own = sums.filter("word IS NULL").agg(F.sum("ones"), F.sum("twos")).first()
+        n, *dishes = known.agg(F.count(F.lit(1)), *[F.count(F.when(F.col("customers") == i, 1)) for i in (1, 2)]).first()
+        parent = Parent(0, n, (share(own[0] or 0, own[1] or 0), share(*dishes)), n)
+    discount, fresh = parent.discounts[1], parent.fresh()
+
+    def seat_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng([SEED, TaskContext.get().partitionId()])
+        for batch in batches:
+            customers = batch.column(2).to_numpy()
+            tables = seat(customers, np.full(len(customers), fresh), discount, rng)
+            columns = [*batch.columns, pa.array(tables.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in TOTALS.split(", ")])
+
+    # Stored: the parent's totals and the words' tables have to come from the same draw.
+    totals = stored(known.select("word", "count", "customers").mapInArrow(seat_words, TOTALS))
+    customers, tables = totals.agg(F.sum("customers"), F.sum("tables")).first()
+    return Parent(customers or 0, tables or 0, parent.discounts, parent.words), totals
 
 
 ANSWERS = "bucket int, block long, part long, logs binary, known binary"
 
 
 def _answers(buckets: DataFrame, parent: Parent, totals: DataFrame) -> DataFrame:
-    """For every request: log10 of the averaged chance of each entry, and the training count of each word."""
+    """For every request: log10 of the averaged chance of each entry, and the training count of its word.
+
+    Every averaged chance is that of one seating: a context's totals are the sums of its cells in the same
+    sweep, and the parent's chances are those of one table of words, so the chances of a
+    context add up to 1.
+    """
+    discount = parent.discounts[0]
 
     def run(held: pa.Table, given: pa.Table) -> pa.Table:
         out = []
-        columns = (held.column(c).to_pylist() for c in ("bucket", "cells", "contexts", "blocks", "parts", "asked"))
+        columns = (held.column(c).to_pylist() for c in ("bucket", "cells", "words", "blocks", "parts", "asked"))
         for number, raw, packed, blocks, parts, asked in zip(*columns):
-            contexts = np.frombuffer(packed, "<u8")
-            shared = parent.restaurants(contexts, given)
-            bucket = Bucket.read(raw, contexts)
-            counts = np.bincount(bucket.word, weights=bucket.count, minlength=len(bucket.words) + 1).astype(np.int64)
+            words = np.frombuffer(packed, "<u8")
+            counts, customers, root_tables = _placed(words, given)
+            above = parent.chance(customers, root_tables)
+            bucket = Bucket.read(raw, words)
+            all_count, own = bucket.totals(bucket.count), np.append(bucket.count, 0)
             chances = [np.zeros(int(Asked.read(a).entries.sum())) for a in asked]
-            spots = [_places(bucket, Asked.read(a), contexts) for a in asked]
-            for sweep, (tables, customers, root_tables) in enumerate(bucket.sweeps(shared, [SEED, number], SETTLE + AVERAGED)):
+            spots = [_places(bucket, Asked.read(a), words) for a in asked]
+            for sweep, tables in enumerate(bucket.sweeps(above, discount, [SEED, number], SETTLE + AVERAGED)):
                 if sweep < SETTLE:
                     continue
-                chance = shared.root(np.append(customers, 0), np.append(root_tables, 0))
-                own, own_tables = np.append(bucket.count, 0), np.append(tables, 0)
+                all_tables, own_tables = bucket.totals(tables), np.append(tables, 0)
                 for total, (word, cell, context) in zip(chances, spots):
-                    total += shared.chance(context, own[cell], own_tables[cell], chance[word])
+                    total += chance_in(discount, own[cell], own_tables[cell], all_count[context], all_tables[context], above[word])
             logs = [np.log10(c / AVERAGED).astype("<f4").tobytes() for c in chances]
             known = [counts[word].astype("<i8").tobytes() for word, _, _ in spots]
             raw_known = [len(k).to_bytes(8, "little") + pa.compress(k, codec="zstd", asbytes=True) for k in known]
@@ -488,19 +499,19 @@ def _answers(buckets: DataFrame, parent: Parent, totals: DataFrame) -> DataFrame
             out.append(pa.Table.from_arrays(columns, [c.split()[0] for c in ANSWERS.split(", ")]))
         return pa.concat_tables(out)
 
-    met = _context_totals(buckets, totals).groupBy("bucket")
+    met = _word_totals(buckets, totals).groupBy("bucket")
     return buckets.groupBy("bucket").cogroup(met).applyInArrow(run, ANSWERS)
 
 
-def _places(bucket: Bucket, asked: Asked, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word and cell of each entry, the last place for unknown ones; and its context."""
-    place = np.searchsorted(bucket.words, asked.words)
-    found = place < len(bucket.words)
-    found[found] = bucket.words[place[found]] == asked.words[found]
-    word = np.repeat(np.where(found, place, len(bucket.words)), asked.entries)
-    context = np.searchsorted(contexts, asked.context)
-    width = len(contexts) + 1
-    keys, wanted = bucket.word * width + bucket.context, word * width + context
+def _places(bucket: Bucket, asked: Asked, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word, cell and context of each entry; the last place for cells and contexts unknown in training."""
+    place = np.searchsorted(bucket.contexts, asked.contexts)
+    found = place < len(bucket.contexts)
+    found[found] = bucket.contexts[place[found]] == asked.contexts[found]
+    context = np.repeat(np.where(found, place, len(bucket.contexts)), asked.entries)
+    word = np.searchsorted(words, asked.word)
+    width = len(words) + 1
+    keys, wanted = bucket.context * width + bucket.word, context * width + word
     cell = np.searchsorted(keys, wanted)
     hit = cell < len(keys)
     hit[hit] = keys[cell[hit]] == wanted[hit]
@@ -519,15 +530,17 @@ def score_texts(docs: DataFrame, learn: Column, key: str = "doc_id", text: str =
     Restaurants share a parent, whose
     base is uniform over the training words and one unknown word. Discounts follow from the
     counts. Tables are seated by Gibbs sampling, all customers of a dish at a time, and the
-    chances after ``AVERAGED`` sweeps are averaged.
+    chances after ``AVERAGED`` sweeps are averaged. The chances of a context add up to 1.
 
-    Words are dealt out to buckets with all their contexts, so a dish and its parent are in one
-    place. Rows of a file form blocks, which bring a word and its contexts once, with counts:
-    a frequent word costs a bucket a row per block. The answers meet the texts again by block.
+    Contexts are dealt out to buckets with all the words after them, so a restaurant is in one
+    place; the parent is a distributed table of words. Rows of a file form blocks, which bring a
+    context and its words once, with counts: a frequent word costs a bucket a row per block. The
+    answers meet the texts again by block.
     Words are told apart by 64-bit hashes. A NULL text is empty, a NULL ``learn`` false; rows
     that repeat an id are texts of their own; without training rows all words are unknown.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     own = [
         F.col(key).cast("long").alias("doc_id"),
         F.col(text).cast("string").alias("text"),
@@ -548,7 +561,7 @@ def _scored(rows: DataFrame) -> DataFrame:
     train_tokens, every = _sizes(rows)
     buckets = max(1, -(-every // BUCKET))
     asked = _requests(rows, buckets).groupBy("bucket")
-    kept = "bucket int, cells binary, contexts binary, blocks array<long>, parts array<long>, asked array<binary>"
+    kept = "bucket int, cells binary, words binary, blocks array<long>, parts array<long>, asked array<binary>"
     collected = stored(asked.applyInArrow(_collected, kept))
     release(rows.sparkSession)
     parent = totals = None
