@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import acos, ceil, log, log1p, log2, pi
+from math import acos, pi
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aftershock.llm.shared import components, copies, salt, stored
-from aftershock.llm.vectors import lists, matrix, takes_part
+from aftershock.llm.vectors import matrix, takes_part
 
-# Passes at least; more follow from the number of vectors, see passes_for.
+# Passes at least; more follow from the vectors and their number, see passes_for.
 PASSES = 16
+# Vectors on which the number of passes is measured, at most.
+SAMPLE = 2048
+MEAN_SCALE = float(1 << 30)
 WINDOW = 32
 # Share of the isolated pairs right at the threshold that some pass has to bring together.
 RECALL = 0.99
@@ -32,36 +35,99 @@ LEAST_BLOCK, LARGEST_BLOCK = 256, 16_384
 CELLS = 4_000_000
 # Rows of a range of the sorted order, at least: neighbours reach over one seam only.
 RANGE = 16 * WINDOW
-KEYS = "dimensions int, pass int, hash long, id long, vector array<double>"
-FOUND = "u long, v long, part int, first boolean, dimensions int, pass int, id long, vector array<double>"
+KEYS = "dimensions int, pass int, hash long, id long, vector "
+FOUND = "u long, v long, part int, first boolean, dimensions int, pass int, id long, vector "
 
 
-def passes_for(vectors: int, cosine: float, window: int = WINDOW) -> int:
-    """Passes that bring a pair at the threshold into one window with a chance of ``RECALL``.
+def means(vectors: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
+    """For each dimension, how many vectors (id, vector) there are and the mean of the normalised ones.
 
-    Two vectors of that cosine share a sign with chance 1 - acos(cosine) / pi. Among
-    evenly spread vectors a window holds those that share the first log2(vectors / window)
-    signs, so each pass finds the pair with that power of the chance. There is no upper limit.
+    Components are added up as whole numbers, so that the mean does not depend on the order of the rows.
     """
-    signs = log2(max(2.0, vectors / window))
-    found = (1 - acos(min(1.0, max(-1.0, cosine))) / pi) ** signs
-    return max(PASSES, ceil(log(1 - RECALL) / log1p(-found))) if 0 < found < 1 else PASSES
 
-
-def _keys(batches: Iterator[pa.RecordBatch], passes: int) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        counts: dict[int, int] = {}
+        for batch in batches:
+            sizes = np.asarray(batch.column(0).value_lengths())
+            for d in np.unique(sizes).tolist():
+                values = _normalised(matrix(batch.column(0).take(pa.array(np.flatnonzero(sizes == d))), d))
+                totals[d] = totals.get(d, 0) + np.rint(values * MEAN_SCALE).astype(np.int64).sum(0)
+                counts[d] = counts.get(d, 0) + len(values)
+        for d, total in totals.items():
+            columns = [pa.array([x] * d, t) for x, t in ((d, pa.int32()), (counts[d], pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(range(d), pa.int32()), pa.array(total)], ["d", "n", "at", "total"])
+
+    summed = vectors.select("vector").mapInArrow(add, "d int, n long, at int, total long")
+    found: dict[int, tuple[int, np.ndarray]] = {}
+    # A row per component of each dimension.
+    for row in summed.groupBy("d", "at").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect():
+        n, mean = found.setdefault(row.d, (row.n, np.zeros(row.d)))
+        mean[row["at"]] = row.total / MEAN_SCALE / n
+    return found
+
+
+def _normalised(values: np.ndarray) -> np.ndarray:
+    return values / np.sqrt((values**2).sum(1))[:, None]
+
+
+def _agreement(cosines: np.ndarray) -> np.ndarray:
+    """The chance that vectors of such cosines lie on the same side of a random plane."""
+    return 1 - np.arccos(np.clip(cosines, -1, 1)) / pi
+
+
+def passes_for(n: int, sample: np.ndarray, mean: np.ndarray, cosine: float, window: int = WINDOW) -> int:
+    """Passes that bring a pair at the threshold into one window with a chance of ``RECALL``, measured on a sample.
+
+    Hashes are signs of what is left of the normalised vectors without their ``mean``. For each
+    vector of the sample a partner right at the threshold is made, towards another vector of
+    the sample. The pair's angle gives the chance of a common sign, and the chances of the
+    vector with all others of the sample tell how many first signs it has to share with one
+    until a window holds all that do, among ``n`` vectors. Vectors that link with it do not
+    crowd it. There is no upper limit.
+    """
+    if len(sample) < 3 or n <= window:
+        return PASSES
+    unit = _normalised(sample)
+    rest = _normalised(unit - mean + 1e-300)
+    others = unit[np.roll(np.arange(len(unit)), 1)]
+    aside = others - (others * unit).sum(1)[:, None] * unit
+    length = np.sqrt((aside**2).sum(1))
+    usable = length > 1e-6
+    if not usable.any():
+        return PASSES
+    partner = cosine * unit + np.sqrt(1 - cosine**2) * aside / np.maximum(length, 1e-6)[:, None]
+    together = _agreement((rest * _normalised(partner - mean + 1e-300)).sum(1))
+    crowd = _agreement(rest @ rest.T)
+    crowd[unit @ unit.T >= cosine] = 0
+    signs, shared = np.full(len(unit), HASHES), np.ones_like(crowd)
+    for b in range(1, HASHES):
+        shared *= crowd
+        fits = (n * shared.mean(1) <= window) & (signs == HASHES)
+        signs[fits] = b
+        if (signs < HASHES).all():
+            break
+    missed = 1 - np.clip(together[usable] ** signs[usable], 1e-9, 1 - 1e-9)
+    passes = PASSES
+    while (missed**passes).mean() > 1 - RECALL:
+        passes += max(1, passes // 16)
+    return passes
+
+
+def _keys(batches: Iterator[pa.RecordBatch], passes: int, mean_of: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
     planes: dict[tuple[int, int], np.ndarray] = {}
     weights = 1 << np.arange(HASHES - 1, -1, -1, dtype=np.int64)
     for batch in batches:
         sizes = np.asarray(batch.column(1).value_lengths())
         for d in np.unique(sizes).tolist():
             rows = batch.take(pa.array(np.flatnonzero(sizes == d)))
-            values = matrix(rows.column(1), d)
+            values = _normalised(matrix(rows.column(1), d)) - mean_of[d]
             for p in range(passes):
                 if (d, p) not in planes:
                     planes[d, p] = np.random.default_rng([SEED, d, p]).standard_normal((d, HASHES))
                 hashes = (values @ planes[d, p] >= 0) @ weights
                 same = [pa.array(np.full(len(values), x), pa.int32()) for x in (d, p)]
-                columns = [*same, pa.array(hashes), rows.column(0), lists(values)]
+                columns = [*same, pa.array(hashes), rows.column(0), rows.column(1)]
                 yield pa.RecordBatch.from_arrays(columns, ["dimensions", "pass", "hash", "id", "vector"])
 
 
@@ -80,9 +146,9 @@ def _linked(ids: np.ndarray, values: np.ndarray, window: int, cosine: float, sea
     return np.minimum(u, v), np.maximum(u, v)
 
 
-def _pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+def _pairs(u: np.ndarray, v: np.ndarray, vectors: pa.DataType) -> pa.RecordBatch:
     n = len(u)
-    empty = [pa.nulls(n, t) for t in (pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()))]
+    empty = [pa.nulls(n, t) for t in (pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), vectors)]
     return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), *empty], [c.split()[0] for c in FOUND.split(", ")])
 
 
@@ -113,12 +179,21 @@ def links(vectors: DataFrame, cosine: float, passes: int | None = None, window:
     In each pass the rows are sorted by a key of ``HASHES`` random signs, one after the other,
     and compared with their ``window`` next ones. The sorted order of all passes is dealt out
     in ranges; the ends of neighbouring ranges are compared in a second step. Without
-    ``passes`` their number follows from the rows by :func:`passes_for`.
+    ``passes`` their number follows from the rows by :func:`passes_for`. Vectors travel as they are,
+    floats or doubles; cosines are computed in doubles.
     """
-    rows = vectors.count()
-    passes = passes_for(rows, cosine, window) if passes is None else passes
-    hashed = vectors.mapInArrow(lambda batches: _keys(batches, passes), KEYS)
     spark = vectors.sparkSession
+    middle = means(vectors)
+    rows = sum(n for n, _ in middle.values())
+    if passes is None:
+        drawn = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()  # at most ``SAMPLE`` vectors
+        passes = PASSES
+        for d, (n, mean) in middle.items():
+            sample = np.array([r.vector for r in drawn if len(r.vector) == d], np.float64).reshape(-1, d)
+            passes = max(passes, passes_for(n, sample, mean, cosine, window))
+    kind = vectors.schema["vector"].dataType.simpleString()
+    mean_of = {d: mean for d, (_, mean) in middle.items()}
+    hashed = vectors.mapInArrow(lambda batches: _keys(batches, passes, mean_of), KEYS + kind)
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(1, min(ranges * 4, rows * passes // RANGE))
     order = ["dimensions", "pass", "hash", "id"]
@@ -133,7 +208,7 @@ def links(vectors: DataFrame, cosine: float, passes: int | None = None, window:
             for a, b, d in _runs(rows):
                 ids, values = rows.column("id").to_numpy()[a:b], matrix(rows.column("vector").slice(a, b - a).combine_chunks(), d)
                 u, v = _linked(ids, values, window, cosine)
-                yield _pairs(u, v)
+                yield _pairs(u, v, rows.schema.field("vector").type)
             if not first_done:
                 yield _seam(rows.slice(0, window), True)
                 first_done = True
@@ -142,7 +217,7 @@ def links(vectors: DataFrame, cosine: float, passes: int | None = None, window:
             yield _seam(held, False)
 
     ranged = hashed.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
-    found = stored(ranged.mapInArrow(compare, FOUND))
+    found = stored(ranged.mapInArrow(compare, FOUND + kind))
     ends = found.filter("u IS NULL").drop("u", "v")
     parts = ends.select("part").distinct()
     # A row per range: few.
@@ -154,7 +229,8 @@ def links(vectors: DataFrame, cosine: float, passes: int | None = None, window:
         before = rows.filter(pa.compute.invert(rows.column("first")))
         after = rows.filter(rows.column("first"))
         key = lambda t: (t.column("dimensions")[0].as_py(), t.column("pass")[0].as_py())
-        out = [_pairs(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        none, vector = np.zeros(0, np.int64), rows.schema.field("vector").type
+        out = [_pairs(none, none, vector)]
         if before.num_rows and after.num_rows:
             last = list(_runs(before))[-1]
             start = list(_runs(after))[0]
@@ -162,7 +238,7 @@ def links(vectors: DataFrame, cosine: float, passes: int | None = None, window:
             if key(before) == key(after):
                 both = pa.concat_tables([before, after])
                 values = matrix(both.column("vector").combine_chunks(), last[2])
-                out.append(_pairs(*_linked(both.column("id").to_numpy(), values, window, cosine, before.num_rows)))
+                out.append(_pairs(*_linked(both.column("id").to_numpy(), values, window, cosine, before.num_rows), vector))
         return pa.Table.from_batches(out).select(["u", "v"])
 
     ordered = ends.select("seam", "first", "dimensions", "pass", "id", "vector", F.col("number"))
@@ -193,11 +269,12 @@ def near_duplicates(
     are vectors of their own. An empty table gives an empty one; other columns are ignored.
     """
     sound = takes_part(F.col(vector)) & F.col(key).isNotNull()
+    floats = vectors.schema[vector].dataType.simpleString() == "array<float>"
     rows = vectors.select(
         F.col(key).cast("long").alias("vec_id"),
         F.when(sound, F.xxhash64(F.lit(1), F.col(vector))).alias("h1"),
         F.when(sound, F.xxhash64(F.lit(2), F.col(vector))).alias("h2"),
-        F.when(sound, F.col(vector).cast("array<double>")).alias("vector"),
+        F.when(sound, F.col(vector) if floats else F.col(vector).cast("array<double>")).alias("vector"),
     )
     classes = rows.filter("h1 IS NOT NULL").groupBy("h1", "h2")
     classes = classes.agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("vector").alias("vector"))
@@ -321,4 +398,5 @@ def _compare(held: list[pa.RecordBatch], cosine: float) -> pa.RecordBatch:
 
 
 def _dot(a: str, b: str):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+    return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
