@@ -351,7 +351,9 @@ class Search:
                     )
 
         entries = self.rows.select("id", "label", "vector").mapInArrow(enter, UNITS)
-        probes = asked.mapInArrow(probe, UNITS)
+        # Few rows with much work each: dealt out by number, which AQE leaves as it is.
+        tasks = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        probes = asked.repartition(tasks, "id").mapInArrow(probe, UNITS)
         place = ["unit", "chunk"]
         together = entries.unionByName(probes).repartition(*place).sortWithinPartitions(*place, "asks")
 

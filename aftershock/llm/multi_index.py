@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,11 @@ from aftershock.llm.vectors import lists, matrix, takes_part
 # Vectors on which the codebooks and the reach are fitted, at most; all are indexed.
 SAMPLE = 8192
 TRIALS = 256
+# Centroids of a codebook at least; more follow from the vectors, so that a cell holds about so many of them.
 CENTROIDS = 64
+CELL = 64
+# Vectors of the sample that a centroid is fitted on at least.
+BACKING = 16
 ROUNDS = 10
 # Share of the true neighbours that the traversal has to reach.
 RECALL = 0.97
@@ -108,7 +113,7 @@ def nearest(
     k: int = 10,
     key: str = "vec_id",
     vector: str = "embedding",
-    centroids: int = CENTROIDS,
+    centroids: int | None = None,
     recall: float = RECALL,
     sample: int = SAMPLE,
 ) -> DataFrame:
@@ -120,7 +125,8 @@ def nearest(
     order of summed centroid distance, with a heap, until they hold the share of all vectors
     that the fit found necessary for ``recall``; all their entries are ranked by the exact
     distance. Codebooks and share are fitted on at most ``sample`` vectors (those with the
-    smallest hashes of their ids); every vector is indexed.
+    smallest hashes of their ids); every vector is indexed. Without ``centroids`` their number grows
+    with the square root of the vectors, as far as the sample can back them.
 
     Vectors that are NULL, empty, zero or have NULL or non-finite components take no part, nor do
     those of another dimension than the most frequent one or with a NULL id. Rows that repeat
@@ -142,6 +148,8 @@ def nearest(
     rows = rows.filter(F.size("vector") == common.dimensions)
     hashed = rows.select("vec_id", "vector").orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(sample)
     drawn = np.array([r.vector for r in hashed.select("vector").collect()])  # at most ``sample`` vectors
+    if centroids is None:
+        centroids = max(CENTROIDS, min(ceil(sqrt(common.n / CELL)), len(drawn) // BACKING))
     index = MultiIndex.fit(drawn, centroids, recall, k)
     d = index.dimensions
 
@@ -171,6 +179,8 @@ def nearest(
             yield pa.RecordBatch.from_arrays([*columns, batch.column(0), lists(values)], names(ENTRIES))
 
     asked = rows.filter("asks").groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    # Few rows with much work each: dealt out by number, which AQE leaves as it is.
+    asked = asked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "vec_id")
     blocks = max(1, -(-rows.filter("asks").count() // QUERIES))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
