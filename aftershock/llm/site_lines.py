@@ -13,6 +13,8 @@ MAX_RATIO = 0.005
 LONG_RATIO = 0.001
 LONG_WORDS = 50
 LEAST_HOLDERS = 3
+# Percent of its characters that a page may lose.
+MOST = 50
 SALTS = 16
 
 
@@ -93,7 +95,7 @@ def drop_site_lines(
     marked = row.withColumn("salt", place).join(copies(unwanted, SALTS), ["site", "page", "salt"], "left")
     all_lines = F.split(F.col(f"row.{text}"), "\n", -1)
     marked = marked.withColumn("kept", F.filter(all_lines, lambda x: ~F.array_contains("unwanted", line_digest(x))))
-    mostly = 2 * _characters(F.col("kept")) < _characters(all_lines)
+    mostly = 100 * _characters(F.col("kept")) < (100 - MOST) * _characters(all_lines)
     whole = F.col("unwanted").isNull() | mostly
     new_text = F.when(whole, F.col(f"row.{text}")).otherwise(F.array_join("kept", "\n"))
     n_lines = F.when(F.col("page").isNull(), 0).otherwise(F.size(all_lines)).cast("long")
