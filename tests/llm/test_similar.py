@@ -183,10 +183,30 @@ def test_isolated_pairs_are_found_in_tables_of_any_size(spark):
     frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>").repartition(4)
     found = {(r.u, r.v) for r in projection_passes.links(frame, 0.9, window=1).collect()}
     assert sum((i, i + 400) in found for i in range(400)) >= 0.97 * 400
-    sizes = [projection_passes.passes_for(n, 0.9) for n in (100, 10**5, 10**7, 10**9)]
+    sizes = [projection_passes.passes_for(n, v[1000:2000], v.mean(0), 0.9) for n in (100, 10**5, 10**7, 10**9)]
     assert sizes == sorted(sizes) and sizes[0] == projection_passes.PASSES and sizes[3] > 2 * sizes[2] - sizes[1]
 
 
+@pytest.mark.parametrize("background", [0.0, 0.6, 0.8])
+def test_pairs_are_found_in_crowded_tables(spark, background):
+    """All vectors have a cosine of about ``background`` to each other."""
+    rng = np.random.default_rng(5)
+    d, n = 64, 6000
+    common = np.zeros(d)
+    common[0] = math.sqrt(background)
+    own = rng.standard_normal((n, d))
+    own[:, 0] = 0
+    v = common + math.sqrt(1 - background) * own / np.sqrt((own**2).sum(1))[:, None]
+    for i in range(300):
+        other = v[i + 300] - (v[i + 300] @ v[i]) * v[i]
+        v[i + 300] = 0.902 * v[i] + math.sqrt(1 - 0.902**2) * other / math.sqrt(other @ other)
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<float>").repartition(4)
+    found = {(r.u, r.v) for r in projection_passes.links(frame, 0.9).collect()}
+    assert sum((i, i + 300) in found for i in range(300)) >= 0.97 * 300
+    cosines = v @ v.T / np.sqrt((v**2).sum(1))[:, None] / np.sqrt((v**2).sum(1))
+    assert all(cosines[u, w] > 0.9 - 1e-6 for u, w in found)
+
+
 def brute_nearest(table, query, k):
     own = [(i, np.array(v)) for i, v, *_ in table if sound(v)]
     at = dict(own)[query]
@@ -332,28 +352,72 @@ def test_every_word_is_a_context_of_its_own(spark):
     assert sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held) > 2.2
 
 
-def test_chances_of_all_words_add_up_to_one():
+@pytest.mark.parametrize("bucket", [2_000_000, 120])
+def test_chances_of_all_words_add_up_to_one(spark, tmp_path, monkeypatch, bucket):
+    """Every context is asked for every word, in one bucket and in many, and answers with a distribution."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(pitman_yor, "BUCKET", bucket)
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(18)]
+    rows = [(True, " ".join(rng.choices(vocabulary, [1 / (i + 1) for i in range(18)], k=rng.randrange(30)))) for _ in range(60)]
+    every = [*vocabulary, "unknown"]
+    rows += [(False, f"{a} {b}") for a in every for b in every] + [(False, x) for x in ("", *every)]
+    spark.createDataFrame(rows, "learn boolean, text string").repartition(3).write.parquet(f"{tmp_path}/texts")
+    block, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    docs = spark.read.parquet(f"{tmp_path}/texts").select("learn", "text", F.xxhash64(block).alias("block"), row.alias("row"))
+    _, tokens = pitman_yor._sizes(docs)
+    buckets = max(1, -(-tokens // bucket))
+    kept = "bucket int, cells binary, words binary, blocks array<long>, parts array<long>, asked array<binary>"
+    collected = pitman_yor._requests(docs, buckets).groupBy("bucket").applyInArrow(pitman_yor._collected, kept).checkpoint()
+    parent = totals = None
+    for _ in range(3):
+        parent, totals = pitman_yor._seated(collected, parent, totals)
+    assert parent.words == 19 and (buckets > 5) == (bucket == 120)
+    of_words = totals.collect()
+    whole = parent.chance(np.array([r["customers"] for r in of_words]), np.array([r["tables"] for r in of_words])).sum()
+    assert math.isclose(whole + parent.chance(0, 0), 1, rel_tol=1e-12)
+    asked = {(r.bucket, b, p): a for r in collected.collect() for b, p, a in zip(r.blocks, r.parts, r.asked)}
+    chances = {}
+    for r in pitman_yor._answers(collected, parent, totals).collect():
+        request = pitman_yor.Asked.read(asked[r.bucket, r.block, r.part])
+        logs = np.frombuffer(r.logs, "<f4").astype(float)
+        for context, word, log in zip(np.repeat(request.contexts, request.entries).tolist(), request.word.tolist(), logs.tolist()):
+            assert chances.setdefault((context, word), log) == log
+    mass = Counter()
+    for (context, _), log in chances.items():
+        mass[context] += 10**log
+    # 18 words, one that is unknown, the start; after each of them all words, the unknown one and the end.
+    assert len(mass) == 20 and len(chances) == 20 * 20
+    # Logs travel as floats of 32 bits.
+    assert all(math.isclose(m, 1, rel_tol=2e-6) for m in mass.values())
+
+
+def test_chances_equal_a_direct_computation():
     rng = np.random.default_rng(1)
-    words = np.sort(rng.integers(1, 2**60, 30).astype(np.uint64))
-    cells = [(w, c) for w in range(30) for c in range(3) if rng.random() < 0.6 or c == 0]
-    word, context = (np.array(x) for x in zip(*cells))
-    bucket = pitman_yor.Bucket(words, word, context, rng.integers(1, 40, len(cells)))
-    tables = np.ones(len(cells), np.int64)
-    sums = lambda t: (np.bincount(context, weights=t).astype(int), int(t.sum()))
-    for _ in range(2):
-        customers, _ = sums(bucket.count)
-        by_context, root = sums(tables)
-        root_tables = np.ones(30, np.int64)
-        shared = pitman_yor.Restaurants(customers, by_context, root, int(root_tables.sum()), (0.7, 0.6), 30)
-        root_customers = np.bincount(word, weights=tables).astype(np.int64)
-        parent = np.append(shared.root(root_customers, root_tables), shared.root(np.array([0]), np.array([0])))
-        assert math.isclose(parent.sum(), 1, rel_tol=1e-9)
-        for c in range(3):
-            own = np.zeros(31, np.int64)
-            seated = np.zeros(31, np.int64)
-            own[word[context == c]], seated[word[context == c]] = bucket.count[context == c], tables[context == c]
-            assert math.isclose(shared.chance(np.full(31, c), own, seated, parent).sum(), 1, rel_tol=1e-9)
-        *_, (tables, _, _) = bucket.sweeps(shared, [1], 3)
+    words = np.arange(30, dtype=np.uint64) * np.uint64(7)
+    cells = [(c, w) for c in range(4) for w in range(30) if rng.random() < 0.5]
+    context, word = (np.array(x) for x in zip(*cells))
+    bucket = pitman_yor.Bucket(np.arange(4, dtype=np.uint64), context, word, rng.integers(1, 40, len(cells)))
+    assert (pitman_yor.Bucket.read(pitman_yor.Bucket(bucket.contexts, context, words[word], bucket.count).pack(), words).word == word).all()
+    parent = pitman_yor.Parent(90, 40, (0.7, 0.6), 30)
+    customers, root_tables = np.full(30, 3), np.append(np.full(10, 2), np.ones(20))
+    above = parent.chance(customers, root_tables)
+    *_, tables = bucket.sweeps(above, 0.7, [1], 5)
+    assert ((1 <= tables) & (tables <= bucket.count)).all()
+    all_count, all_tables = bucket.totals(bucket.count), bucket.totals(tables)
+    for c in range(4):
+        count = {w: n for x, w, n in zip(context, word, bucket.count) if x == c}
+        seated = {w: t for x, w, t in zip(context, word, tables) if x == c}
+        total = 0.0
+        for w in range(30):
+            top = (3 - 0.6 * root_tables[w] + (1 + 0.6 * 40) / 31) / (1 + 90)
+            direct = (count.get(w, 0) - 0.7 * seated.get(w, 0) + (1 + 0.7 * sum(seated.values())) * top) / (1 + sum(count.values()))
+            got = pitman_yor.chance_in(0.7, count.get(w, 0), seated.get(w, 0), all_count[c], all_tables[c], above[w])
+            assert math.isclose(got, direct, rel_tol=1e-12)
+            total += direct
+        unknown = (1 + 0.7 * sum(seated.values())) * ((1 + 0.6 * 40) / 31) / 91 / (1 + sum(count.values()))
+        assert math.isclose(total + unknown, 1, rel_tol=1e-9)
 
 
 def test_scores_of_hostile_documents(hostile, empty):
