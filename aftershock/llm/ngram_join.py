@@ -8,23 +8,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aftershock.llm.byte_words import BASE, LOWER_ASCII, WHITE, mixed, word_hashes
-from aftershock.llm.shared import components, copies, release, salt, stored, text_buffer
+from aftershock.llm.shared import components, copies, release, salt, small_batches, stored, text_buffer
 
 # Counters of shingle frequencies: a table of fixed size that orders shingles roughly by rarity.
 COUNTERS = 22
 CHUNK = 16
 # Groups per document: a power of two, with about this many shingles each.
-PER_GROUP = 2
+PER_GROUP = 4
 LEAST_GROUPS, MOST_GROUPS = 8, 1 << 16
 # Points of an R-tree leaf.
 LEAF = 64
 LEAVES = ["token", "leaf", "low", "high", "first", "last", "ids", "sizes", "components", "points"]
-# Neighbours compared in the first step.
+# Neighbours compared in the first step, and shared shingles of a point under which it has neighbours.
 REACH = 8
+FIRST = 8
 SALTS = 16
 # Bytes of sets that are brought together for verification, at most.
 CLUSTER = 64 << 20
@@ -43,6 +44,10 @@ class Similarity:
         """Shingles of which similar sets share one, whatever the order."""
         return n - (self.percent * n + 99) // 100 + 1
 
+    def from_place(self, a, at_a, b, at_b):
+        """Whether sets of these sizes can be similar if their first common shingle has these places in their orders."""
+        return 1 + np.minimum(a - at_a - 1, b - at_b - 1) >= self.overlap(a, b)
+
     def overlap(self, a, b):
         """The least intersection of similar sets of these sizes."""
         return -(-self.percent * (a + b) // (100 + self.percent))
@@ -190,10 +195,12 @@ def shared_prefixes(points: DataFrame, similar: Similarity) -> DataFrame:
     """Rows (token, n, id) that have a row of the same token and a similar size beside them.
 
     Rows are sorted by token and size over all partitions, so a token that many documents
-    share is many tasks' work. Those at the ends of a partition are kept.
+    share is many tasks' work. Those at the ends of a partition are kept. A token that just two
+    rows share is most often chance: such rows stay only if the token's places in both prefixes
+    leave room for a link, were it the first one they share. If it is not, the first one keeps them.
     """
     order = ["token", "n", "id"]
-    rows = points.select(F.explode("prefix").alias("token"), "n", "id")
+    rows = points.select(F.posexplode("prefix").alias("place", "token"), "n", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
@@ -202,8 +209,13 @@ def shared_prefixes(points: DataFrame, similar: Similarity) -> DataFrame:
             if not batch.num_rows:
                 continue
             rows = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks()
-            token, n = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-            near = (token[1:] == token[:-1]) & similar.sizes(n[1:], n[:-1])
+            token, n, place = (rows.column(c).to_numpy() for c in (0, 1, 3))
+            same = token[1:] == token[:-1]
+            near = same & similar.sizes(n[1:], n[:-1])
+            # Two rows between others of the batch: what lies beyond it is not known.
+            alone = np.zeros(len(same), bool)
+            alone[1:-1] = same[1:-1] & ~same[:-2] & ~same[2:]
+            near &= ~alone | similar.from_place(n[1:], place[1:], n[:-1], place[:-1])
             keep = np.append(near, False) | np.append(False, near)
             if first:
                 keep[0], first = True, False
@@ -212,11 +224,11 @@ def shared_prefixes(points: DataFrame, similar: Similarity) -> DataFrame:
                 keep[0] = True
             held_kept = bool(keep[-1])
             held = rows.slice(rows.num_rows - 1).to_batches()[0]
-            yield from rows.slice(0, rows.num_rows - 1).filter(pa.array(keep[:-1])).to_batches()
+            yield from rows.slice(0, rows.num_rows - 1).filter(pa.array(keep[:-1])).select(order).to_batches()
         if held is not None:
-            yield held
+            yield held.select(order)
 
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = rows.select(*order, "place").repartitionByRange(*order).sortWithinPartitions(*order)
     return ranged.mapInArrow(run, "token long, n long, id long")
 
 
@@ -395,6 +407,7 @@ def similar_documents(
     id. Shingles are told apart by 64-bit hashes. An empty table gives an empty one; other
     columns are ignored.
     """
+    small_batches(docs.sparkSession)
     similar = Similarity(percent)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     found = features(docs, words, similar, rarity(docs, words)).filter("n > 0 AND doc_id IS NOT NULL")
@@ -407,7 +420,10 @@ def similar_documents(
     counts = points.select("id", "counts").dropDuplicates(["id"])
     shared = stored(shared_prefixes(points, similar))
     release(docs.sparkSession)
-    near = stored(neighbours(shared.join(counts, "id"), similar))
+    # A few shingles of each point are enough to unite groups of copies; the rest of the work finds all pairs.
+    own = Window.partitionBy("id").orderBy("token")
+    some = shared.withColumn("nth", F.row_number().over(own)).filter(F.col("nth") <= FIRST).drop("nth")
+    near = stored(neighbours(some.join(counts, "id"), similar))
     release(docs.sparkSession)
     links = stored(verified(near, docs, words, similar))
     release(docs.sparkSession)
