@@ -22,7 +22,11 @@ PER_GROUP = 4
 LEAST_GROUPS, MOST_GROUPS = 8, 1 << 16
 # Points of an R-tree leaf.
 LEAF = 64
-LEAVES = ["token", "leaf", "low", "high", "first", "last", "ids", "sizes", "components", "points"]
+LEAVES = ["token", "leaf", "low", "high", "first", "last", "ids", "sizes", "components", "earlier", "points"]
+# Rounds in which points of a crowded bucket meet those of the leaves beside theirs.
+ROUNDS = 2
+# Crowded buckets of a point that are known where others of them are compared, at most.
+EARLIER = 32
 # Neighbours compared in the first step, and shared shingles of a point under which it has neighbours.
 REACH = 8
 FIRST = 8
@@ -255,6 +259,29 @@ def neighbours(rows: DataFrame, similar: Similarity) -> DataFrame:
     return ranged.mapInArrow(run, "u long, v long").filter("u <> v").distinct()
 
 
+def contested(labelled: DataFrame) -> DataFrame:
+    """The rows of tokens that several components share; a token of more than a leaf's points is crowded."""
+    ends = [F.min("component").alias("a"), F.max("component").alias("b"), (F.count(F.lit(1)) > LEAF).alias("crowded")]
+    several = stored(labelled.groupBy("token").agg(*ends).filter("a <> b").select("token", "crowded"))
+    rows = labelled.withColumn("salt", salt(F.col("id"), SALTS)).join(copies(several, SALTS), ["token", "salt"])
+    return rows.select("token", "n", "id", "component", "crowded")
+
+
+def labelled_by(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    rows = rows.select("token", "n", "id").join(labels, "id", "left")
+    return rows.withColumn("component", F.coalesce("component", "id"))
+
+
+def with_earlier(rows: DataFrame) -> DataFrame:
+    """Rows with the smaller ones of their points' first ``EARLIER`` crowded tokens.
+
+    Two points that share one of these have been compared there.
+    """
+    tokens = F.array_sort(F.collect_set(F.when(F.col("crowded"), F.col("token"))))
+    known = rows.groupBy("id", "n").agg(F.slice(tokens, 1, EARLIER).alias("known"))
+    return rows.join(known, ["id", "n"]).withColumn("earlier", F.filter("known", lambda x: x < F.col("token"))).drop("known")
+
+
 def leaves(rows: DataFrame) -> DataFrame:
     """R-tree leaves: up to ``LEAF`` points of a token, with the ranges of their sizes and components."""
     order = ["token", "n", "counts", "id"]
@@ -268,14 +295,14 @@ def leaves(rows: DataFrame) -> DataFrame:
         raw = head + pa.compress(points.tobytes(), codec="zstd", asbytes=True)
         own = [row[4] for row in held]
         values = [held[0][0], number, held[0][1], held[-1][1], min(own), max(own)]
-        values += [[row[i] for row in held] for i in (3, 1, 4)] + [raw]
-        types = [pa.int64()] * 6 + [pa.list_(pa.int64())] * 3 + [pa.binary()]
+        values += [[row[i] for row in held] for i in (3, 1, 4, 5)] + [raw]
+        types = [pa.int64()] * 6 + [pa.list_(pa.int64())] * 3 + [pa.list_(pa.list_(pa.int64())), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], LEAVES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held = TaskContext.get().partitionId() << 33, []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in range(5))):
+            for row in zip(*(batch.column(c).to_pylist() for c in range(6))):
                 if held and (held[0][0] != row[0] or len(held) == LEAF):
                     yield leaf(number, held)
                     number, held = number + 1, []
@@ -283,29 +310,36 @@ def leaves(rows: DataFrame) -> DataFrame:
         if held:
             yield leaf(number, held)
 
-    ranged = rows.select(*order, "component").repartitionByRange(*order).sortWithinPartitions(*order)
-    types = ["long"] * 6 + ["array<long>"] * 3 + ["binary"]
+    ranged = rows.select(*order, "component", "earlier").repartitionByRange(*order).sortWithinPartitions(*order)
+    types = ["long"] * 6 + ["array<long>"] * 3 + ["array<array<long>>", "binary"]
     return ranged.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(LEAVES, types)))
 
 
-def crossings(found: DataFrame, similar: Similarity) -> DataFrame:
-    """Pairs of different components whose bound allows a link, from pairs of leaves whose boxes do."""
+def crossings(found: DataFrame, similar: Similarity, apart: int | None = None) -> DataFrame:
+    """Pairs of different components whose bound allows a link, from pairs of leaves whose boxes do.
+
+    A pair comes from the first crowded bucket it shares, as far as its points know, and may come
+    again from others. With ``apart``, leaves meet only the two leaves that are so many places
+    further, and a point brings only its closest one there.
+    """
     left, right = (found.select(*[F.col(c).alias(f"{side}_{c}") for c in found.columns]) for side in "ab")
     sizes = (100 * F.col("a_high") >= similar.percent * F.col("b_low")) & (
         100 * F.col("b_high") >= similar.percent * F.col("a_low")
     )
     one = F.greatest("a_last", "b_last") == F.least("a_first", "b_first")
-    meet = (F.col("a_token") == F.col("b_token")) & (F.col("a_leaf") <= F.col("b_leaf")) & sizes & ~one
-    names = ["low", "ids", "sizes", "components", "points"]
+    places = F.col("b_leaf") - F.col("a_leaf")
+    beside = places >= 0 if apart is None else places.between(apart, apart + 1)
+    meet = (F.col("a_token") == F.col("b_token")) & beside & sizes & ~one
+    names = ["low", "ids", "sizes", "components", "points", "earlier"]
     pairs = left.join(right, meet).select("a_leaf", "b_leaf", *[f"{side}_{c}" for side in "ab" for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i in range(batch.num_rows):
-                leaf_a, leaf_b, *sides = (batch.column(c)[i] for c in range(12))
+                leaf_a, leaf_b, *sides = (batch.column(c)[i] for c in range(14))
                 low_a, ids_a, sizes_a, components_a, points_a = _points(*sides[:5])
-                low_b, ids_b, sizes_b, components_b, points_b = _points(*sides[5:])
+                low_b, ids_b, sizes_b, components_b, points_b = _points(*sides[6:11])
                 # The corners of the leaves' boxes bound all their pairs.
                 if at_most(points_a.max(0), points_b.max(0)) < similar.overlap(low_a, low_b):
                     continue
@@ -313,15 +347,31 @@ def crossings(found: DataFrame, similar: Similarity) -> DataFrame:
                 points_a, points_b = (p.reshape(len(p), groups, -1).sum(2, dtype=np.int32) for p in (points_a, points_b))
                 fits = similar.sizes(sizes_a[:, None], sizes_b) & (components_a[:, None] != components_b)
                 bound = np.array([np.minimum(point, points_b).sum(1) for point in points_a])
-                fits &= bound >= similar.overlap(sizes_a[:, None], sizes_b)
-                if leaf_a == leaf_b:
+                least = similar.overlap(sizes_a[:, None], sizes_b)
+                fits &= bound >= least
+                if apart is not None:
+                    fits = _closest(fits, bound - least)
+                elif leaf_a == leaf_b:
                     fits = np.triu(fits)
                 at_a, at_b = np.nonzero(fits)
+                if apart is None and len(at_a):
+                    known_a, known_b = ([set(x) for x in side.as_py()] for side in (sides[5], sides[11]))
+                    new = [known_a[a].isdisjoint(known_b[b]) for a, b in zip(at_a.tolist(), at_b.tolist())]
+                    at_a, at_b = at_a[new], at_b[new]
                 us.append(np.minimum(ids_a[at_a], ids_b[at_b]))
                 vs.append(np.maximum(ids_a[at_a], ids_b[at_b]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
 
-    return pairs.mapInArrow(run, "u long, v long").distinct()
+    return pairs.mapInArrow(run, "u long, v long")
+
+
+def _closest(fits: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """Of the pairs that fit, those that have the most to spare in their row or column."""
+    spare = np.where(fits, spare, -1)
+    best = np.zeros_like(fits)
+    best[np.arange(len(fits)), spare.argmax(1)] = True
+    best[spare.argmax(0), np.arange(fits.shape[1])] = True
+    return best & fits
 
 
 def _points(low, ids, sizes, components, raw) -> tuple:
@@ -398,7 +448,9 @@ def similar_documents(
     one order for all documents, by rarity); rows of a shingle are its bucket. Points of a
     bucket are group counts of the sets, and the sum of the smaller counts bounds an
     intersection. First, neighbours in the buckets' sorted order are verified and united, which
-    settles groups of copies with few comparisons. Then all other pairs of a bucket are looked
+    settles groups of copies with few comparisons. In buckets of many points and several components,
+    points then meet the closest ones of the leaves beside theirs, as long as that unites any.
+    Then all other pairs of a bucket are looked
     at between its components: their points are packed into R-tree leaves, pairs of leaves whose
     boxes rule out a link are skipped, and the pairs that remain are verified on their sets.
 
@@ -429,15 +481,25 @@ def similar_documents(
     release(docs.sparkSession)
     labels = stored(components(links))
 
-    labelled = shared.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    several = labelled.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"))
-    several = stored(several.filter("a <> b").select("token"))
-    rest = labelled.withColumn("salt", salt(F.col("id"), SALTS)).join(copies(several, SALTS), ["token", "salt"])
-    rest = stored(rest.select("token", "n", "id", "component"))
+    rest = stored(contested(labelled_by(shared, labels)))
     release(docs.sparkSession)
-    packed_leaves = stored(leaves(rest.join(counts, "id")))
+    nothing = F.array().cast("array<long>").alias("earlier")
+    for turn in range(ROUNDS):
+        crowd = rest.filter("crowded").select("token", "n", "id", "component", nothing)
+        if crowd.isEmpty():
+            break
+        close = crossings(stored(leaves(crowd.join(counts, "id"))), similar, 2 * turn).distinct()
+        more = stored(verified(stored(close), docs, words, similar))
+        release(docs.sparkSession)
+        if more.isEmpty():
+            break
+        links = stored(links.unionByName(more))
+        labels = stored(components(links))
+        rest = stored(contested(labelled_by(rest, labels)))
+        release(docs.sparkSession)
+    packed_leaves = stored(leaves(with_earlier(rest).join(counts, "id")))
     release(docs.sparkSession)
-    others = stored(crossings(packed_leaves, similar))
+    others = stored(crossings(packed_leaves, similar).distinct())
     del packed_leaves
     release(docs.sparkSession)
     if not others.isEmpty():

@@ -102,6 +102,29 @@ def test_links_within_a_large_bucket_are_all_found(spark, monkeypatch):
     assert got == label
 
 
+def test_pairs_looked_at_in_a_group_of_near_copies_grow_with_its_rows(spark, monkeypatch):
+    made, crossings = [], ngram_join.crossings
+
+    def counted(*args):
+        out = crossings(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "crossings", counted)
+    monkeypatch.setattr(ngram_join, "LEAF", 16)
+    monkeypatch.setattr(ngram_join, "REACH", 2)
+    text, rng, rows = prose(3, 150, 10_000), random.Random(4), []
+    for i in range(600):
+        words = text.split(" ")
+        for at in rng.sample(range(150), rng.choice([2, 3, 3, 3, 3, 3])):
+            words[at] = f"n{i}x{at}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_documents(docs, 3, 80).collect()}
+    _, label = brute_similar(rows, 3, 80)
+    assert got == label and sum(made) < 60 * len(rows)
+
+
 def test_similar_hostile_documents(hostile, empty):
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_documents(hostile, 3, 90).collect())
     assert got[2, 4, 2] == 2 or got[2, 3, 2] == 2
