@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import lru_cache
 from math import lgamma
@@ -557,18 +559,37 @@ def score_texts(docs: DataFrame, learn: Column, key: str = "doc_id", text: str =
     return _scored(rows)
 
 
+@contextmanager
+def _placed_rows(frame: DataFrame, key: str) -> Iterator[DataFrame]:
+    """The frame as a table bucketed by ``key`` in the shared folder, dropped at the end.
+
+    What is grouped with it by the key moves to its rows, which stay where they are. Fewer parts than
+    those of a shuffle would have them moved as well.
+    """
+    spark = frame.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with scratch(spark, "placed") as path:
+        name = f"placed_{uuid.uuid4().hex}"
+        writer = frame.write.format("parquet").bucketBy(parts, key).option("compression", "uncompressed")
+        try:
+            writer.option("path", path).saveAsTable(name)
+            yield spark.table(name)
+        finally:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def _scored(rows: DataFrame) -> DataFrame:
     train_tokens, every = _sizes(rows)
     buckets = max(1, -(-every // BUCKET))
     asked = _requests(rows, buckets).groupBy("bucket")
     kept = "bucket int, cells binary, words binary, blocks array<long>, parts array<long>, asked array<binary>"
-    collected = stored(asked.applyInArrow(_collected, kept))
-    release(rows.sparkSession)
-    parent = totals = None
-    for _ in range(ROUNDS + 1):
-        parent, totals = _seated(collected, parent, totals)
+    with _placed_rows(asked.applyInArrow(_collected, kept), "bucket") as collected:
         release(rows.sparkSession)
-    answers = stored(_answers(collected, parent, totals))
+        parent = totals = None
+        for _ in range(ROUNDS + 1):
+            parent, totals = _seated(collected, parent, totals)
+            release(rows.sparkSession)
+        answers = stored(_answers(collected, parent, totals))
     release(rows.sparkSession)
     vocabulary = parent.words
 

@@ -443,6 +443,24 @@ def test_chances_equal_a_direct_computation():
         assert math.isclose(total + unknown, 1, rel_tol=1e-9)
 
 
+def test_buckets_stay_where_they_are(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    spark.createDataFrame([(i, prose(i, 60)) for i in range(40)], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    plans, answers = [], pitman_yor._answers
+
+    def seen(*args):
+        plans.append(answers(*args)._jdf.queryExecution().executedPlan().toString())
+        return answers(*args)
+
+    monkeypatch.setattr(pitman_yor, "_answers", seen)
+    monkeypatch.setattr(pitman_yor, "BUCKET", 300)
+    scored = pitman_yor.score_texts(spark.read.parquet(f"{tmp_path}/docs"), F.col("doc_id") % 5 != 0)
+    assert scored.count() == 40
+    moved = [line for line in plans[0].splitlines() if "Exchange hashpartitioning(bucket" in line]
+    assert len(moved) == 1 and not [t for t in spark.catalog.listTables() if t.name.startswith("placed_")]
+
+
 def test_scores_of_hostile_documents(hostile, empty):
     from pyspark.sql import functions as F
 
