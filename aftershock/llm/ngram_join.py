@@ -267,6 +267,13 @@ def contested(labelled: DataFrame) -> DataFrame:
     return rows.select("token", "n", "id", "component", "crowded")
 
 
+def still_contested(labelled: DataFrame) -> DataFrame:
+    """``contested`` for tokens of at most a leaf's points each: none is a large group, so their rows come together."""
+    bucket = Window.partitionBy("token")
+    ends = {"a": F.min("component").over(bucket), "b": F.max("component").over(bucket), "crowded": F.lit(False)}
+    return labelled.withColumns(ends).filter("a <> b").drop("a", "b")
+
+
 def labelled_by(rows: DataFrame, labels: DataFrame) -> DataFrame:
     rows = rows.select("token", "n", "id").join(labels, "id", "left")
     return rows.withColumn("component", F.coalesce("component", "id"))
@@ -483,19 +490,26 @@ def similar_documents(
 
     rest = stored(contested(labelled_by(shared, labels)))
     release(docs.sparkSession)
+    quiet, crowd = rest.filter("NOT crowded"), rest.filter("crowded")
+    before = labels
     nothing = F.array().cast("array<long>").alias("earlier")
     for turn in range(ROUNDS):
-        crowd = rest.filter("crowded").select("token", "n", "id", "component", nothing)
         if crowd.isEmpty():
             break
-        close = crossings(stored(leaves(crowd.join(counts, "id"))), similar, 2 * turn).distinct()
+        bare = crowd.select("token", "n", "id", "component", nothing)
+        close = crossings(stored(leaves(bare.join(counts, "id"))), similar, 2 * turn).distinct()
         more = stored(verified(stored(close), docs, words, similar))
         release(docs.sparkSession)
         if more.isEmpty():
             break
         links = stored(links.unionByName(more))
         labels = stored(components(links))
-        rest = stored(contested(labelled_by(rest, labels)))
+        crowd = stored(contested(labelled_by(crowd, labels)))
+        release(docs.sparkSession)
+    if labels is not before:
+        # The rounds read crowded buckets only; what they united is taken out of the others once.
+        quiet = still_contested(labelled_by(quiet, labels))
+        rest = stored(quiet.unionByName(crowd))
         release(docs.sparkSession)
     packed_leaves = stored(leaves(with_earlier(rest).join(counts, "id")))
     release(docs.sparkSession)

@@ -125,6 +125,34 @@ def test_pairs_looked_at_in_a_group_of_near_copies_grow_with_its_rows(spark, mon
     assert got == label and sum(made) < 60 * len(rows)
 
 
+def test_rounds_read_crowded_buckets_only(spark, monkeypatch):
+    read, contested = [], ngram_join.contested
+
+    def counted(labelled):
+        sizes = labelled.groupBy("token").count().agg({"count": "min", "token": "count"}).first()
+        read.append((sizes["min(count)"], sizes["count(token)"]))
+        return contested(labelled)
+
+    monkeypatch.setattr(ngram_join, "contested", counted)
+    monkeypatch.setattr(ngram_join, "LEAF", 8)
+    monkeypatch.setattr(ngram_join, "REACH", 1)
+    text, rng, rows = prose(3, 150, 10_000), random.Random(4), []
+    for i in range(200):
+        words = text.split(" ")
+        for at in rng.sample(range(150), 3):
+            words[at] = f"n{i}x{at}"
+        rows.append((i, " ".join(words)))
+    # Five versions of a text that share too little for links, some of them with all.
+    for i in range(200, 300, 5):
+        one = prose(i, 150, 10_000)
+        rows += [(i + j, changed(one, every)) for j, every in enumerate((15, 16, 17, 18, 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_documents(docs, 3, 80).collect()}
+    _, label = brute_similar(rows, 3, 80)
+    assert got == label
+    assert len(read) > 1 and all(least > 8 and tokens < read[0][1] for least, tokens in read[1:])
+
+
 def test_similar_hostile_documents(hostile, empty):
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_documents(hostile, 3, 90).collect())
     assert got[2, 4, 2] == 2 or got[2, 3, 2] == 2
