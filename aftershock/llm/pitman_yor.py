@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from aftershock.llm.byte_words import BASE, LOWER_ASCII, WHITE, mixed, word_hashes
 from aftershock.llm.shared import release, scratch, small_batches, stored, text_buffer
 
-# Rows of a file that ask for their words together, and training and held-out tokens per bucket of words.
-BLOCK_ROWS = 1024
+# Tokens, on average, of the rows of a file that ask for their words together, and tokens per bucket of words.
+BLOCK = 2_000_000
 BUCKET = 2_000_000
 # Gibbs sweeps to settle the tables of a restaurant, and sweeps whose predictions are averaged.
 SETTLE, AVERAGED = 3, 4
@@ -236,9 +236,13 @@ class Bucket:
         """Tables of the cells after each sweep, given the parent's chances of the bucket's words."""
         rng = np.random.default_rng(seed)
         tables = np.minimum(self.count, 1)
+        # A cell with one customer always has one table.
+        several = np.flatnonzero(self.count > 1)
+        context, count, above = self.context[several], self.count[several], parent[self.word[several]]
         for _ in range(sweeps):
-            others = self.totals(tables)[self.context] - tables
-            tables = seat(self.count, (STRENGTH + discount * others) * parent[self.word], discount, rng)
+            others = self.totals(tables)[context] - tables[several]
+            tables = tables.copy()
+            tables[several] = seat(count, (STRENGTH + discount * others) * above, discount, rng)
             yield tables
 
 
@@ -467,7 +471,7 @@ def _answers(buckets: DataFrame, parent: Parent, totals: DataFrame) -> DataFrame
 
     Every averaged chance is that of one seating: a context's totals are the sums of its cells in the same
     sweep, and the parent's chances are those of one table of words, so the chances of a
-    context add up to 1.
+    context add up to 1. Chances are linear in the tables, so their mean is that of the mean tables.
     """
     discount = parent.discounts[0]
 
@@ -480,16 +484,17 @@ def _answers(buckets: DataFrame, parent: Parent, totals: DataFrame) -> DataFrame
             above = parent.chance(customers, root_tables)
             bucket = Bucket.read(raw, words)
             all_count, own = bucket.totals(bucket.count), np.append(bucket.count, 0)
-            chances = [np.zeros(int(Asked.read(a).entries.sum())) for a in asked]
-            spots = [_places(bucket, Asked.read(a), words) for a in asked]
+            summed = np.zeros(len(bucket.count), np.int64)
             for sweep, tables in enumerate(bucket.sweeps(above, discount, [SEED, number], SETTLE + AVERAGED)):
-                if sweep < SETTLE:
-                    continue
-                all_tables, own_tables = bucket.totals(tables), np.append(tables, 0)
-                for total, (word, cell, context) in zip(chances, spots):
-                    total += chance_in(discount, own[cell], own_tables[cell], all_count[context], all_tables[context], above[word])
-            logs = [np.log10(c / AVERAGED).astype("<f4").tobytes() for c in chances]
-            known = [counts[word].astype("<i8").tobytes() for word, _, _ in spots]
+                if sweep >= SETTLE:
+                    summed += tables
+            all_tables, own_tables = bucket.totals(summed) / AVERAGED, np.append(summed, 0) / AVERAGED
+            logs, known = [], []
+            for packed_request in asked:
+                word, cell, context = _places(bucket, Asked.read(packed_request), words)
+                chance = chance_in(discount, own[cell], own_tables[cell], all_count[context], all_tables[context], above[word])
+                logs.append(np.log10(chance).astype("<f4").tobytes())
+                known.append(counts[word].astype("<i8").tobytes())
             raw_known = [len(k).to_bytes(8, "little") + pa.compress(k, codec="zstd", asbytes=True) for k in known]
             columns = [
                 pa.array([number] * len(asked), pa.int32()),
@@ -535,8 +540,8 @@ def score_texts(docs: DataFrame, learn: Column, key: str = "doc_id", text: str =
     chances after ``AVERAGED`` sweeps are averaged. The chances of a context add up to 1.
 
     Contexts are dealt out to buckets with all the words after them, so a restaurant is in one
-    place; the parent is a distributed table of words. Rows of a file form blocks, which bring a
-    context and its words once, with counts: a frequent word costs a bucket a row per block. The
+    place; the parent is a distributed table of words. Rows of a file form blocks of about ``BLOCK`` tokens, which
+    bring a context and its words once, with counts: a frequent word costs a bucket a row per block. The
     answers meet the texts again by block.
     Words are told apart by 64-bit hashes. A NULL text is empty, a NULL ``learn`` false; rows
     that repeat an id are texts of their own; without training rows all words are unknown.
@@ -548,14 +553,14 @@ def score_texts(docs: DataFrame, learn: Column, key: str = "doc_id", text: str =
         F.col(text).cast("string").alias("text"),
         F.coalesce(learn, F.lit(False)).alias("learn"),
     ]
-    block = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / BLOCK_ROWS)).alias("block")
+    file = F.xxhash64("_metadata.file_path").alias("file")
     row = F.col("_metadata.row_index").alias("row")
     try:
-        rows = docs.select(*own, block, row)
+        rows = docs.select(*own, file, row)
     except AnalysisException:  # not read from files: stored, so that rows have places
         with scratch(spark, "texts") as path:
             docs.select(*own).write.parquet(path)
-            return stored(_scored(spark.read.parquet(path).select("*", block, row)))
+            return stored(_scored(spark.read.parquet(path).select("*", file, row)))
     return _scored(rows)
 
 
@@ -581,6 +586,8 @@ def _placed_rows(frame: DataFrame, key: str) -> Iterator[DataFrame]:
 def _scored(rows: DataFrame) -> DataFrame:
     train_tokens, every = _sizes(rows)
     buckets = max(1, -(-every // BUCKET))
+    together = max(1, BLOCK * rows.count() // max(1, every))
+    rows = rows.withColumn("block", F.xxhash64("file", F.floor(F.col("row") / together)))
     asked = _requests(rows, buckets).groupBy("bucket")
     kept = "bucket int, cells binary, words binary, blocks array<long>, parts array<long>, asked array<binary>"
     with _placed_rows(asked.applyInArrow(_collected, kept), "bucket") as collected:

@@ -489,6 +489,39 @@ def test_buckets_stay_where_they_are(spark, tmp_path, monkeypatch):
     assert len(moved) == 1 and not [t for t in spark.catalog.listTables() if t.name.startswith("placed_")]
 
 
+def test_blocks_hold_as_many_rows_as_their_tokens_allow(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [(i, prose(i, 9)) for i in range(3000)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/docs")
+    docs, sizes, seated, scores = spark.read.parquet(f"{tmp_path}/docs"), [], [], []
+    requests, seat = pitman_yor._requests, pitman_yor.seat
+
+    def counted(*args):
+        out = requests(*args)
+        sizes.append(out.select("block").distinct().count())
+        return out
+
+    monkeypatch.setattr(pitman_yor, "_requests", counted)
+    for block in (2_000_000, 10_000):
+        monkeypatch.setattr(pitman_yor, "BLOCK", block)
+        scores.append({r.doc_id: r.score for r in pitman_yor.score_texts(docs, F.col("doc_id") % 7 != 2).collect()})
+    # A text has ten tokens.
+    assert sizes == [1, 3] and len(scores[0]) == 3000
+    assert all(math.isclose(s, scores[1][i], rel_tol=1e-6) for i, s in scores[0].items())
+
+    def seen(customers, *args):
+        seated.append(customers)
+        return seat(customers, *args)
+
+    monkeypatch.setattr(pitman_yor, "seat", seen)
+    count = np.array([1, 5, 1, 2])
+    bucket = pitman_yor.Bucket(np.arange(2, dtype=np.uint64), np.array([0, 0, 1, 1]), np.arange(4), count)
+    for tables in bucket.sweeps(np.full(4, 0.2), 0.5, [1], 3):
+        assert (tables[[0, 2]] == 1).all() and (tables <= count).all()
+    assert [x.tolist() for x in seated] == [[5, 2]] * 3
+
+
 def test_scores_of_hostile_documents(hostile, empty):
     from pyspark.sql import functions as F
 
