@@ -489,6 +489,20 @@ def test_buckets_stay_where_they_are(spark, tmp_path, monkeypatch):
     assert len(moved) == 1 and not [t for t in spark.catalog.listTables() if t.name.startswith("placed_")]
 
 
+def test_requests_are_packed_small_and_read_back():
+    rng = np.random.default_rng(2)
+    words, contexts = (np.sort(rng.integers(0, 2**64, n, np.uint64)) for n in (5000, 2000))
+    entries = rng.integers(1, 9, 2000)
+    for widest in (3, 2**31, 2**40):
+        asked = pitman_yor.Asked(contexts, entries, rng.choice(words, entries.sum()), rng.integers(0, widest, entries.sum()))
+        back = pitman_yor.Asked.read(asked.pack())
+        assert all((getattr(back, n) == getattr(asked, n)).all() for n in ("contexts", "entries", "word", "count"))
+    none = pitman_yor.Asked(*[np.zeros(0, np.int64)] * 4)
+    assert [len(x) for x in vars(pitman_yor.Asked.read(none.pack())).values()] == [0] * 4
+    # Hashes in order, one after the other, take less than their eight bytes.
+    assert len(pitman_yor.Asked(words, np.ones(5000), words, np.ones(5000)).pack()) < 7 * 2 * 5000
+
+
 def test_blocks_hold_as_many_rows_as_their_tokens_allow(spark, tmp_path, monkeypatch):
     from pyspark.sql import functions as F
 
