@@ -126,9 +126,11 @@ def met(orders: DataFrame, keys: list[str], satellites: DataFrame, sums: DataFra
     """Orders, with how many ``orders`` a row stands for, and the sums of their satellites.
 
     Where the satellites are read from few bytes, their sums are broadcast and the orders stay where
-    they are; else the orders collapse to a row per id and period before they move.
+    they are; else the orders collapse to a row per id and period before they move. A session that
+    turns broadcasts off gets none, so facts that are bucketed alike join in their buckets.
     """
-    if fits_broadcast(satellites, SMALL_SATELLITE):
+    allowed = not orders.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").startswith("-")
+    if allowed and fits_broadcast(satellites, SMALL_SATELLITE):
         return orders.select("order_id", *keys, F.lit(1).alias("orders")).join(F.broadcast(sums), "order_id")
     return counted(orders, keys).join(sums, "order_id")
 
